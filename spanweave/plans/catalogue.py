@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from . import registry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+for _module in pkgutil.iter_modules([__path__[0]] if "__path__" in globals() else [__file__.rpartition("/")[0]]):
+    if _module.name not in ("registry", "catalogue"):
+        importlib.import_module(f"{__package__}.{_module.name}")
+
+QUERIES = registry.QUERIES
+ORACLE = registry.ORACLE
