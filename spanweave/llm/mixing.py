@@ -46,8 +46,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     per = per.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
     # the level if this source and all with more room per weight were not full
     per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / F.sum("w").over(after))
+    per = per.withColumn("place", F.row_number().over(by_room))
     per = per.withColumn("open", F.col("room") / F.col("w") > F.col("level"))
-    water = F.min(F.when(F.col("open"), F.struct(F.col("room") / F.col("w"), F.col("level")))).over(everything)
+    water = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(everything)
     per = per.withColumn("water", water.getField("level"))
     target = F.when(F.col("water").isNull(), F.col("room")).otherwise(F.least("room", F.col("w") * F.col("water")))
     return per.select("source", "source_size", target.alias("target"))
