@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT, WIDE, HIGH, FPS = 192, 16, 12, 25
-BINS, WINDOW, K = 32, 24, 3.0
+BINS, WINDOW, LEAST, K = 32, 24, 8, 4.0
 # Order of the 64 coefficients in a JPEG block (fixed values, by the zigzag rule).
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 
@@ -248,7 +248,7 @@ def shots(samples: np.ndarray, fps: float, k: float = K, window: int = WINDOW) -
     """Clips ``(first frame, end frame, first second, end second)``.
 
     A cut stands before frame i if the histogram difference to the frame before exceeds mean + k deviations of the up to
-    ``window`` differences before it (4 at least).
+    ``window`` differences before it (``LEAST`` at least).
     """
     n = len(samples)
     hist = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 3)).ravel(), minlength=n * BINS).reshape(n, BINS)
@@ -259,7 +259,7 @@ def shots(samples: np.ndarray, fps: float, k: float = K, window: int = WINDOW) -
     m = np.maximum(1, i - lo)
     mean = (s1[i] - s1[lo]) / m
     dev = np.sqrt(np.maximum(0.0, (s2[i] - s2[lo]) / m - mean * mean))
-    cut = np.flatnonzero((i - lo >= 4) & (d > np.round(mean + k * dev, 9) + 1e-6)) + 1
+    cut = np.flatnonzero((i - lo >= LEAST) & (d > np.round(mean + k * dev, 9) + 1e-6)) + 1
     edges = [0, *cut.tolist(), n]
     return [(a, b, a / fps, b / fps) for a, b in zip(edges, edges[1:], strict=False)]
 
