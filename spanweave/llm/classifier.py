@@ -104,7 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, epochs: int
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
     made = sample.mapInArrow(features, "draw long, label int, idx array<int>").repartition(1).sortWithinPartitions("draw", "label", F.hash("idx"))
-    return np.frombuffer(made.mapInArrow(fit, "w binary").first()["w"], np.float32)
+    row = made.mapInArrow(fit, "w binary").first()  # an empty sample has no task that fits
+    return np.frombuffer(row["w"], np.float32) if row else np.zeros(buckets + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, column: str = "score", order: int = ORDER) -> DataFrame:

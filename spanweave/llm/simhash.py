@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -186,38 +187,31 @@ def _join_buckets(rows: DataFrame, budget: int) -> DataFrame:
     return dealt.select("kind", "bits", "fp").mapInArrow(run, "u long, v long")
 
 
-def link_edges(fps: DataFrame, budget: int = 2, bucket_rows: int = 8192) -> DataFrame:
+def link_edges(fps: DataFrame, budget: int = 2, bucket_rows: int = 65_536) -> DataFrame:
     """``u, v``: edges between distinct fingerprints (rows ``fp``) that link all that lie within ``budget`` bits, directly or by others."""
     out = None
-    # a level's rows: fingerprints with the ranges of bits that are fixed so far; kind names the ranges
-    todo, level = [(fps.select("fp"), list(range(BITS)), 0)], 0
+    number = 0  # of a choice of ranges; it names the buckets of all fingerprints that were dealt by it
+    # rows with the bits that are still free in them
+    todo = [(fps.select("fp"), list(range(BITS)))]
     while todo:
-        further = []
-        for rows, free, kind in todo:
-            cuts = _ranges(free, budget + 1)
-            for k, bits in enumerate(cuts):
+        parts: dict[int, tuple[DataFrame, list[int]]] = {}
+        for rows, free in todo:
+            for bits in _ranges(free, budget + 1):
                 mask = sum(1 << x for x in range(BITS) if x in bits or x not in free)
                 signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-                part = rows.select("fp", F.lit(kind * (budget + 1) + k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bits"))
-                further.append((part, [x for x in free if x not in bits], kind * (budget + 1) + k + 1))
-        every = further[0][0]
-        for part, _, _ in further[1:]:
-            every = every.unionByName(part)
+                part = rows.select("fp", F.lit(number).cast("long").alias("kind"), F.col("fp").bitwiseAND(F.lit(signed)).alias("bits"))
+                parts[number] = (part, [x for x in free if x not in bits])
+                number += 1
+        every = reduce(DataFrame.unionByName, [part for part, _ in parts.values()])
         sizes = stage(every.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-        fits = sizes.where(F.col("n") <= bucket_rows)
+        large = sizes.where(F.col("n") > bucket_rows)
+        over = {r["kind"] for r in large.select("kind").distinct().collect()}  # kinds are few: a handful for each level
+        # with no more free bits than the budget a bucket has 2 ** budget keys at most and is not dealt again
+        last = [k for k, (_, free) in parts.items() if len(free) <= budget]
+        fits = sizes.where((F.col("n") <= bucket_rows) | F.col("kind").isin(last))
         found = _join_buckets(every.join(fits, ["kind", "bits"], "left_semi"), budget)
         out = found if out is None else out.unionByName(found)
-        large = sizes.where(F.col("n") > bucket_rows)
-        over = {r["kind"] for r in large.select("kind").distinct().collect()}  # kinds are few: (budget + 1) for each level
-        todo = []
-        for k, (part, free, kind) in enumerate(further):
-            this = kind - 1
-            if this in over:
-                if len(free) <= budget:  # nothing left to deal by: such a bucket has 2 ** budget keys at most
-                    out = out.unionByName(_join_buckets(part.join(large, ["kind", "bits"], "left_semi"), budget))
-                else:
-                    todo.append((stage(part.join(large, ["kind", "bits"], "left_semi").select("fp"), "bucket-rest"), free, kind * 1000))
-        level += 1
+        todo = [(stage(parts[k][0].join(large, ["kind", "bits"], "left_semi").select("fp"), "bucket-rest"), parts[k][1]) for k in sorted(over - set(last))]
     return out
 
 
