@@ -247,7 +247,7 @@ def unpack(data: bytes) -> tuple[float, np.ndarray]:
 def shots(samples: np.ndarray, fps: float, k: float = K, window: int = WINDOW) -> list[tuple[int, int, float, float]]:
     """Clips ``(first frame, end frame, first second, end second)``.
 
-    A cut stands before frame i if the histogram difference to the frame before exceeds mean + k deviations of the up to
+    A cut stands before frame i if the histogram difference to the frame before exceeds mean + k deviations, and twice the mean, of the up to
     ``window`` differences before it (``LEAST`` at least).
     """
     n = len(samples)
@@ -259,7 +259,7 @@ def shots(samples: np.ndarray, fps: float, k: float = K, window: int = WINDOW) -
     m = np.maximum(1, i - lo)
     mean = (s1[i] - s1[lo]) / m
     dev = np.sqrt(np.maximum(0.0, (s2[i] - s2[lo]) / m - mean * mean))
-    cut = np.flatnonzero((i - lo >= LEAST) & (d > np.round(mean + k * dev, 9) + 1e-6)) + 1
+    cut = np.flatnonzero((i - lo >= LEAST) & (d > np.round(np.maximum(mean + k * dev, 2 * mean), 9) + 1e-6)) + 1
     edges = [0, *cut.tolist(), n]
     return [(a, b, a / fps, b / fps) for a, b in zip(edges, edges[1:], strict=False)]
 
