@@ -6,7 +6,7 @@ class, chosen by hash) in one task and keeps one weight table; scoring reads eve
 Labels, language, source and id are never inputs.
 
 Defined results
-* null, empty or blank text: no feature, the score of the bias alone;
+* null, empty or blank text: no feature, score 0.5;
 * null or other quality labels are skipped; labels of one document that disagree count as 1;
 * without labels (or with one class) the model is what its updates make of the sample; without rows every score is 0.5;
 * repeated rows score alike; extra columns are left alone.
@@ -51,6 +51,11 @@ def _sigmoid(x: float) -> float:
     return 1.0 / (1.0 + np.exp(-min(35.0, max(-35.0, x))))
 
 
+def _bias_input(n: int) -> float:
+    """The bias counts less in texts with few features, whose sums are small: what is missing there speaks for no class."""
+    return n / (n + 100.0)
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal (McMahan et al., 2013); coordinate 0 of the tables after the buckets is the bias."""
 
@@ -64,8 +69,8 @@ class Ftrl:
 
     def learn(self, idx: np.ndarray, label: int, weight: float = 1.0) -> None:
         x = np.full(len(idx) + 1, 1.0 / np.sqrt(max(1, len(idx))))
+        x[-1] = _bias_input(len(idx))
         idx = np.append(idx, len(self.z) - 1)
-        x[-1] = 1.0
         w = self.weights(idx)
         g = (_sigmoid(float(w @ x)) - label) * weight * x
         sigma = (np.sqrt(self.n[idx] + g * g) - np.sqrt(self.n[idx])) / self.alpha
@@ -81,7 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, epochs: int
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit(11)))
     chosen = known.where("label = 0").orderBy("draw", "doc_id").limit(per_class).unionByName(known.where("label = 1").orderBy("draw", "doc_id").limit(per_class))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), "label", "draw")
+    # another hash gives the order of training: by draw the classes would not be mixed, as one is drawn from deeper than the other
+    chosen = chosen.select(F.col("doc_id").alias("__id"), "label", F.xxhash64("doc_id", F.lit(12)).alias("draw"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), docs["doc_id"] == chosen["__id"]).select("draw", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +123,8 @@ def score(docs: DataFrame, weights: np.ndarray, column: str = "score", order: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            x = np.array([w[idx].sum(dtype=np.float64) / np.sqrt(max(1, len(idx))) for idx in _each(b.column(b.schema.names.index("text")), order, buckets)])
-            s = 1.0 / (1.0 + np.exp(-np.clip(x + w[-1], -35, 35)))
+            x = np.array([w[idx].sum(dtype=np.float64) / np.sqrt(max(1, len(idx))) + _bias_input(len(idx)) * w[-1] for idx in _each(b.column(b.schema.names.index("text")), order, buckets)])
+            s = 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(s, pa.float64())], names=[*names, column])
 
     picked = docs.select(*[F.col(f"`{c}`") for c in names])
