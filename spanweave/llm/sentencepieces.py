@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 from .shared import wider
 
 SPACE = "▁"
-REMEMBER = 600_000
+#: Entries of a table of remembered stretches (two are kept, a new and an old one) and of checked pairs.
+REMEMBER, PAIRS = 220_000, 200_000
 
 
 def _wire(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -102,6 +103,7 @@ class PieceModel:
         self.stretch = re.compile(f"{SPACE}*{body}+|{SPACE}+{lone}" if self.marks_first else r"(?s).+")
         self._pairs: dict[tuple[str, str], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, text: str) -> list[str]:
         """The merge procedure itself, for short texts: join the best-scored neighbours, leftmost first, until none is a piece."""
@@ -121,7 +123,7 @@ class PieceModel:
     def _fits(self, a: str, b: str) -> bool:
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) >= REMEMBER:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             known = self._pairs[a, b] = self._merge(a + b) == [a, b]
         return known
@@ -242,13 +244,17 @@ class PieceModel:
 
     def _learn(self, stretch: str) -> tuple[int, ...]:
         ids = self._known.get(stretch)
+        if ids is not None:
+            return ids
+        ids = self._old.get(stretch)
         if ids is None:
             pieces = self._search_short(stretch) if self.kind == 2 and len(stretch) <= 4 * self.longest else self.search(stretch)
             ids = tuple([i for piece in pieces for i in self._ids_of(piece)])
-            if len(stretch) <= 64:
-                if len(self._known) >= REMEMBER:
-                    self._known.clear()
-                self._known[stretch] = ids
+        if len(stretch) <= 64:
+            if len(self._known) >= REMEMBER:  # what was not met again since the last turn goes
+                self._old = dict(self._known)
+                self._known.clear()
+            self._known[stretch] = ids
         return ids
 
     def decode(self, ids: list[int]) -> str:

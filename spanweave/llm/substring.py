@@ -38,7 +38,7 @@ from .shared import blocks, find_words, gram_hashes, stage, word_hashes
 
 WIDTH, GRAM = 13, 5
 #: Words of phrases that one automaton is made of, and words of text that one task streams through it, about.
-SHARD_WORDS, STREAM_WORDS = 400_000, 4_000_000
+SHARD_WORDS, STREAM_WORDS = 120_000, 4_000_000
 ROWS = 5_000
 
 
