@@ -79,6 +79,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_WORD = r"[^\x20\x09-\x0D]+"
-# Equal payloads by SQL's own hash; base32 has no SQL function, so the oracle leaves op9 to its brute-force test.
-ORACLE: dict[str, str] = {}
+#: SQL for the operators that it can express.  The marks' lengths are those of the template (4, 2 and 9 characters).
+_ESCAPES = r"len(regexp_extract_all({0}, '\\|###|</turn>{1}'))"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_NIBBLES = "".join(f"{i:04b}" for i in range(16))
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE: dict[str, str] = {
+    "op1_chat_formatting": rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+        CAST(sum(15 + length(role) + {_ESCAPES.format('role', '|:')} + length(text) + {_ESCAPES.format('text', '')}) AS BIGINT) AS formatted_chars FROM r GROUP BY conv_id""",
+    "op6_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+      g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS k, w FROM d WHERE len(w) >= 13),
+      s AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS win FROM g),
+      f AS (SELECT win, min(doc_id) AS first FROM s GROUP BY 1),
+      c AS (SELECT DISTINCT s.doc_id, unnest(generate_series(k, k + 12)) AS p FROM s JOIN f USING (win) WHERE f.first < s.doc_id),
+      q AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM d WHERE len(w) > 0),
+      t AS (SELECT q.doc_id, count(c.p) AS n_removed, coalesce(string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY q.p), '') AS kept FROM q LEFT JOIN c ON q.doc_id = c.doc_id AND q.p = c.p GROUP BY 1)
+      SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+    "op9_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+      b AS (SELECT *, array_to_string([substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', substr(x, i, 1)) - 3, 4) for i in range(1, 41)], '') AS bits FROM s)
+      SELECT page_id, payload_bytes, array_to_string([substr('{_BASE32}', 1 + 16 * CAST(substr(bits, 5 * j + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * j + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * j + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * j + 4, 1) AS INT) + CAST(substr(bits, 5 * j + 5, 1) AS INT), 1) for j in range(0, 32)], '') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b""",
+}
