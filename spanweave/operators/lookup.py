@@ -42,11 +42,10 @@ def _type(df: DataFrame, column: Column) -> str:
     return df.select(column.alias("c")).schema["c"].dataType.simpleString()
 
 
-def band(left: DataFrame, right: DataFrame, by: str, lo: Column, hi: Column, at: str, bucket: int, how: str = "inner") -> DataFrame:
+def band(left: DataFrame, right: DataFrame, by: str, lo: Column, hi: Column, at: str, bucket: int) -> DataFrame:
     """Pairs of ``left`` rows with ``right`` rows of their key whose ``at`` lies in [lo, hi].
 
-    A left row is copied to each bucket that its interval touches; the join is by key and bucket.  ``how`` may be
-    ``inner`` or ``left_semi``-like use by distinct on the caller's side.
+    A left row is copied to each bucket that its interval touches; the join is by key and bucket.
     """
     l = left.withColumn("__lo", lo).withColumn("__hi", hi).where("__hi >= __lo")  # noqa: E741
     l = l.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") / bucket), F.floor(F.col("__hi") / bucket))))  # noqa: E741

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.units import UNIT, us
+from ..functions.units import UNIT, micros, us
 from ..operators import rules
+from ..operators.highlight import filter_streams
 from ..operators.islands import with_island
 from ..operators.lookup import band
 from ..sources import carriers
@@ -309,3 +310,16 @@ def span_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mean_e") - support) / F.greatest(F.lit(0.001), F.col("p85") - support)))
     conf = F.least(F.lit(0.99), 0.48 + 0.30 * F.least(F.lit(1.0), F.col("n") / 6.0) + 0.22 * norm)
     return features(spark, sf_dir).select("stream_id", F.col("first").alias("first_ts"), F.round(conf, 9).alias("confidence"))
+
+
+@query()
+def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole highlight filter, each stream with its own samples as motion (tested on golden vectors)."""
+    p = carriers.pulses(spark, sf_dir)
+    t0 = p.groupBy("stream_id").agg((F.min("ts") - us(0.5)).alias("t0"))
+    at = lambda c: (F.col(c) - F.col("t0")) / float(UNIT)
+    s = pulse_spans(spark, sf_dir).join(t0, "stream_id")
+    s = s.select("stream_id", F.greatest(F.lit(0.0), at("start")).alias("start"), at("end").alias("end"), at("first").alias("first"), at("last").alias("last"), F.lit(0.9).alias("confidence"))
+    own = carriers.table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), micros("ts").alias("ts"), (F.col("value") / 1000.0).alias("energy")).join(t0, "stream_id")
+    out = filter_streams(s, p.join(t0, "stream_id").select("stream_id", at("ts").alias("ts")), own.select("stream_id", at("ts").alias("ts"), "energy"))
+    return out.select("stream_id", *[F.round(c, 6).alias(f"{c}_at") for c in ("start", "end", "first", "last")])
