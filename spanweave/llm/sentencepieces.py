@@ -26,8 +26,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -90,6 +90,7 @@ class PieceModel:
         self.raw = [bytes_of.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte pieces")
+        self.mark = np.array([self.byte_id[b] for b in SPACE.encode()], np.int32).tobytes()  # a literal mark
         self.longest = max(map(len, self.score))
         self.begins = {p[:k]: False for p in self.score for k in range(1, len(p))} | dict.fromkeys(self.score, True)
         self.lowest = min(self.score.values()) - 10.0
@@ -102,8 +103,8 @@ class PieceModel:
         lone = f"|[{alone}]" if alone else ""
         self.stretch = re.compile(f"{SPACE}*{body}+|{SPACE}+{lone}" if self.marks_first else r"(?s).+")
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> list[str]:
         """The merge procedure itself, for short texts: join the best-scored neighbours, leftmost first, until none is a piece."""
@@ -223,33 +224,36 @@ class PieceModel:
         return out[::-1]
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
+
+    def encode_packed(self, text: str) -> bytes:
+        """The ids as packed 32-bit integers."""
         if not text:
-            return []
-        out: list[int] = []
-        known = self._known
+            return b""
+        out: list[bytes] = []
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                out += [self.byte_id[b] for b in SPACE.encode()]
+                out.append(self.mark)
                 if not part:
                     continue
             marked = (SPACE if self.prefix and not k else "") + part.replace(" ", SPACE)
             stretches = self.stretch.findall(marked)
-            found = list(map(known.get, stretches))
+            found = list(map(self._known.get, stretches))
             if None in found:
                 for at, ids in enumerate(found):
                     if ids is None:
                         found[at] = self._learn(stretches[at])
-            out.extend(chain.from_iterable(found))
-        return out
+            out += found
+        return b"".join(out)
 
-    def _learn(self, stretch: str) -> tuple[int, ...]:
+    def _learn(self, stretch: str) -> bytes:
         ids = self._known.get(stretch)
         if ids is not None:
             return ids
         ids = self._old.get(stretch)
         if ids is None:
             pieces = self._search_short(stretch) if self.kind == 2 and len(stretch) <= 4 * self.longest else self.search(stretch)
-            ids = tuple([i for piece in pieces for i in self._ids_of(piece)])
+            ids = np.array([i for piece in pieces for i in self._ids_of(piece)], np.int32).tobytes()
         if len(stretch) <= 64:
             if len(self._known) >= REMEMBER:  # what was not met again since the last turn goes
                 self._old = dict(self._known)
@@ -282,15 +286,14 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
         for b in batches:
             texts = b.column(b.schema.names.index("text"))
             for lo in range(0, b.num_rows, 512):
-                ids, sha = [], []
-                for t in texts.slice(lo, 512):
-                    t = t.as_py()
-                    i = None if t is None else m.encode(t)
-                    ids.append(i)
-                    sha.append(None if i is None else hashlib.sha256(m.decode(i).encode()).hexdigest())
-                counts = pa.array([len(i or ()) for i in ids], pa.int64())
+                packed = [None if t is None else m.encode_packed(t) for t in texts.slice(lo, 512).to_pylist()]
+                # decoded from the ids that are given out
+                sha = [None if x is None else hashlib.sha256(m.decode(np.frombuffer(x, np.int32).tolist()).encode()).hexdigest() for x in packed]
+                counts = np.array([len(x or b"") // 4 for x in packed], np.int64)
+                ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.array([*(x is None for x in packed), False]))
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(x or b"" for x in packed), np.int32)))
                 part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(ids, pa.list_(pa.int32())), counts, pa.array(sha, pa.string())], names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), ids, pa.array(counts), pa.array(sha, pa.string())], names=[*names, *added])
 
     picked = docs.select(*[F.col(f"`{c}`") for c in names])
     return picked.mapInArrow(run, wider(picked.schema, **{column: T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "decoded_sha256": T.StringType()}))
