@@ -2,10 +2,11 @@
 
 Each rule compares one ratio of a document with a cutoff out of a fixed grid.
 Labelled documents are the holdout (the grid does not depend on them).  For each stratum,
-rule and cutoff the test rejects "the rule would reject more than ``risk`` of the
-good documents" by the exact binomial tail, at a level divided (Bonferroni) by the number
-of all tests made.  Among cutoffs that pass, a rule takes in each stratum the one
-that catches most bad documents net of good ones, or none.  The risks of the rules add
+rule and cutoff the test rejects "the rule would reject more than its share of ``risk`` of the
+good documents" by the exact binomial tail.  The cutoffs of a rule are tested from the most lenient on and the
+first failure ends the sequence, which needs no correction among them; among rules and strata the level is divided (Bonferroni).
+Among cutoffs that pass, a rule takes in each stratum the one
+that catches most bad documents net of good ones, or none.  The shares of the rules add
 up to ``risk``, so that with probability ``1 - level`` no stratum loses more than ``risk`` of its good documents.
 
 Defined results
@@ -90,8 +91,8 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(n <= 0, F.lit(1.0)).when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(logs)))
 
 
-def cutoffs(labelled: DataFrame, risk: float = 0.02, level: float = 0.05, strata: int = 64, least: int = 200) -> DataFrame:
-    """``stratum, rule, cutoff, n_good, n_false, n_caught, bound_ok`` of the cutoffs taken, from rows of counts with ``quality``.
+def cutoffs(labelled: DataFrame, risk: float = 0.05, level: float = 0.05, strata: int = 64, least: int = 200) -> DataFrame:
+    """``stratum, rule, cutoff, n_good, n_false, n_caught, p_value`` of the cutoffs taken, from rows of counts with ``quality``.
 
     ``n_false`` of ``n_good`` good holdout documents fail at the cutoff.  At most ``strata + 1`` times the number of rules rows.
     """
@@ -103,7 +104,6 @@ def cutoffs(labelled: DataFrame, risk: float = 0.02, level: float = 0.05, strata
         F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), (100 * F.col(num) > c * F.col(den)).alias("fails"))
         for rule, (num, den, grid) in RULES.items() for c in grid
     ])
-    tests = sum(len(grid) for _, _, grid in RULES.values())
     counted = (
         rows.select("stratum", "quality", F.explode(rules).alias("r"))
         .groupBy("stratum", "r.rule", "r.cutoff")
@@ -113,9 +113,11 @@ def cutoffs(labelled: DataFrame, risk: float = 0.02, level: float = 0.05, strata
             F.sum(F.when((F.col("quality") == 0) & F.col("r.fails"), 1).otherwise(0)).alias("n_caught"),
         )
     )
-    # as many tests as rules, cutoffs and strata there can be; risk is split among the rules
     p_value = binomial_tail(F.col("n_false"), F.col("n_good"), F.lit(risk / len(RULES)))
-    certified = counted.withColumn("p_value", p_value).where(F.col("p_value") <= level / (tests * (strata + 1)))
+    counted = counted.withColumn("p_value", p_value).withColumn("n_strata", F.size(F.collect_set("stratum").over(Window.partitionBy())))  # a small table by now
+    passed = (F.col("p_value") <= level / (len(RULES) * F.col("n_strata"))).cast("int")
+    so_far = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    certified = counted.withColumn("ok", F.min(passed).over(so_far)).where("ok = 1").drop("ok", "n_strata")
     useful = certified.withColumn("gain", F.col("n_caught") - 10 * F.col("n_false")).where(F.col("gain") > 0)
     best = Window.partitionBy("stratum", "rule").orderBy(F.col("gain").desc(), F.col("n_false"), F.col("cutoff").desc())
     return useful.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "gain")
