@@ -42,8 +42,8 @@ _VOID = frozenset("hr br img input meta link area base col embed source track wb
 _ENDS_P = BLOCKS
 #: Words in class, id or role that tell what a container is for.
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header legal login masthead menu "
-    "modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored "
+    "ad ads advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header legal login masthead menu "
+    "modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe teaser toolbar warning widget".split()
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
