@@ -234,8 +234,9 @@ def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
     Rows that are equal in id are cut to one as well; a document without an id stays only if its group has no other.
     """
     names = docs.columns
-    near = near_duplicates(docs, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(near, docs["doc_id"].eqNullSafe(near["__id"]), "left_semi")
-    first = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = kept.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(first, "doc_id", "left_anti").unionByName(twice).select(*[F.col(f"`{c}`") for c in names])
+    near = near_duplicates(docs, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    near = stage(near.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "kept-ids")
+    # the documents are shuffled once; rows that share an id (few) are cut to one
+    kept = docs.join(near, docs["doc_id"].eqNullSafe(near["__id"]))
+    one = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["doc_id"]))
+    return one.select(*[F.col(f"`{c}`") for c in names])
