@@ -122,7 +122,8 @@ def _phrases(texts: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _compile(windows: dict[tuple[int, ...], list[int]], width: int) -> ahocorasick.Automaton | None:
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    # whole ids as objects: of STORE_INTS values the library gives back the low 32 bits only
+    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w, (lo, hi) in windows.items():
         if lo < hi:  # confirmed: in two documents
             machine.add_word(w, lo)
