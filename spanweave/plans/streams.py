@@ -41,8 +41,8 @@ def stream_session_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pcm_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits found in synthetic signals, one for each customer of the first nation, with hits every 0.8 seconds."""
-    streams = table(spark, sf_dir, "customer").where("c_nationkey = 0").select(F.col("c_custkey").alias("stream_id"))
+    """Hits found in synthetic signals, one for each customer, with hits every 0.8 seconds."""
+    streams = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"))
 
     def detect(frames):
         for f in frames:
