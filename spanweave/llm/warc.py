@@ -7,6 +7,7 @@ least ``least`` bytes the one with the smallest page_id is a response and the ot
 ``read_archives`` parses member by member.  A member that fails its checks (gzip checksum, version line, header block,
 content length, payload digest) is quarantined: the reader searches for the next member (or, in an uncompressed archive, the next
 version line) that holds a valid record, goes on from there, and logs the gap in bytes.  Every byte belongs to a record or to a gap.
+A member may hold several records: its bytes are counted at the first, the others and gaps between them have its end as offset and length 0.
 
 Defined results
 * null html: an empty payload; null url: an empty target;
@@ -32,8 +33,6 @@ VERSION = b"WARC/1.1\r\n"
 ARCHIVE_BYTES = 4 << 20
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r$")
-#: A record must begin within so many decompressed bytes of its member.
-_HEAD = 1 << 16
 RECORD = "archive long, offset long, length long, record_id string, record_type string, target string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, problem string"
 
 
@@ -114,7 +113,7 @@ def _fields(raw: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
     m = _LINE.match(raw, at)
     if not m:
         raise ValueError("no version line")
-    end = raw.find(b"\r\n\r\n", m.end(), m.end() + _HEAD)
+    end = raw.find(b"\r\n\r\n", m.end())
     if end < 0:
         raise ValueError("no end of the headers")
     head = raw[m.end() : end + 2]
@@ -163,11 +162,34 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             yield gap, at - gap, None, problem
             gap = None
         yield at, end - at, fields, raw[begin:stop]
+        if packed:
+            yield from _rest(raw, stop + 4, end)
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, problem
 
 
+def _rest(raw: bytes, at: int, end: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
+    """What follows the first record of a member; the member's bytes are counted there, so all this has its end as offset and length 0."""
+    gap, problem = None, ""
+    while at < len(raw):
+        try:
+            fields, begin, stop = _fields(raw, at)
+        except ValueError as e:
+            if gap is None:
+                gap, problem = at, str(e)
+            m = _LINE.search(raw, at + 1)
+            at = m.start() if m else len(raw)
+            continue
+        if gap is not None:
+            yield end, 0, None, f"{problem} ({at - gap} bytes within a member)"
+            gap = None
+        yield end, 0, fields, raw[begin:stop]
+        at = stop + 4
+    if gap is not None:
+        yield end, 0, None, f"{problem} ({len(raw) - gap} bytes within a member)"
+
+
 def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at ``at``, decompressed, and its end; fed in pieces, so that a member costs its own length only."""
     z, out, pos, step = zlib.decompressobj(31), [], at, 1 << 16
