@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, epochs: int
         model = Ftrl(buckets)
         ones = sum(label for label, _ in rows)
         weight = [len(rows) / 2 / max(1, n) for n in (len(rows) - ones, ones)]  # both classes count alike
-        for _ in range(epochs if len(rows) >= 2000 else 4 * epochs):
+        for _ in range(epochs):
             for label, idx in rows:
                 model.learn(idx, label, weight[label])
         w = model.weights(np.arange(buckets + 1)).astype(np.float32)
