@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import classifier, mixing, sentencepieces, simhash, substring
+from spanweave.llm import classifier, jaccard, mixing, sentencepieces, substring
 from spanweave.llm.queries import TOKENIZERS
 from spanweave.llm.shared import stage, table
 
@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) stays."""
+    return jaccard.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
