@@ -220,23 +220,8 @@ def near_duplicates(docs: DataFrame, budget: int = 2, **parameters) -> DataFrame
     fp = stage(fingerprints(docs, **parameters), "fingerprints")
     reps = stage(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
     edges = stage(link_edges(reps.select("fp"), budget), "fingerprint-edges").distinct()
-    u = reps.select(F.col("fp").alias("u"), F.col("rep").alias("ru"))
-    v = reps.select(F.col("fp").alias("v"), F.col("rep").alias("rv"))
-    on_ids = edges.join(u, "u").join(v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")).where("u is not null and v is not null")
-    found = stage(components(on_ids), "components")
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = stage(components(edges), "components")
+    # groups are of fingerprints, whether their rows have ids or not
+    parted = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
+    named = parted.select("fp", "part").join(parted.groupBy("part").agg(F.min("rep").alias("component_id")), "part")
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once; the columns of ``docs``.
-
-    Rows that are equal in id are cut to one as well; a document without an id stays only if its group has no other.
-    """
-    names = docs.columns
-    near = near_duplicates(docs, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    near = stage(near.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")), "kept-ids")
-    # the documents are shuffled once; rows that share an id (few) are cut to one
-    kept = docs.join(near, docs["doc_id"].eqNullSafe(near["__id"]))
-    one = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["doc_id"]))
-    return one.select(*[F.col(f"`{c}`") for c in names])
