@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 UNIT, WIDE, HIGH, FPS = 192, 16, 12, 25
 BINS, WINDOW, LEAST, K = 32, 24, 8, 4.0
+#: A difference (of at most 1) that is a cut where too few others are there to compare with.
+PLAIN = 0.5
 # Order of the 64 coefficients in a JPEG block (fixed values, by the zigzag rule).
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 
@@ -248,7 +250,8 @@ def shots(samples: np.ndarray, fps: float, k: float = K, window: int = WINDOW) -
     """Clips ``(first frame, end frame, first second, end second)``.
 
     A cut stands before frame i if the histogram difference to the frame before exceeds mean + k deviations, and twice the mean, of the up to
-    ``window`` differences before it (``LEAST`` at least).
+    ``window`` differences before it.  With fewer than ``LEAST`` before it, those of up to ``window`` frames on both sides are taken, and a difference
+    above ``PLAIN`` is a cut whatever the others are (the only rule if both sides have fewer than ``LEAST``).
     """
     n = len(samples)
     hist = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 3)).ravel(), minlength=n * BINS).reshape(n, BINS)
@@ -259,7 +262,14 @@ def shots(samples: np.ndarray, fps: float, k: float = K, window: int = WINDOW) -
     m = np.maximum(1, i - lo)
     mean = (s1[i] - s1[lo]) / m
     dev = np.sqrt(np.maximum(0.0, (s2[i] - s2[lo]) / m - mean * mean))
-    cut = np.flatnonzero((i - lo >= LEAST) & (d > np.round(np.maximum(mean + k * dev, 2 * mean), 9) + 1e-6)) + 1
+    beyond = d > np.round(np.maximum(mean + k * dev, 2 * mean), 9) + 1e-6
+    early = i - lo < LEAST
+    hi = np.minimum(len(d), i + 1 + window)
+    others = np.maximum(1, hi - lo - 1)
+    mean = (s1[hi] - s1[lo] - d) / others
+    dev = np.sqrt(np.maximum(0.0, (s2[hi] - s2[lo] - d * d) / others - mean * mean))
+    around = (hi - lo - 1 >= LEAST) & (d > np.round(np.maximum(mean + k * dev, 2 * mean), 9) + 1e-6)
+    cut = np.flatnonzero(np.where(early, around | (d > PLAIN), beyond)) + 1
     edges = [0, *cut.tolist(), n]
     return [(a, b, a / fps, b / fps) for a, b in zip(edges, edges[1:], strict=False)]
 
