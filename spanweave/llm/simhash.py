@@ -6,8 +6,8 @@ included) hashed with XXH64 (seed 42); a bit is 1 if it is set in over half the
 ``link_edges`` finds all pairs of distinct fingerprints with at most ``budget`` differing bits.  Fingerprints meet in
 buckets of equal bits of one of ``budget + 1`` ranges (two that differ in few bits agree in one whole range).  A bucket with
 more than ``bucket_rows`` fingerprints is dealt again by ranges of its other bits, until all are small enough or no bits are left; no case is dropped.
-In a bucket the sorted fingerprints are a binary trie; pairs of its nodes are walked together, differing bits add up, and a pair
-is given up when they exceed the budget.  Only edges that join two parts of a bucket not joined so far are returned, so a
+In a bucket of any size the sorted fingerprints are a binary trie; pairs of its nodes are walked together, differing bits add up, and a pair
+is given up when they exceed the budget (the tries of a batch of buckets are walked at once).  Only edges that join two parts of a bucket not joined so far are returned, so a
 group of n fingerprints gives at most n - 1 edges and no link between groups is lost.
 
 Defined results
@@ -84,69 +84,97 @@ class _Parts:
         self.up[max(i, j)] = min(i, j)
         return True
 
+    def labels(self) -> np.ndarray:
+        """The root of every position."""
+        up = np.array(self.up, np.int64)
+        while (up[up] != up).any():
+            up = up[up]
+        return up
 
-def trie_self_join(keys: np.ndarray, budget: int, chunk: int = 1 << 16) -> list[tuple[int, int]]:
-    """A spanning forest of the graph that links sorted distinct ``keys`` (uint64) with at most ``budget`` differing bits.
 
-    A trie node is a range of the sorted keys and a depth.  Node pairs of one depth are walked together in chunks, depth
-    first.  Children of a node are found by counting the keys whose next bit is 0.  A pair is given up if its differing
-    bits exceed the budget, or if all its keys are of one part already.
+class Walk:
+    """Walks many binary tries over one array of keys (uint64, sorted within each trie) at once.
+
+    A trie is a range of positions between two of ``cuts``; its nodes are ranges of positions that agree in their first bits.  Pairs of
+    nodes of one trie and depth are walked together, in chunks, deepest first.  Children are found by counting the keys whose next bit is 0.
+    A pair is given up if its differing bits exceed the budget, or if all its positions are of one part (``label``) already.
     """
-    n = len(keys)
-    parts, forest = _Parts(n), []
-    if n < 2:
-        return forest
-    zeros = [np.concatenate(([0], np.cumsum(((keys >> np.uint64(BITS - 1 - d)) & np.uint64(1)) == 0))) for d in range(BITS)] if n > 24 else None
-    if zeros is None:  # a few keys: their leaves are compared at once
-        x = np.bitwise_count(keys[:, None] ^ keys[None, :])
-        for i, j in zip(*np.nonzero(np.triu(x <= budget, 1)), strict=True):
-            if parts.join(int(i), int(j)):
-                forest.append((int(i), int(j)))
-        return forest
-    # skip the bits that all keys share
-    depth = BITS - int(keys[0] ^ keys[-1]).bit_length()
-    stack = [(depth, np.array([[0, n, 0, n, 0]], np.int64))]
-    label, stale = np.arange(n), 0
-    while stack:
-        d, pairs = stack.pop()
-        if len(pairs) > chunk:
-            stack.append((d, pairs[chunk:]))
-            pairs = pairs[:chunk]
-        if stale:
-            label = np.array([parts.root(i) for i in range(n)]) if stale > n // 64 else label
-            stale = 0 if stale > n // 64 else stale
-        change = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
-        one = (change[pairs[:, 1] - 1] == change[pairs[:, 0]]) & (change[pairs[:, 3] - 1] == change[pairs[:, 2]]) & (label[pairs[:, 0]] == label[pairs[:, 2]])
-        pairs = pairs[~one]
-        if not len(pairs):
-            continue
-        leaf = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1)
-        if leaf.any():
-            a, b = pairs[leaf, 0], pairs[leaf, 2]
-            near = (a != b) & (np.bitwise_count(keys[a] ^ keys[b]) <= budget)
-            for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                if parts.join(i, j):
-                    forest.append((i, j))
-                    stale += 1
-            pairs = pairs[~leaf]
-        if d >= BITS or not len(pairs):
-            continue
-        z = zeros[d]
-        a0, a1, b0, b1, err = pairs.T
-        am, bm = a0 + z[a1] - z[a0], b0 + z[b1] - z[b0]
-        same = (a0 == b0) & (a1 == b1)
-        made = [
-            np.stack((a0, am, b0, bm, err), 1),
-            np.stack((am, a1, bm, b1, err), 1),
-            np.stack((a0, am, bm, b1, err + 1), 1),
-            np.stack((am, a1, b0, bm, err + 1), 1)[~same],
-        ]
-        nxt = np.concatenate(made)
-        nxt = nxt[(nxt[:, 1] > nxt[:, 0]) & (nxt[:, 3] > nxt[:, 2]) & (nxt[:, 4] <= budget)]
-        # a node paired with itself that has one key holds no pair
-        nxt = nxt[~((nxt[:, 0] == nxt[:, 2]) & (nxt[:, 1] - nxt[:, 0] == 1) & (nxt[:, 1] == nxt[:, 3]))]
-        if len(nxt):
-            stack.append((d + 1, nxt))
+
+    def __init__(self, keys: np.ndarray, budget: int, cuts: np.ndarray | None = None, label: np.ndarray | None = None, chunk: int = 1 << 16) -> None:
+        self.keys, self.budget, self.chunk = keys, budget, chunk
+        self.cuts = np.array([0, len(keys)]) if cuts is None else cuts
+        self.relabel(np.arange(len(keys)) if label is None else label)
+
+    def relabel(self, label: np.ndarray) -> None:
+        self.label = label
+        self._change = np.concatenate(([0], np.cumsum(label[1:] != label[:-1]))) if len(label) else np.zeros(1, np.int64)
+
+    def _one_part(self, pairs: np.ndarray) -> np.ndarray:
+        a0, a1, b0, b1, _ = pairs.T
+        return (self._change[a1 - 1] == self._change[a0]) & (self._change[b1 - 1] == self._change[b0]) & (self.label[a0] == self.label[b0])
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions ``i, j`` of all pairs within the budget that are not given up; ``relabel`` may be called between two of them."""
+        keys, budget = self.keys, self.budget
+        lo, hi = self.cuts[:-1], self.cuts[1:]
+        many = hi - lo > 1
+        lo, hi = lo[many], hi[many]
+        if not len(lo):
+            return
+        zeros: dict[int, np.ndarray] = {}
+        stack = [(0, np.stack((lo, hi, lo, hi, np.zeros_like(lo)), 1))]
+        while stack:
+            d, pairs = stack.pop()
+            if len(pairs) > self.chunk:
+                stack.append((d, pairs[self.chunk :]))
+                pairs = pairs[: self.chunk]
+            pairs = pairs[~self._one_part(pairs)]
+            leaf = (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1) if d < BITS else np.ones(len(pairs), bool)
+            if leaf.any():
+                i, j = _positions(pairs[leaf])
+                near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+                if near.any():
+                    yield i[near], j[near]
+                pairs = pairs[~leaf]
+            if not len(pairs):
+                continue
+            if d not in zeros:
+                zeros[d] = np.concatenate(([0], np.cumsum(((keys >> np.uint64(BITS - 1 - d)) & np.uint64(1)) == 0)))
+            z = zeros[d]
+            a0, a1, b0, b1, err = pairs.T
+            am, bm = a0 + z[a1] - z[a0], b0 + z[b1] - z[b0]
+            other = a0 != b0  # of a node paired with itself one of the two mixed pairs is enough
+            nxt = np.concatenate([
+                np.stack((a0, am, b0, bm, err), 1), np.stack((am, a1, bm, b1, err), 1),
+                np.stack((a0, am, bm, b1, err + 1), 1), np.stack((am, a1, b0, bm, err + 1), 1)[other],
+            ])
+            single = (nxt[:, 0] == nxt[:, 2]) & (nxt[:, 1] - nxt[:, 0] == 1)  # one position with itself
+            nxt = nxt[(nxt[:, 1] > nxt[:, 0]) & (nxt[:, 3] > nxt[:, 2]) & (nxt[:, 4] <= budget) & ~single]
+            if len(nxt):
+                stack.append((d + 1, nxt))
+
+
+def _positions(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All position pairs of node pairs (at the last depth a node may hold equal keys)."""
+    a0, a1, b0, b1, _ = pairs.T
+    wide, n = b1 - b0, (a1 - a0) * (b1 - b0)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.repeat(wide, n)
+    return np.repeat(a0, n) + k // wide, np.repeat(b0, n) + k % wide
+
+
+def trie_self_join(keys: np.ndarray, budget: int, cuts: np.ndarray | None = None, chunk: int = 1 << 16) -> list[tuple[int, int]]:
+    """A spanning forest of the graph that links the keys of each trie with at most ``budget`` differing bits."""
+    parts, forest, stale = _Parts(len(keys)), [], 0
+    walk = Walk(keys, budget, cuts, chunk=chunk)
+    for i, j in walk.pairs():
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if parts.join(a, b):
+                forest.append((a, b))
+                stale += 1
+        if stale > len(keys) // 64:
+            walk.relabel(parts.labels())
+            stale = 0
     return forest
 
 
@@ -156,20 +184,17 @@ def _ranges(free: list[int], parts: int) -> list[list[int]]:
 
 
 def _join_buckets(rows: DataFrame, budget: int) -> DataFrame:
-    """Edges of all buckets; rows ``bucket, fp`` come sorted by bucket, and one bucket is held at a time."""
+    """Edges of all buckets, a batch of whole buckets at a time; rows ``kind, bits, fp`` come sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_b, held_f = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
 
         def edges(b: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]).any(axis=1), [True])))
-            u, v = [], []
-            for k in np.flatnonzero(np.diff(cut) > 1):
-                keys = np.unique(f[cut[k] : cut[k + 1]])
-                for i, j in trie_self_join(keys, budget):
-                    u.append(keys[i])
-                    v.append(keys[j])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)], names=["u", "v"])
+            new = np.concatenate(([True], (b[1:] != b[:-1]).any(axis=1)))
+            once = new | np.concatenate(([True], f[1:] != f[:-1]))  # sorted by bucket, then key
+            keys, cuts = f[once], np.append(np.flatnonzero(new[once]), once.sum())
+            pairs = np.array(trie_self_join(keys, budget, cuts), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(keys[pairs[:, k]].view(np.int64)) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
             b = np.concatenate((held_b, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)))
@@ -183,7 +208,8 @@ def _join_buckets(rows: DataFrame, budget: int) -> DataFrame:
         if len(held_b):
             yield edges(held_b, held_f)
 
-    dealt = rows.repartition("kind", "bits").sortWithinPartitions("kind", "bits")
+    # as unsigned numbers, whose order is that of the bits
+    dealt = rows.repartition("kind", "bits").sortWithinPartitions("kind", "bits", F.col("fp").bitwiseXOR(F.lit(-(1 << (BITS - 1)))))
     return dealt.select("kind", "bits", "fp").mapInArrow(run, "u long, v long")
 
 
