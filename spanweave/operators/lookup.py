@@ -21,17 +21,16 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str],
     bucket_of = F.floor(F.col(at) / bucket).alias("__b")
     l = left.select(F.col(by).alias("__k"), bucket_of, F.col(at).alias("__t"), F.lit(1 if strict == forward else 0).alias("__o"), keep.alias("__l"), F.lit(None).cast(_type(right, payload)).alias("__r"))  # noqa: E741
     r = right.select(F.col(by).alias("__k"), bucket_of, F.col(at).alias("__t"), F.lit(0 if strict == forward else 1).alias("__o"), F.lit(None).cast(_type(left, keep)).alias("__l"), payload.alias("__r"))
-    # ties in time: a left row must see right rows of its own time, unless strict
-    w = Window.partitionBy("__k", "__b").orderBy("__t", "__o")
-    if forward:
-        near = F.first("__r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        near = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # Ties in time: a left row must see right rows of its own time, unless strict.  Forward looks run the same growing frame from the other
+    # end; a frame that shrinks would be computed anew for each row.
+    turn = (lambda c: F.col(c).desc()) if forward else F.col
+    growing = Window.unboundedPreceding
+    near = F.last("__r", ignorenulls=True).over(Window.partitionBy("__k", "__b").orderBy(turn("__t"), turn("__o")).rowsBetween(growing, 0))
     rows = l.unionByName(r)
     # the edge sample of every bucket, carried over empty ones
-    edges = rows.groupBy("__k", "__b").agg((F.min_by("__r", "__t") if forward else F.max_by("__r", "__t")).alias("__unused"), (F.min if forward else F.max)(F.when(F.col("__r").isNotNull(), F.struct(F.col(f"__r.{at}").alias("t"), F.col("__r").alias("r")))).alias("__e")).drop("__unused")
-    we = Window.partitionBy("__k").orderBy("__b")
-    carried = F.first("__e", ignorenulls=True).over(we.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("__e", ignorenulls=True).over(we.rowsBetween(Window.unboundedPreceding, -1))
+    sample = F.when(F.col("__r").isNotNull(), F.struct(F.col(f"__r.{at}").alias("t"), F.col("__r").alias("r")))
+    edges = rows.groupBy("__k", "__b").agg((F.min if forward else F.max)(sample).alias("__e"))
+    carried = F.last("__e", ignorenulls=True).over(Window.partitionBy("__k").orderBy(turn("__b")).rowsBetween(growing, -1))
     edges = edges.select("__k", "__b", carried.getField("r").alias("__c"))
     out = rows.withColumn("__n", near).where("__l is not null").join(edges, ["__k", "__b"], "left")
     found = F.coalesce("__n", "__c")

@@ -138,8 +138,9 @@ def playhead_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = intervals.merge(v, 0, tie="span_id")
     probe = v.select("stream_id", (F.col("start") + 400).alias("t"), "span_id", F.lit(None).cast("struct<s:bigint,e:bigint>").alias("m"), F.lit(1).alias("o"))
     rows = probe.unionByName(m.select("stream_id", F.col("start").alias("t"), F.lit(None).cast("long").alias("span_id"), F.struct(F.col("start").alias("s"), F.col("end").alias("e")).alias("m"), F.lit(0).alias("o")))
-    w = Window.partitionBy("stream_id").orderBy("t", "o")
-    rows = rows.withColumn("b", F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("f", F.first("m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w, back = Window.partitionBy("stream_id").orderBy("t", "o"), Window.partitionBy("stream_id").orderBy(F.desc("t"), F.desc("o"))
+    last = F.last("m", ignorenulls=True)  # over a growing frame in both directions; the span at a probe's own time lies in the first
+    rows = rows.withColumn("b", last.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("f", last.over(back.rowsBetween(Window.unboundedPreceding, 0)))
     inside = F.coalesce(F.col("b.e") >= F.col("t"), F.lit(False))
     pick = F.when(inside, F.col("b")).otherwise(F.col("f"))
     return rows.where("span_id is not null").select("span_id", "t", pick.s.alias("start_at"), pick.e.alias("end_at"), inside.alias("inside"))
