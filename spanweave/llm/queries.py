@@ -91,6 +91,16 @@ ORACLE: dict[str, str] = {
         CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
         CAST(sum(15 + length(role) + {_ESCAPES.format('role', '|:')} + length(text) + {_ESCAPES.format('text', '')}) AS BIGINT) AS formatted_chars FROM r GROUP BY conv_id""",
+    "op5_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))), source)), 1, 8) AS BIGINT) >> 2 AS draw FROM documents),
+      p AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, [5.0, 2.0, 1.0][1 + CAST((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 AS INT)]::DOUBLE AS w FROM d GROUP BY source),
+      o AS (SELECT *, 2.0::DOUBLE * ss AS room, 1.5::DOUBLE * sum(ss) OVER () AS total, sum(w) OVER () AS ws FROM p),
+      l AS (SELECT *, row_number() OVER r AS place, (total - coalesce(sum(room) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (ws - coalesce(sum(w) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+        FROM o WINDOW r AS (ORDER BY room / w, source NULLS LAST)),
+      t AS (SELECT source, ss, CASE WHEN water IS NULL THEN room ELSE least(room, w * water) END AS target FROM (SELECT *, (SELECT arg_min(level, place) FROM l WHERE room / w > level) AS water FROM l)),
+      b AS (SELECT *, CASE WHEN ss > 0 THEN CAST(floor(target / ss) AS BIGINT) ELSE 0 END AS whole, CASE WHEN ss > 0 THEN target - floor(target / ss) * ss ELSE 0 END AS rest FROM t),
+      c AS (SELECT source, draw, sum(words) OVER (PARTITION BY source ORDER BY draw) - words AS before, words FROM (SELECT source, draw, sum(size) AS words FROM d GROUP BY 1, 2)),
+      m AS (SELECT c.source, min(draw + CASE WHEN 2 * (rest - before) >= words THEN 1 ELSE 0 END) AS bar FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source WHERE before <= rest AND rest < before + words GROUP BY 1)
+      SELECT d.doc_id, d.size, b.ss AS source_size, b.target, (b.whole + CASE WHEN d.draw < m.bar THEN 1 ELSE 0 END) * d.size AS taken FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source""",
     "op6_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
       g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS k, w FROM d WHERE len(w) >= 13),
       s AS (SELECT doc_id, k, array_to_string(list_slice(w, k, k + 12), ' ') AS win FROM g),

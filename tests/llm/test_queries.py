@@ -126,6 +126,13 @@ def test_op5(spark, small, docs):
         assert r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6
         rate = target[s] / sizes[s] if sizes[s] else 0
         assert r["size"] == 0 or r["taken"] // r["size"] in (int(rate), int(rate) + 1) and r["taken"] % r["size"] == 0 and r["taken"] <= 2 * r["size"]
+    # every source comes within one document (or group of equal draws) of its target
+    for s in names:
+        mine = [r for r in got if by_id[r["doc_id"]]["source"] == s]
+        equal = Counter()
+        for r in mine:
+            equal[r["doc_id"]] += r["size"]
+        assert abs(sum(r["taken"] for r in mine) - target[s]) <= max(equal.values()) / 2 + 1e-6
 
 
 def test_op6(spark, small, docs):
