@@ -20,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, quoted
+from .shared import fresh, join_small, quoted
 
 #: A source table of at most so many rows is broadcast; a larger one is joined by shuffle with salted keys.
 BROADCAST_SOURCES = 100_000
-SALTS = 32
 #: Draws have ROUNDS times SLICE bits.
 ROUNDS, SLICE = 3, 10
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,18 +66,6 @@ def draw(seed: int, doc_id: Column, source: Column, text: Column) -> Column:
     return F.shiftrightunsigned(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), 32 - ROUNDS * SLICE)
 
 
-def _join_sources(rows: DataFrame, per: DataFrame, few: bool, how: str) -> DataFrame:
-    """``rows`` with the columns of ``per`` (one row for each ``source``, null included); many sources are joined with salted keys."""
-    key, salt = fresh(rows, "mix_source", "mix_salt")
-    per = per.withColumnRenamed("source", key)
-    if few:
-        return rows.join(F.broadcast(per), rows["source"].eqNullSafe(per[key]), how).drop(key)
-    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns if c in ("doc_id", "draw", "cell")]), F.lit(SALTS)).cast("int"))
-    other = salt + "r"
-    per = per.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(per, rows["source"].eqNullSafe(per[key]) & (rows[salt] == per[other]), how).drop(key, salt, other)
-
-
 def bars(sizes: DataFrame, shares: DataFrame, few: bool, stage=lambda df, name: df) -> DataFrame:
     """``source, target, source_size, whole, bar`` (one row for each source) from rows ``source, size, draw`` and the sources' targets.
 
@@ -90,12 +77,12 @@ def bars(sizes: DataFrame, shares: DataFrame, few: bool, stage=lambda df, name:
     rows, names = sizes.select("source", "draw", "size"), per.columns
     for k in range(ROUNDS):
         shift = SLICE * (ROUNDS - 1 - k)
-        inside = _join_sources(rows, per.select("source", F.col("bar").alias("at")), few, "inner")
+        inside = join_small(rows, per.select("source", F.col("bar").alias("at")), "source", few, "inner", ("draw",))
         inside = inside.where(F.shiftrightunsigned("draw", shift + SLICE) == F.shiftrightunsigned("at", shift + SLICE))
         cells = inside.groupBy("source", F.shiftrightunsigned("draw", shift).alias("cell")).agg(F.sum("size").alias("words"))
         # at most 2 ** SLICE rows of a source; of equal runs of words the first cell
         cells = cells.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("cell")) - F.col("words"))
-        met = _join_sources(cells, per.select("source", "left"), few, "inner").where("before <= left and left < before + words")
+        met = join_small(cells, per.select("source", "left"), "source", few, "inner", ("cell",)).where("before <= left and left < before + words")
         met = met.groupBy("source").agg(F.min(F.struct("cell", "before", "words")).alias("x")).select("source", "x.*")
         step = per.join(met.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
         if k < ROUNDS - 1:
@@ -118,7 +105,7 @@ def _planned(docs: DataFrame, seed: int, stage, weights: dict) -> tuple[DataFram
 def mix(docs: DataFrame, seed: int = 42, stage=lambda df, name: df, **weights) -> DataFrame:
     """One row for each document: ``doc_id, source, size, source_size, target, copies, taken``; ``stage`` keeps small tables between their uses."""
     sizes, per, few = _planned(docs, seed, stage, weights)
-    out = _join_sources(sizes, per, few, "left")
+    out = join_small(sizes, per, "source", few, "left", ("draw",))
     out = out.withColumn("copies", (F.col("whole") + (F.col("draw") < F.col("bar")).cast("long")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -127,6 +114,6 @@ def emit(docs: DataFrame, seed: int = 42, stage=lambda df, name: df, **weights)
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
     _, per, few = _planned(docs, seed, stage, weights)
     whole, bar, copy = fresh(docs, "mix_whole", "mix_bar", "mix_copy")
-    joined = _join_sources(docs, per.select("source", F.col("whole").alias(whole), F.col("bar").alias(bar)), few, "left")
+    joined = join_small(docs, per.select("source", F.col("whole").alias(whole), F.col("bar").alias(bar)), "source", few, "left", ("doc_id", "text"))
     n = F.col(whole) + (draw(seed, F.col("doc_id"), F.col("source"), F.col("text")) < F.col(bar)).cast("long")
     return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*[quoted(c) for c in docs.columns])

@@ -1,20 +1,22 @@
 """Quality rules with risk-controlled thresholds (native: DataFrame functions only).
 
-Each rule compares one ratio of a document with a cutoff out of a fixed grid.
-Labelled documents are the holdout (the grid does not depend on them).  For each stratum,
-rule and cutoff the test rejects "the rule would reject more than its share of ``risk`` of the
-good documents" by the exact binomial tail.  The cutoffs of a rule are tested from the most lenient on and the
-first failure ends the sequence, which needs no correction among them; among rules and strata the level is divided (Bonferroni).
-Among cutoffs that pass, a rule takes in each stratum the one
-that catches most bad documents net of good ones, or none.  The shares of the rules add
-up to ``risk``, so that with probability ``1 - level`` no stratum loses more than ``risk`` of its good documents.
+Each rule compares one ratio of a document with a cutoff out of a fixed grid.  The grids are walked together in ``STEPS`` steps from lenient
+to strict: the policy of a step rejects what any rule rejects at its cutoff of that step.  Labelled documents are the holdout (grid
+and steps do not depend on them); of equal texts one counts, as copies are no draws of their own.
+
+For each stratum the steps are tested in order: the exact binomial tail must reject "the policy would reject more than ``risk`` of the good documents"
+at ``level`` divided by the number of strata (Bonferroni).  The first failure ends the sequence, which needs no correction among the
+steps.  A cutoff no stricter than a certified step's rejects no more than that step, so among these each rule takes freely the one that catches
+most bad documents net of good ones, or none.  With probability ``1 - level`` no stratum loses more than ``risk`` of its good documents.
+(Without errors a step needs log(level / strata) / log(1 - risk) good documents: 59 for one stratum, 90 for five.)
+
+Strata are the languages with ``least`` labelled texts; all others, and null, make up one stratum that is certified on their own labels.
 
 Defined results
 * null or blank text: all counts 0, base_failed, not kept;
-* a stratum (language) with fewer than ``least`` labelled rows, or null, or not among the ``strata`` most frequent,
-  is judged by the pooled stratum, which has cutoffs of its own;
 * without labels no cutoff is certified and only the base rules reject;
-* repeated document rows are judged alike; labels of one document that disagree count as good.
+* repeated document rows are judged alike; labels of one document or text that disagree count as good;
+* an empty table gives an empty result; other columns of the input are not returned.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import join_small
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: rule -> (numerator, denominator, cutoffs in percent); a document fails if 100 * numerator > cutoff * denominator
 RULES = {
@@ -32,20 +36,39 @@ RULES = {
     "marks": ("n_marks", "n_words", (20, 40, 60, 80, 100, 120, 150, 180)),
     "digits": ("n_digits", "word_chars", (10, 20, 30, 40, 50)),
 }
+#: The stratum of all languages with few labels.
 POOLED = "*"
+STEPS = 10
+#: A table of at most so many strata is broadcast; a larger one is joined with salted keys.
+BROADCAST_STRATA = 10_000
+
+
+def step_of(rule: str, cutoff: float) -> int:
+    """The first step whose policy has a cutoff of this rule that is at least as strict."""
+    lenient_first = sorted(RULES[rule][2], reverse=True)
+    return next(k for k in range(1, STEPS + 1) if _at(lenient_first, k) <= cutoff)
+
+
+def _at(lenient_first: list[float], step: int) -> float:
+    """A rule's cutoff at a step; the last step has the strictest."""
+    return lenient_first[-(-step * len(lenient_first) // STEPS) - 1]
+
+
+def _fails(rule: str, cutoff: Column | float) -> Column:
+    num, den, _ = RULES[rule]
+    return 100 * F.col(num) > (F.lit(float(cutoff)) if not isinstance(cutoff, Column) else cutoff) * F.col(den)
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, lang`` and the counts of each document; whole texts."""
+    """``doc_id, lang``, a hash of the text and the counts of each document; whole texts."""
     t = F.coalesce(F.col(text), F.lit(""))
-    keep = [F.col("doc_id"), F.col("lang")]
-    d = docs.select(*keep, t.alias("t"))
-    d = d.select("doc_id", "lang", "t", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"))
+    d = docs.select("doc_id", "lang", t.alias("t"))
+    d = d.select("doc_id", "lang", F.xxhash64("t").alias("text_key"), "t", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("w")
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1))))
     d = d.select(
-        "doc_id", "lang",
+        "doc_id", "lang", "text_key",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -65,7 +88,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc: acc.n,
     )
     return d.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols",
+        "doc_id", "lang", "text_key", "n_words", "word_chars", "n_symbols",
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("ls").cast("long").alias("n_lines"), "n_upper", "n_marks", "n_digits",
@@ -76,70 +99,88 @@ def base_failed(least_words: int = 50, most_repeats: int = 50) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
 
 
+def _log_gamma(x: Column) -> Column:
+    """By Stirling's series at x + 16 (x of 1 and more)."""
+    y = x + 16.0
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y)
+    return series - F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda acc, i: acc + F.log(x + i))
+
+
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed in log space from the term at 0; exact up to rounding."""
-    odds = F.log(p) - F.log1p(-p)
-    zero = F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("most"), F.lit(1.0).alias("sum"))
+    """P(X <= k) for X ~ Binomial(n, p), exact up to rounding: the term at k times the sum of the ratios of the terms below it.
+
+    Terms more than 12 deviations below the mean or below k are less than rounding and are not summed.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    mean, far = n * p, 12.0 * F.sqrt(n * p * (1 - p)) + 50.0
+    at_k = _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * F.log(p) + (n - k) * F.log1p(-p)
+    terms = F.least(k, far + F.greatest(F.lit(0.0), k - mean)).cast("long")
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def step(acc: Column, j: Column) -> Column:
-        term = acc.term + F.log(n - j + 1) - F.log(j.cast("double")) + odds
-        most = F.greatest(acc.most, term)
-        return F.struct(term.alias("term"), most.alias("most"), (acc["sum"] * F.exp(acc.most - most) + F.exp(term - most)).alias("sum"))
+        term = acc.term * (k - j + 1) * (1 - p) / ((n - k + j) * p)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    steps = F.when(terms >= 1, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.exp(at_k + F.log(F.aggregate(steps, zero, step, lambda acc: acc["sum"])))
+    return F.when((n <= 0) | (k >= n) | (k > mean + far), F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
+
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    logs = F.aggregate(steps, zero, step, lambda acc: acc.most + F.log(acc["sum"]) + n * F.log1p(-p))
-    return F.when(n <= 0, F.lit(1.0)).when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(logs)))
+def strata_of(labelled: DataFrame, least: int = 200) -> DataFrame:
+    """``lang`` of the languages with labelled texts enough for a stratum of their own."""
+    return labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("lang", F.col("lang").alias("stratum"))
 
 
-def cutoffs(labelled: DataFrame, risk: float = 0.05, level: float = 0.05, strata: int = 64, least: int = 200) -> DataFrame:
-    """``stratum, rule, cutoff, n_good, n_false, n_caught, p_value`` of the cutoffs taken, from rows of counts with ``quality``.
+def cutoffs(labelled: DataFrame, risk: float = 0.05, level: float = 0.05, stage=lambda df, name: df) -> DataFrame:
+    """``stratum, rule, cutoff, n_good, n_false, n_caught, steps`` of the cutoffs taken, from rows of counts with ``quality`` and ``stratum``.
 
-    ``n_false`` of ``n_good`` good holdout documents fail at the cutoff.  At most ``strata + 1`` times the number of rules rows.
+    ``n_false`` of ``n_good`` good holdout documents fail at the cutoff; the steps up to ``steps`` are certified.
     """
-    sized = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("lang").isNotNull() & (F.col("n") >= least))
-    top = sized.orderBy(F.col("n").desc(), "lang").limit(strata).select(F.col("lang").alias("stratum_lang"))
-    rows = labelled.join(F.broadcast(top), labelled["lang"] == top["stratum_lang"], "left")
-    rows = rows.withColumn("stratum", F.explode(F.array_compact(F.array(F.lit(POOLED), F.col("stratum_lang")))))
-    rules = F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), (100 * F.col(num) > c * F.col(den)).alias("fails"))
-        for rule, (num, den, grid) in RULES.items() for c in grid
+    tests = F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.lit(step_of(rule, c)).alias("step"), _fails(rule, c).alias("fails"))
+        for rule, (_, _, grid) in RULES.items() for c in grid
+    ], *[
+        F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("double").alias("cutoff"), F.lit(k).alias("step"), F.exists(F.array(*[_fails(r, _at(sorted(g, reverse=True), k)) for r, (_, _, g) in RULES.items()]), lambda x: x).alias("fails"))
+        for k in range(1, STEPS + 1)
     ])
-    counted = (
-        rows.select("stratum", "quality", F.explode(rules).alias("r"))
-        .groupBy("stratum", "r.rule", "r.cutoff")
-        .agg(
-            F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("n_good"),
-            F.sum(F.when((F.col("quality") == 1) & F.col("r.fails"), 1).otherwise(0)).alias("n_false"),
-            F.sum(F.when((F.col("quality") == 0) & F.col("r.fails"), 1).otherwise(0)).alias("n_caught"),
-        )
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
+    counted = labelled.select("stratum", "quality", F.explode(tests).alias("r")).groupBy("stratum", "r.rule", "r.cutoff", "r.step").agg(
+        F.count(F.when(good, 1)).alias("n_good"), F.count(F.when(good & F.col("r.fails"), 1)).alias("n_false"), F.count(F.when(bad & F.col("r.fails"), 1)).alias("n_caught"),
     )
-    p_value = binomial_tail(F.col("n_false"), F.col("n_good"), F.lit(risk / len(RULES)))
-    counted = counted.withColumn("p_value", p_value).withColumn("n_strata", F.size(F.collect_set("stratum").over(Window.partitionBy())))  # a small table by now
-    passed = (F.col("p_value") <= level / (len(RULES) * F.col("n_strata"))).cast("int")
-    so_far = Window.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    certified = counted.withColumn("ok", F.min(passed).over(so_far)).where("ok = 1").drop("ok", "n_strata")
-    useful = certified.withColumn("gain", F.col("n_caught") - 10 * F.col("n_false")).where(F.col("gain") > 0)
+    counted = stage(counted, "rule-tests")  # a few dozen rows for each stratum
+    n_strata = counted.select("stratum").distinct().count()
+    joint = counted.where("rule is null").withColumn("p_value", binomial_tail(F.col("n_false"), F.col("n_good"), F.lit(risk)))
+    so_far = Window.partitionBy("stratum").orderBy("step")
+    passed = F.min((F.col("p_value") <= level / max(1, n_strata)).cast("int")).over(so_far)
+    certified = joint.withColumn("ok", passed).where("ok = 1").groupBy("stratum").agg(F.max("step").alias("steps"))
+    useful = counted.where("rule is not null").join(certified, "stratum").where("step <= steps").withColumn("gain", F.col("n_caught") - 10 * F.col("n_false")).where("gain > 0")
     best = Window.partitionBy("stratum", "rule").orderBy(F.col("gain").desc(), F.col("n_false"), F.col("cutoff").desc())
-    return useful.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "gain")
+    return useful.withColumn("k", F.row_number().over(best)).where("k = 1").select("stratum", "rule", "cutoff", "n_good", "n_false", "n_caught", "steps")
 
 
-def verdicts(counts: DataFrame, labels: DataFrame, stage=lambda df, name: df, strata: int = 64, **parameters) -> DataFrame:
-    """Adds ``base_failed``, ``stratum`` and ``kept`` to the counts."""
+def holdout(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The counts of labelled documents that pass the base rules, with ``quality``; one row for each text."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labelled = counts.where(~base_failed()).join(known, "doc_id")
-    chosen = stage(cutoffs(labelled, strata=strata, **parameters), "rule-cutoffs")
-    wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES])
-    # a stratum whose every rule found no certified cutoff has no row, and no rule rejects there
-    sized = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    own = stage(sized.where(F.col("lang").isNotNull() & (F.col("n") >= parameters.get("least", 200))).orderBy(F.col("n").desc(), "lang").limit(strata).select(F.col("lang").alias("own")), "rule-strata")
-    # both tables have at most strata + 1 rows
-    out = counts.join(F.broadcast(own), counts["lang"] == own["own"], "left").withColumn("stratum", F.coalesce("own", F.lit(POOLED))).drop("own")
-    out = out.join(F.broadcast(wide), "stratum", "left")
-    fails = F.lit(False)
-    for rule, (num, den, _) in RULES.items():
-        fails = fails | F.coalesce(100 * F.col(num) > F.col(f"c_{rule}") * F.col(den), F.lit(False))
+    return labelled.groupBy("text_key").agg(F.max(F.struct("quality", *[c for c in counts.columns if c != "text_key"])).alias("x")).select("x.*")
+
+
+def verdicts(counts: DataFrame, labels: DataFrame, stage=lambda df, name: df, least: int = 200, **parameters) -> DataFrame:
+    """Adds ``stratum``, ``base_failed`` and ``kept`` to the counts."""
+    labelled = stage(holdout(counts, labels), "rule-holdout")
+    own = stage(strata_of(labelled, least), "rule-strata")
+    few = own.count() <= BROADCAST_STRATA
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return join_small(rows, own, "lang", few, "left", ("doc_id",)).withColumn("stratum", F.coalesce("stratum", F.lit(POOLED)))
+
+    chosen = cutoffs(placed(labelled), stage=stage, **parameters)
+    wide = stage(chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in RULES]), "rule-cutoffs")
+    # a stratum without a certified step has no row, and no rule rejects there
+    out = join_small(placed(counts), wide, "stratum", few, "left", ("doc_id",))
+    fails = [F.coalesce(_fails(rule, F.col(f"c_{rule}")), F.lit(False)) for rule in RULES]
     out = out.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~fails).drop(*[f"c_{r}" for r in RULES])
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.exists(F.array(*fails), lambda x: x)).drop(*[f"c_{r}" for r in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, stage=lambda df, name: df, **parameters) -> DataFrame:

@@ -82,6 +82,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def join_small(rows: DataFrame, small: DataFrame, key: str, few: bool, how: str, salt_by: tuple[str, ...], salts: int = 32) -> DataFrame:
+    """``rows`` with the columns of ``small`` (one row for each ``key``, which may be null).
+
+    ``few`` says that ``small`` was counted and may be broadcast; else it is repeated under ``salts`` numbers, and ``rows`` are dealt
+    to these by the hash of ``salt_by``, so that a key with a great part of the rows is spread.
+    """
+    other, salt = fresh(rows, f"{key}_of_small", f"{key}_salt")
+    small = small.withColumnRenamed(key, other)
+    if few:
+        return rows.join(F.broadcast(small), rows[key].eqNullSafe(small[other]), how).drop(other)
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*map(quoted, salt_by)), F.lit(salts)).cast("int"))
+    small = small.withColumn(salt + "r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(small, rows[key].eqNullSafe(small[other]) & (rows[salt] == small[salt + "r"]), how).drop(other, salt, salt + "r")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

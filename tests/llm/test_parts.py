@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -190,17 +191,67 @@ def test_binomial_tail(spark):
         assert math.isclose(t, min(1.0, want), rel_tol=1e-6)
 
 
-def test_certified_cutoffs_keep_the_risk(spark):
+def labelled_counts(spark, n=6000, languages=("en", "de")):
     r = random.Random(9)
     rows = []
-    for i in range(12_000):
+    for i in range(n):
         good = r.random() < 0.9
-        symbols = r.randint(0, 3) if good else r.randint(10, 60)
-        rows.append((i, "en" if i % 2 else "de", 100, 500, symbols, 0, 0, 10, 5, 2, 1, int(good)))
-    names = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, n_digits long, quality int"
-    chosen = quality_rules.cutoffs(spark.createDataFrame(rows, names)).collect()
-    assert {c["stratum"] for c in chosen if c["rule"] == "symbols"} == {"en", "de", "*"}
-    assert all(c["n_false"] <= 0.05 / 6 * c["n_good"] for c in chosen) and all(c["n_caught"] > 0 for c in chosen)
+        symbols = r.randint(0, 3) if good else r.randint(130, 300)
+        digits = r.randint(0, 200) if i % len(languages) else 2  # good texts of the second language are full of digits
+        rows.append((i, languages[i % len(languages)], i, 100, 500, symbols, 0, 0, 10, 5, 2, digits, int(good)))
+    names = "doc_id long, lang string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long, n_digits long, quality int"
+    return spark.createDataFrame(rows, names)
+
+
+def test_certified_cutoffs_keep_the_risk(spark):
+    rows = labelled_counts(spark)
+    chosen = quality_rules.cutoffs(rows.withColumn("stratum", F.col("lang"))).collect()
+    assert {c["stratum"] for c in chosen if c["rule"] == "symbols"} == {"en", "de"}
+    assert all(c["n_false"] <= 0.05 * c["n_good"] and c["n_caught"] > 10 * c["n_false"] for c in chosen)
+    # the joint test ends where digits would reject too many, and symbols may not be cut at a later step
+    steps = {c["stratum"]: c["steps"] for c in chosen}
+    assert steps["en"] == quality_rules.STEPS > steps["de"]
+    assert all(quality_rules.step_of(c["rule"], c["cutoff"]) <= c["steps"] for c in chosen)
+
+
+def test_verdicts_against_plain_counting(spark):
+    """The sequence of tests, the choice of cutoffs and the verdicts, done again in plain Python."""
+    df = labelled_counts(spark, 900, ("en", "de", "fr")).unionByName(labelled_counts(spark, 90, ("it", None)).withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text_key", F.col("text_key") + 10_000))
+    again = df.limit(50).withColumn("doc_id", F.col("doc_id") + 50_000)  # copies of labelled texts count once
+    counts = df.unionByName(again)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(counts.drop("quality"), counts.select("doc_id", "quality")).collect()}
+    rows = [r.asDict() for r in counts.collect()]
+    texts = {r["text_key"]: r for r in rows}
+
+    def fails(r, rule, c):
+        num, den, _ = quality_rules.RULES[rule]
+        return 100 * r[num] > c * r[den]
+
+    def tail(k, n, p):
+        return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+
+    strata = defaultdict(list)
+    per = Counter(r["lang"] for r in texts.values())
+    place = lambda r: r["lang"] if r["lang"] is not None and per[r["lang"]] >= 200 else "*"
+    for r in texts.values():
+        strata[place(r)].append(r)
+    assert len(strata) == 4
+    cut = {}
+    for s, members in strata.items():
+        good, bad = [r for r in members if r["quality"]], [r for r in members if not r["quality"]]
+        steps = 0
+        for k in range(1, 11):
+            at = {rule: sorted(g, reverse=True)[math.ceil(k * len(g) / 10) - 1] for rule, (_, _, g) in quality_rules.RULES.items()}
+            if tail(sum(any(fails(r, x, c) for x, c in at.items()) for r in good), len(good), 0.05) > 0.05 / len(strata):
+                break
+            steps = k
+        for rule, (_, _, grid) in quality_rules.RULES.items():
+            for c in sorted(grid, reverse=True):
+                n_false, caught = sum(fails(r, rule, c) for r in good), sum(fails(r, rule, c) for r in bad)
+                if steps and quality_rules.step_of(rule, c) <= steps and caught > 10 * n_false and (caught - 10 * n_false, -n_false, c) > cut.get((s, rule), (0, 0, 0)):
+                    cut[s, rule] = caught - 10 * n_false, -n_false, c
+    want = {r["doc_id"]: not any(fails(r, rule, c[2]) for (s, rule), c in cut.items() if s == place(r)) for r in rows}
+    assert got == want and 0 < sum(not x for x in want.values()) < 200
 
 
 def test_water_filling(spark):
