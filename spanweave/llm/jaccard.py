@@ -1,19 +1,25 @@
-"""Near-dedup of whole texts by exact Jaccard similarity of word shingles.
+"""SimHash near-dedup of whole texts at a Jaccard similarity, confirmed exactly.
 
-A text's set is that of its hashed ``shingle``-word runs (A-Z lower-cased).  Two texts are linked if the sets' Jaccard similarity is
-``least`` percent or more; groups are what links connect.  No pair is missed: with every set in one common order, two such sets share an
-element among the first ``n - ceil(least * n) + 1`` of each (prefix filter).
+A text's set is that of its hashed ``shingle``-word runs (A-Z lower-cased); its fingerprint is the SimHash of the set.  Two texts are linked if the
+sets' Jaccard similarity is ``least`` percent or more; groups are what links connect.
 
-1. The order is by hash, but shingles that stand in many prefixes come last (any order is right; this one keeps buckets small).
-2. The prefixes meet in buckets, one for each shingle; buckets of one text are dropped.
-3. Candidates are taken from the buckets and compared by their whole sets.  The first ``stars`` rounds take one centre in each bucket, which joins large
-   groups by few pairs; the last takes all pairs that are not in one group yet.  Pairs are given up before their sets are read if sizes, the places of the shingle
-   or the sets' bit tables (a bit that one set lacks is an element that it lacks) show that they share too little; no bound gives up a pair that is similar enough.
+Fingerprints of such texts differ in up to ``BUDGET`` of 64 bits, too many for a trie of all fingerprints: nearly all pairs of nodes would stay within
+that budget down to single texts.  So the tries are those of blocks that every pair of similar sets shares: with every set in one common
+order, two sets share an element among the first ``n - ceil(least * n) + 1`` of each (prefix filter).
+
+1. The order is by hash, but shingles that stand in many prefixes come last (any order is right; this one keeps blocks small).
+2. The prefixes meet in blocks, one for each shingle; blocks of one text are dropped.
+3. In each block the fingerprints' tries are walked against themselves with the Hamming budget (``simhash.Walk``); a pair of nodes whose texts are in one
+   group already is given up.  Pairs left are dropped if their sizes or the places of the shingle show that they share too little, and the others are
+   compared by their whole sets.  The first ``stars`` rounds only compare one text of each block with the others, which joins large groups by few pairs.
+
+The budget is the only step that could lose a link: bits differ with a chance of acos(2 J / (1 + J)) / pi = 0.151 at J = 0.8 (at most 0.19 for
+sets of a few shingles), so that more than 26 of 64 do for fewer than 1 pair in 200,000 at that similarity, and for none above 0.9 in practice.
 
 Defined results
 * null, empty or blank text: all one group; fewer words than a shingle: the whole sequence;
 * null doc_id: the row stays only if its group has no id; of a group without ids one row stays;
-* rows equal in id are cut to one; an empty table gives an empty result.
+* rows equal in id are cut to one; an empty table gives an empty result; extra columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -22,20 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import blocks, find_words, gram_hashes, stage, word_hashes
+from .shared import blocks, find_words, fresh, gram_hashes, quoted, stage, word_hashes
+from .simhash import BITS, Walk
 
 SHINGLE, LEAST = 5, 80
 #: Shingles that come last in the order (a bounded table), and in how many prefixes one must stand.
 COMMON, COMMON_IN = 100_000, 8
 #: Texts that a task remembers, to skip exact copies.
 SEEN = 200_000
-#: Longs of a set's bit table.
-SKETCH = 8
-_BITS = [f"b{k}" for k in range(SKETCH)]
+#: Differing bits of the fingerprints of similar texts, at most.
+BUDGET = 26
+#: Pairs that a task puts out at once.
+PAIRS = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -107,42 +115,49 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("h").sortWithinPartitions("h", "th").mapInArrow(run, "h long, th long, n long, place long")
 
 
+def _set_fingerprint(elements: np.ndarray) -> int:
+    """The SimHash of a set of hashes, as a signed long; ties of a bit are zeros."""
+    ones = np.unpackbits(elements.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(elements)).tobytes(), "big", signed=True)
+
+
 def _candidates(rows: DataFrame, least: int, star: int | None) -> DataFrame:
-    """``u, v`` from rows ``h, th, n, place, part`` and bit tables: pairs of a bucket that are in different parts and may be similar enough."""
+    """``u, v`` from rows ``h, th, n, place, part, fp``: pairs of a block that are in different parts and may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, th, n, place, part, *bits in _each_bucket(batches, 5 + SKETCH):
-            bits = np.stack(bits, 1).view(np.uint64)
-            cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+        for h, th, n, place, part, fp in _each_bucket(batches, 6):
+            fp = fp.view(np.uint64)
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            cuts = np.append(np.flatnonzero(new), len(h))
             found: list[np.ndarray] = []
             size = 0
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                t, m, p, c, s = (x[lo:hi] for x in (th, n, place, part, bits))
-                kinds, at, often = np.unique(c, return_inverse=True, return_counts=True)
-                if len(kinds) < 2:
-                    continue
-                if star is None:  # every pair has a row outside the largest part
-                    centres = np.flatnonzero(at != int(np.argmax(often)))
-                else:
-                    with np.errstate(over="ignore"):
-                        centres = [int(np.argmin((t.view(np.uint64) ^ np.uint64(star)) * np.uint64(0x9E3779B97F4A7C15)))]
-                for k in centres:
-                    most = np.minimum(m - p, m[k] - p[k])
-                    ok = np.flatnonzero((c != c[k]) & (100 * np.minimum(m, m[k]) >= least * np.maximum(m, m[k])) & ((100 + least) * most >= least * (m + m[k])))
-                    if len(ok):
-                        lack = np.bitwise_count(s[ok] & ~s[k]).sum(axis=1, dtype=np.int64), np.bitwise_count(s[k] & ~s[ok]).sum(axis=1, dtype=np.int64)
-                        most = np.minimum(m[ok] - lack[0], m[k] - lack[1])
-                        ok = ok[(100 + least) * most >= least * (m[ok] + m[k])]
-                    if len(ok):
-                        found.append(np.stack((np.minimum(t[ok], t[k]), np.maximum(t[ok], t[k]))))
-                        size += found[-1].shape[1]
-                        if size > 1 << 16:
-                            yield _pairs(found)
-                            found, size = [], 0
+            for i, j in _stars(cuts, th, fp, part, star) if star is not None else Walk(fp, BUDGET, cuts, part).pairs():
+                ni, nj = n[i], n[j]
+                most = np.minimum(ni - place[i], nj - place[j])  # elements that both can have from the shingle on
+                ok = (part[i] != part[j]) & (100 * np.minimum(ni, nj) >= least * np.maximum(ni, nj)) & ((100 + least) * most >= least * (ni + nj))
+                i, j = i[ok], j[ok]
+                if len(i):
+                    found.append(np.stack((np.minimum(th[i], th[j]), np.maximum(th[i], th[j]))))
+                    size += len(i)
+                    if size > PAIRS:
+                        yield _pairs(found)
+                        found, size = [], 0
             if found:
                 yield _pairs(found)
 
-    return rows.repartition("h").sortWithinPartitions("h").select("h", "th", "n", "place", "part", *_BITS).mapInArrow(run, "u long, v long").distinct()
+    # by unsigned fingerprint, whose order is that of the bits
+    dealt = rows.repartition("h").sortWithinPartitions("h", F.col("fp").bitwiseXOR(F.lit(-(1 << (BITS - 1)))))
+    return dealt.select("h", "th", "n", "place", "part", "fp").mapInArrow(run, "u long, v long").distinct()
+
+
+def _stars(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray, star: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One text of each block with all others of its block that are within the budget."""
+    with np.errstate(over="ignore"):
+        order = (th.view(np.uint64) ^ np.uint64(star)) * np.uint64(0x9E3779B97F4A7C15)
+    length = np.diff(cuts)
+    centre = np.repeat(np.lexsort((order, np.repeat(np.arange(len(length)), length)))[cuts[:-1]], length)
+    i = np.flatnonzero(np.bitwise_count(fp ^ fp[centre]) <= BUDGET)
+    yield i, centre[i]
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -157,7 +172,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where((100 + least) * both >= least * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, stars: int = 2) -> DataFrame:
+def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, stars: int = 1) -> DataFrame:
     """``node, component`` for the texts (by 64-bit hash) that are linked to another."""
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
     common = _prefixes(texts, np.zeros(0, np.uint64), shingle, least).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON_IN)
@@ -170,15 +185,12 @@ def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, sta
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 sets = list(_sets(part.column(1), shingle))
-                bits = np.zeros((len(sets), SKETCH), np.uint64)
-                for i, s in enumerate(sets):
-                    at = s % np.uint64(64 * SKETCH)
-                    np.bitwise_or.at(bits[i], (at // np.uint64(64)).astype(np.int64), np.uint64(1) << at % np.uint64(64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(x) for x in bits.view(np.int64).T)], names=["th", "elements", *_BITS])
+                prints = pa.array([_set_fingerprint(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), prints], names=["th", "elements", "fp"])
 
     met = texts.join(buckets.select("th").distinct(), "th", "left_semi")
-    sets = stage(met.mapInArrow(elements, f"th long, elements array<long>, {', '.join(f'{x} long' for x in _BITS)}").dropDuplicates(["th"]), "shingle-sets")
-    rows_of = buckets.join(sets.select("th", *_BITS), "th")
+    sets = stage(met.mapInArrow(elements, "th long, elements array<long>, fp long").dropDuplicates(["th"]), "shingle-sets")
+    rows_of = buckets.join(sets.select("th", "fp"), "th")
     edges = found = None
     for star in [*range(stars), None]:
         if found is None:
@@ -201,8 +213,10 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     first = named.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "rows")).alias("x")).select("x.*")
     # an id that comes first in several groups names one document; rows without an id are each their own
     whole = first.where("none").unionByName(first.where("not none").groupBy("doc_id").agg(F.min(F.struct("th", "rows")).alias("y")).select(F.lit(False).alias("none"), "doc_id", "y.th", "y.rows"))
-    chosen = stage(whole.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("rows").alias("__rows")), "kept-texts")
+    key, th, n = fresh(docs, "kept_id", "kept_th", "kept_rows")
+    chosen = stage(whole.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("rows").alias(n)), "kept-texts")
     # the documents are shuffled once; equal rows (few) are cut to one
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs["text"]) == chosen["__th"]))
-    one = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["doc_id", "__th"]))
-    return one.select(*[F.col(f"`{c}`") for c in names])
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[key]) & (F.xxhash64(docs["text"]) == chosen[th]))
+    first_of_equal = F.row_number().over(Window.partitionBy("doc_id", th).orderBy(F.xxhash64(*[quoted(c) for c in names])))
+    one = kept.where(F.col(n) == 1).unionByName(kept.where(F.col(n) > 1).withColumn(n, first_of_equal).where(F.col(n) == 1))
+    return one.select(*[quoted(c) for c in names])

@@ -12,8 +12,8 @@ import corpus_pipeline
 from spanweave.llm import classifier
 from spanweave.llm.queries import TOKENIZERS
 from spanweave.llm.shared import stage, table
-from spanweave.llm.simhash import fingerprint
 
+from .test_near_copies import groups_of, shingles
 from .test_queries import WORD
 
 EXTRA = ("size", "target", "source_size", "score", "count", "spans", "component_id", "label", "quality", "draw", "u", "v", "fp", "rep", "copies", "first", "th", "anchor", "node", "taken", "w", "n")
@@ -52,24 +52,15 @@ def test_classifier_stage(spark, small, stages):
 
 
 def test_near_dedup_stage(stages):
+    """The stage takes five words and a similarity of 0.8: groups by brute force over whole sets."""
     before, after = rows_of(stages[1]), rows_of(stages[2])
-    prints = [fingerprint(r["text"]) for r in before]
-    ids = list(range(len(before)))
-
-    def root(i):
-        while ids[i] != i:
-            i = ids[i]
-        return i
-
-    for i in range(len(before)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                a, b = root(i), root(j)
-                ids[max(a, b)] = min(a, b)
-    groups = defaultdict(set)
-    for i, r in enumerate(before):
-        groups[root(i)].add(r["doc_id"])
-    want = {min((x for x in g if x is not None), default=None) for g in groups.values()}
+    sets = [shingles(r["text"]) for r in before]
+
+    def alike(i, j):
+        return sets[i] == sets[j] or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+
+    ids = [[before[i]["doc_id"] for i in g] for g in groups_of(list(range(len(before))), alike)]
+    want = {min((x for x in g if x is not None), default=None) for g in ids}
     assert Counter(r["doc_id"] for r in after) == Counter(want)
 
 
