@@ -8,13 +8,14 @@ sequence also starts in a document with a smaller doc_id is removed.
    texts are recurring.  Exact copies of a text count as one text here, so a group of copies costs no more than its first member.
 2. Phrases.  Runs of windows with a recurring anchor are cut out of the first document of each text, with their place.
    Equal phrases are one row with their smallest and largest doc_id: a phrase confirms its windows.
-3. Automata.  Anchors are dealt into shards of bounded size.  A shard's confirmed windows (in two documents at least)
+3. Automata.  Anchors are dealt into shards of bounded size; the phrases of an anchor with more words than a shard are cut into single
+   windows, which are dealt by their own hash.  A shard's confirmed windows (in two documents at least)
    become one Aho-Corasick automaton over word numbers, and the shard's text is streamed through it to locate every occurrence.
    A shard with much text is streamed by several tasks, each with the shard's automaton.
 4. The covered places go back to their documents; exact copies of an earlier document are covered from end to end.
 
-Hashes only choose what is looked at; which words go is decided by comparing words.  (Two different texts are taken
-for one only if both the 64-bit hash and the length agree.)
+Hashes only choose what is looked at; which words go is decided by comparing words.  (Two texts are taken for one if
+64 bits of XXH64 and 64 bits of SHA-256 agree.)
 
 Defined results
 * null or blank text: no words, nothing removed; fewer words than a window: nothing removed;
@@ -34,16 +35,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, find_words, gram_hashes, stage, word_hashes
+from .shared import blocks, find_words, fresh, gram_hashes, join_small, quoted, stage, word_hashes
 
 WIDTH, GRAM = 13, 5
 #: Words of phrases that one automaton is made of, and words of text that one task streams through it, about.
 SHARD_WORDS, STREAM_WORDS = 120_000, 4_000_000
 ROWS = 5_000
+#: Over so many partitions a group of exact copies is dealt.
+SALTS = 16
+#: A table of at most so many heavy anchors is broadcast.
+BROADCAST_ANCHORS = 100_000
 
 
 def _text_key() -> list[Column]:
-    return [F.xxhash64("text").alias("th"), F.length("text").alias("tl")]
+    return [F.xxhash64("text").alias("th"), F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long").alias("tl")]
 
 
 def _window_anchors(h: np.ndarray, counts: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,6 +181,18 @@ def _locate(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, begin long, end long")
 
 
+def _dealt(rows: DataFrame, heavy: DataFrame, shards: int, width: int) -> DataFrame:
+    """Phrase rows with their ``shard``; those of heavy anchors are cut into windows (``place`` and ``n`` follow)."""
+    marked = join_small(rows, heavy, "anchor", heavy.count() <= BROADCAST_ANCHORS, "left", ("phrase",))
+    words = F.split("phrase", " ")
+    windows = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - width), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, width), " ").alias("phrase")))
+    cut = marked.where("heavy").withColumn("x", F.explode(windows)).withColumn("phrase", F.col("x.phrase")).withColumn("n", F.lit(width).cast("long"))
+    if "place" in rows.columns:
+        cut = cut.withColumn("place", F.col("place") + F.col("x.at"))
+    both = marked.where("heavy is null").drop("heavy").withColumn("key", F.lit(None).cast("string")).unionByName(cut.withColumn("key", F.col("phrase")).drop("x", "heavy"))
+    return both.withColumn("shard", F.pmod(F.xxhash64("anchor", "key", F.lit(7)), F.lit(shards))).drop("key")
+
+
 def covered_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, th, tl, spans`` (arrays of begin and end word) and ``whole`` (covered from end to end) for the texts with words to remove."""
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
@@ -192,19 +209,23 @@ def covered_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     phrases = stage(phrases, "distinct-phrases")
     total = phrases.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(shards)).alias("shard")
+    heavy = stage(phrases.groupBy("anchor").agg(F.sum("n").alias("words")).where(F.col("words") > SHARD_WORDS).select("anchor", F.lit(True).alias("heavy")), "heavy-anchors")
+    once, phrases = (_dealt(rows, heavy, shards, width) for rows in (once, phrases))
     # one row for each shard: how many tasks its text needs
-    load = once.select(shard, "n").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("parts"))
+    load = once.select("shard", "n").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("parts"))
     load = stage(load, "shard-loads")
     part = F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int").alias("part")
-    text = once.select("*", shard).join(load, "shard").select("shard", part, F.lit(1).alias("kind"), F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), "th", "place", "phrase")
-    made = phrases.select("*", shard).join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "lo", "hi", F.lit(0).cast("long").alias("th"), F.lit(0).cast("long").alias("place"), "phrase")
+    text = once.join(load, "shard").select("shard", part, F.lit(1).alias("kind"), F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), "th", "place", "phrase")
+    made = phrases.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "lo", "hi", F.lit(0).cast("long").alias("th"), F.lit(0).cast("long").alias("place"), "phrase")
     rows = made.unionByName(text).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     spans = _locate(rows, width).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     found = wanted.select("doc_id", "th", "tl").join(spans, ["doc_id", "th"]).select("doc_id", "th", "tl", "spans", F.lit(False).alias("whole"))
     # later copies: narrow rows, joined by text
     many = groups.where(F.col("first") < F.col("last"))
-    copies = keyed.select("doc_id", *_text_key()).join(many, ["th", "tl"]).where(F.col("doc_id") > F.col("first")).distinct()
+    # a group of copies is dealt over several tasks; texts too short for a window are left out
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = keyed.where(F.length("text") >= 2 * width - 1).select("doc_id", *_text_key(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = copies.join(many, ["th", "tl", "salt"]).where(F.col("doc_id") > F.col("first")).distinct()
     copies = copies.select("doc_id", "th", "tl", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("spans"), F.lit(True).alias("whole"))
     return stage(found.unionByName(copies), "covered")
 
@@ -222,10 +243,14 @@ def _spans_of(n: int, whole: bool | None, spans: list | None, width: int) -> lis
     return out
 
 
-def _joined(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    cover = covered_places(docs, width, gram).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("tl").alias("__tl"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
-    on = (docs["doc_id"].cast("long") == cover["__id"]) & (F.xxhash64(docs["text"]) == cover["__th"]) & (F.length(docs["text"]) == cover["__tl"])
-    return docs.join(cover, on, "left").drop("__id", "__th", "__tl")
+def _joined(docs: DataFrame, width: int, gram: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with the spans to cut and whether all of it goes, and the names of these two columns."""
+    spans, whole, key, th, tl = fresh(docs, "cut_spans", "cut_whole", "cut_id", "cut_th", "cut_tl")
+    cover = covered_places(docs.select("doc_id", "text"), width, gram)
+    cover = cover.select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("tl").alias(tl), F.col("spans").alias(spans), F.col("whole").alias(whole))
+    rows = docs.select("*", *[k.alias(n) for k, n in zip(_text_key(), (th + "_", tl + "_"), strict=True)])
+    on = (rows["doc_id"].cast("long") == cover[key]) & (rows[th + "_"] == cover[th]) & (rows[tl + "_"] == cover[tl])
+    return rows.join(cover, on, "left").drop(key, th, tl, th + "_", tl + "_"), spans, whole
 
 
 def digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -245,8 +270,8 @@ def digest(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(n_spans, pa.int64())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans"])
 
-    rows = _joined(docs.select(F.col("doc_id").cast("long"), "text"), width, gram).select("doc_id", "text", "__spans", "__whole")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long")
+    rows, spans, whole = _joined(docs.select(F.col("doc_id").cast("long"), "text"), width, gram)
+    return rows.select("doc_id", "text", spans, whole).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -279,6 +304,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                 cols["n_chars"] = pa.array([v if a.equals(c) else len(c.as_py() or "") for v, a, c in zip(old.to_pylist(), b.column(0), cols["text"], strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
-    rows = _joined(docs, width, gram)
+    rows, spans, whole = _joined(docs, width, gram)
     rest = [c for c in names if c != "text"]
-    return rows.select("text", "__spans", "__whole", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, docs.schema)
+    return rows.select("text", spans, whole, *map(quoted, rest)).mapInArrow(run, docs.schema)
