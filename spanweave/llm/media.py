@@ -5,13 +5,15 @@ decodes to exactly these values.  With quantiser step 8 the DC coefficient is th
 gives category s a code of 9 - s bits, so that every sample takes 9 bits and one for the end of its block and a frame can be packed and
 unpacked with array operations.  The files are ordinary baseline JPEG in RIFF AVI with an index.
 
-``unpack`` follows the RIFF lists and the index, decodes the frames (any grey baseline JPEG; these flat ones fast) and ``shots`` cuts where
-the histogram difference of two frames exceeds the mean plus ``k`` deviations of the differences before it.
+``open_avi`` follows the RIFF lists and the index, ``decode`` the frames (any grey baseline JPEG; these flat ones fast), and ``shots`` cuts where the
+histogram difference of two frames stands out from those around it.
+
+Files are packed, hashed and decoded ``FRAMES`` frames at a time.  What grows with a text is the file itself and 256 bytes of histogram for each frame.
 
 Defined results
-* null or empty text: one frame of spaces; long texts: as many frames as needed, handled document by document;
+* null or empty text: one frame of spaces; long texts: as many frames as needed (a file ends at 4 GB by its format: longer texts are an error);
 * equal texts give equal files and features; repeated rows are returned each; null doc_id is kept; extra columns are left alone;
-* an empty table gives an empty result.
+* ``clip_rows``: a null file has no row, a file that cannot be read one row with the ``problem`` and no clip; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT, WIDE, HIGH, FPS = 192, 16, 12, 25
-BINS, WINDOW, LEAST, K = 32, 24, 8, 4.0
-#: A difference (of at most 1) that is a cut where too few others are there to compare with.
-PLAIN = 0.5
+BINS, WINDOW = 32, 12
+#: A cut's difference is beyond the median of those around it by so many (scaled) absolute deviations, and beyond the mean of sampling noise by so many of its own.
+K, NOISE = 6.0, 8.0
+#: Frames that are packed or decoded at once.
+FRAMES = 4096
 # Order of the 64 coefficients in a JPEG block (fixed values, by the zigzag rule).
 ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 
@@ -81,29 +85,34 @@ def pad(raw: bytes) -> bytes:
 
 def pack(payload: bytes) -> bytes:
     """An AVI file with the payload (a positive multiple of 192 bytes) as its samples."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, UNIT).astype(np.int16) - 128
-    diff = np.diff(samples, axis=1, prepend=np.int16(0))
-    packed = np.packbits(_BITS[diff + 255].reshape(len(diff), -1), axis=1)
-    frames = [HEADER + row.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9" for row in packed]
-    n, most = len(frames), max(map(len, frames))
+    n = len(payload) // UNIT
+    body, sizes = [], np.zeros(n, np.int64)
+    for lo in range(0, n, FRAMES):
+        samples = np.frombuffer(payload, np.uint8, min(FRAMES, n - lo) * UNIT, lo * UNIT).reshape(-1, UNIT).astype(np.int16) - 128
+        diff = np.diff(samples, axis=1, prepend=np.int16(0))
+        packed = np.packbits(_BITS[diff + 255].reshape(len(diff), -1), axis=1)
+        frames = [HEADER + row.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9" for row in packed]
+        sizes[lo : lo + len(frames)] = [len(f) for f in frames]
+        body.append(b"".join([_chunk(b"00dc", f) for f in frames]))
+    most = int(sizes.max())
     main = struct.pack("<14I", 1_000_000 // FPS, most * FPS, 0, 0x10, n, 0, 1, most, WIDE * 8, HIGH * 8, 0, 0, 0, 0)
     stream = b"vidsMJPG" + struct.pack("<IHH8I4h", 0, 0, 0, 0, 1, FPS, 0, n, most, 0xFFFFFFFF, 0, 0, 0, WIDE * 8, HIGH * 8)
     form = struct.pack("<IiiHH4sIiiII", 40, WIDE * 8, HIGH * 8, 1, 8, b"MJPG", WIDE * HIGH * 64, 0, 0, 0, 0)
     head = _list(b"hdrl", _chunk(b"avih", main) + _list(b"strl", _chunk(b"strh", stream) + _chunk(b"strf", form)))
-    sizes = np.array([len(f) for f in frames], np.int64)
-    offsets = 4 + np.concatenate(([0], np.cumsum(8 + sizes + (sizes & 1))[:-1]))
     index = np.zeros((n, 4), "<u4")
     index[:, 0] = int.from_bytes(b"00dc", "little")
-    index[:, 1], index[:, 2], index[:, 3] = 0x10, offsets, sizes
-    body = b"AVI " + head + _list(b"movi", b"".join(_chunk(b"00dc", f) for f in frames)) + _chunk(b"idx1", index.tobytes())
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    index[:, 1], index[:, 2], index[:, 3] = 0x10, 4 + np.concatenate(([0], np.cumsum(8 + sizes + (sizes & 1))[:-1])), sizes
+    movi = sum(map(len, body))
+    tail = _chunk(b"idx1", index.tobytes())
+    total = 4 + len(head) + 12 + movi + len(tail)
+    return b"".join([b"RIFF", struct.pack("<I", total), b"AVI ", head, b"LIST", struct.pack("<I", movi + 4), b"movi", *body, tail])
 
 
-def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """Frames a second and the frames of the first video stream, by the index (or, without one, in order of the movi list)."""
+def open_avi(data: bytes) -> tuple[float, np.ndarray]:
+    """Frames a second, and begin and end of the frames of the video, by the index (or, without one, in order of the movi list)."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, movi, index, frames = float(FPS), None, None, []
+    fps, movi, index = float(FPS), None, None
     todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
     while todo:
         at, end = todo.pop()
@@ -122,20 +131,25 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
                 index = np.frombuffer(data, "<u4", size // 4, at + 8).reshape(-1, 4)
             at += 8 + size + (size & 1)
     if movi is None:
-        return fps, []
+        raise ValueError("no list of frames")
     if index is not None and len(index):
         base = movi[0] if index[0, 2] < movi[0] else 0  # offsets count from the list or from the file
-        for kind, _, off, size in index.tolist():
-            if kind & 0xFFFF0000 == int.from_bytes(b"\0\0dc", "little"):
-                frames.append(data[base + off + 8 : base + off + 8 + size])
-        return fps, frames
-    at = movi[0] + 4
+        mine = index[(index[:, 0] & 0xFFFF0000) == int.from_bytes(b"\0\0dc", "little")].astype(np.int64)
+        begin = base + 8 + mine[:, 2]
+        return fps, np.stack((begin, begin + mine[:, 3]), 1)
+    at, found = movi[0] + 4, []
     while at + 8 <= movi[1]:
         size = struct.unpack_from("<I", data, at + 4)[0]
         if data[at + 2 : at + 4] == b"dc":
-            frames.append(data[at + 8 : at + 8 + size])
+            found.append((at + 8, at + 8 + size))
         at += 8 + size + (size & 1)
-    return fps, frames
+    return fps, np.array(found, np.int64).reshape(-1, 2)
+
+
+def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
+    """Frames a second and the frames."""
+    fps, places = open_avi(data)
+    return fps, [data[a:b] for a, b in places.tolist()]
 
 
 def decode_flat(frames: list[bytes]) -> np.ndarray:
@@ -238,45 +252,86 @@ def decode_grey(frame: bytes) -> np.ndarray:
     return np.clip(np.rint(out + 128), 0, 255).astype(np.uint8)[: shape[0], : shape[1]]
 
 
+def decode(data: bytes, places: np.ndarray) -> Iterator[np.ndarray]:
+    """The samples of the frames at ``places``, up to ``FRAMES`` at once: (frame, 192) of own files; of others the pixels of each frame in a row."""
+    for lo in range(0, len(places), FRAMES):
+        frames = [data[a:b] for a, b in places[lo : lo + FRAMES].tolist()]
+        if all(f.startswith(HEADER) for f in frames):
+            yield decode_flat(frames)
+        else:
+            for f in frames:
+                yield decode_grey(f).reshape(1, -1)
+
+
 def unpack(data: bytes) -> tuple[float, np.ndarray]:
-    """Frames a second and the samples: (frame, 192) of own files; of others the pixels of each frame in a row."""
-    fps, frames = parse_avi(data)
-    if all(f.startswith(HEADER) for f in frames):
-        return fps, decode_flat(frames)
-    return fps, np.stack([decode_grey(f).ravel() for f in frames])
+    """Frames a second and all samples."""
+    fps, places = open_avi(data)
+    return fps, np.concatenate(list(decode(data, places)) or [np.zeros((0, UNIT), np.uint8)])
 
 
-def shots(samples: np.ndarray, fps: float, k: float = K, window: int = WINDOW) -> list[tuple[int, int, float, float]]:
-    """Clips ``(first frame, end frame, first second, end second)``.
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """The share of each of ``BINS`` levels in every frame."""
+    n = len(samples)
+    counts = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 3)).ravel(), minlength=n * BINS).reshape(n, BINS)
+    return counts / samples.shape[1]
+
 
-    A cut stands before frame i if the histogram difference to the frame before exceeds mean + k deviations, and twice the mean, of the up to
-    ``window`` differences before it.  With fewer than ``LEAST`` before it, those of up to ``window`` frames on both sides are taken, and a difference
-    above ``PLAIN`` is a cut whatever the others are (the only rule if both sides have fewer than ``LEAST``).
+def cuts(hist: np.ndarray, sampled: int = UNIT, window: int = WINDOW) -> np.ndarray:
+    """The frames that a cut stands before.
+
+    The difference of two frames is half the sum of the absolute differences of their histograms.  It is a cut if it exceeds the median of up to ``window``
+    differences on both sides (its own left out) by ``K`` scaled absolute deviations from it, and exceeds by ``NOISE`` deviations the mean of what
+    two draws of ``sampled`` samples from one picture (with the levels' shares in both frames) would give.
+    The noise is that of the two frames themselves, so first frames and short files are judged too.
     """
-    n = len(samples)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 3)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * samples.shape[1])
-    s1, s2 = (np.concatenate(([0.0], np.cumsum(x))) for x in (d, d * d))
-    i = np.arange(len(d))
-    lo = np.maximum(0, i - window)
-    m = np.maximum(1, i - lo)
-    mean = (s1[i] - s1[lo]) / m
-    dev = np.sqrt(np.maximum(0.0, (s2[i] - s2[lo]) / m - mean * mean))
-    beyond = d > np.round(np.maximum(mean + k * dev, 2 * mean), 9) + 1e-6
-    early = i - lo < LEAST
-    hi = np.minimum(len(d), i + 1 + window)
-    others = np.maximum(1, hi - lo - 1)
-    mean = (s1[hi] - s1[lo] - d) / others
-    dev = np.sqrt(np.maximum(0.0, (s2[hi] - s2[lo] - d * d) / others - mean * mean))
-    around = (hi - lo - 1 >= LEAST) & (d > np.round(np.maximum(mean + k * dev, 2 * mean), 9) + 1e-6)
-    cut = np.flatnonzero(np.where(early, around | (d > PLAIN), beyond)) + 1
-    edges = [0, *cut.tolist(), n]
+    if len(hist) < 2:
+        return np.zeros(0, np.int64)
+    d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
+    share = (hist[1:] + hist[:-1]) / 2
+    # each level's difference is about normal with this variance; its absolute value has mean 0.798 and variance 0.363 of it
+    var = 2 * share * (1 - share) / sampled
+    noise = (np.sqrt(2 * var / np.pi).sum(axis=1) + NOISE * np.sqrt((1 - 2 / np.pi) * var.sum(axis=1))) / 2
+    pad = np.full(window, np.nan)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate((pad, d, pad)), 2 * window + 1)
+    found = []
+    for lo in range(0, len(d), FRAMES):
+        part = around[lo : lo + FRAMES].copy()
+        part[:, window] = np.nan
+        alone = np.isnan(part).all(axis=1)
+        part[alone, 0] = 0.0
+        middle = np.nanmedian(part, axis=1)
+        spread = 1.4826 * np.nanmedian(np.abs(part - middle[:, None]), axis=1)
+        usual = np.maximum(middle + K * spread, noise[lo : lo + FRAMES])
+        found.append(lo + np.flatnonzero(d[lo : lo + FRAMES] > np.round(usual, 9) + 1e-6))
+    return np.concatenate(found) + 1
+
+
+def shots(samples: np.ndarray, fps: float, window: int = WINDOW) -> list[tuple[int, int, float, float]]:
+    """Clips ``(first frame, end frame, first second, end second)``."""
+    return _clips(histograms(samples), samples.shape[1], fps, window)
+
+
+def _clips(hist: np.ndarray, sampled: int, fps: float, window: int = WINDOW) -> list[tuple[int, int, float, float]]:
+    edges = [0, *cuts(hist, sampled, window).tolist(), len(hist)]
     return [(a, b, a / fps, b / fps) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def feature(samples: np.ndarray, clips: list[tuple[int, int, float, float]]) -> str:
+def read_media(data: bytes) -> tuple[float, np.ndarray, int, "hashlib._Hash", bytes, float]:
+    """One pass over a file's frames: frames a second, histograms, samples of a frame, SHA-256 of all samples, the last 16 of them and their mean."""
+    fps, places = open_avi(data)
+    sha, hist, total, count, last, wide = hashlib.sha256(), [], 0, 0, b"", UNIT
+    for samples in decode(data, places):
+        raw = samples.tobytes()
+        sha.update(raw)
+        last = (last + raw)[-16:]
+        hist.append(histograms(samples))
+        total, count, wide = total + int(samples.sum(dtype=np.int64)), count + samples.size, samples.shape[1]
+    return fps, np.concatenate(hist or [np.zeros((0, BINS))]), wide, sha, last, total / max(1, count)
+
+
+def feature(frames: int, clips: list[tuple[int, int, float, float]], mean: float) -> str:
     lengths = ",".join(f"{a:.2f}-{b:.2f}" for _, _, a, b in clips)
-    return f"frames={len(samples)};clips={len(clips)};mean={samples.mean():.3f};times={hashlib.sha1(lengths.encode()).hexdigest()[:12]}"
+    return f"frames={frames};clips={len(clips)};mean={mean:.3f};times={hashlib.sha1(lengths.encode()).hexdigest()[:12]}"
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -293,10 +348,9 @@ def digest(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(part.column(0), part.column(1), strict=True):
                     raw = (text.as_py() or "").encode()
                     media = pack(pad(raw))
-                    fps, samples = unpack(media)
-                    back = samples.tobytes()
-                    clips = shots(samples, fps)
-                    rows.append((doc.as_py(), len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples, clips), [dict(zip(("first_frame", "end_frame", "start_s", "end_s"), c, strict=True)) for c in clips]))
+                    fps, hist, wide, sha, last, mean = read_media(media)
+                    clips = _clips(hist, wide, fps)
+                    rows.append((doc.as_py(), len(raw), len(hist) * wide, sha.hexdigest(), zlib.crc32(last), len(media), hashlib.sha256(media).hexdigest(), feature(len(hist), clips, mean), [dict(zip(("first_frame", "end_frame", "start_s", "end_s"), c, strict=True)) for c in clips]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
@@ -317,16 +371,20 @@ def write_media(docs: DataFrame) -> DataFrame:
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """``doc_id, clip, first_frame, end_frame, start_s, end_s`` from ``doc_id, media``; a file that is not AVI motion-JPEG is an error."""
+    """``doc_id, clip, first_frame, end_frame, start_s, end_s, problem`` from ``doc_id, media``; a file that cannot be read has one row with its problem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, data in zip(b.column(0), b.column(1), strict=True):
-                if data.as_py() is not None:
-                    fps, samples = unpack(data.as_py())
-                    rows += [(doc.as_py(), i, *c) for i, c in enumerate(shots(samples, fps))]
-            kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip long, first_frame long, end_frame long, start_s double, end_s double")
+                if data.as_py() is None:
+                    continue
+                try:
+                    fps, hist, wide, _, _, _ = read_media(data.as_py())
+                    rows += [(doc.as_py(), i, *c, None) for i, c in enumerate(_clips(hist, wide, fps))]
+                except (ValueError, IndexError, KeyError, TypeError, struct.error) as e:  # whatever broken bytes lead the parsers to
+                    rows.append((doc.as_py(), *[None] * 5, f"{type(e).__name__}: {e}"))
+            kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s", "problem"])
+
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, clip long, first_frame long, end_frame long, start_s double, end_s double, problem string")
