@@ -5,9 +5,10 @@ member, ``archive_bytes`` before compression at most unless one record is longer
 least ``least`` bytes the one with the smallest page_id is a response and the others are revisits that refer to it.
 
 ``read_archives`` parses member by member.  A member that fails its checks (gzip checksum, version line, header block,
-content length, payload digest) is quarantined: the reader searches for the next member (or, in an uncompressed archive, the next
+content length, block and payload digests) is quarantined: the reader searches for the next member (or, in an uncompressed archive, the next
 version line) that holds a valid record, goes on from there, and logs the gap in bytes.  Every byte belongs to a record or to a gap.
-A member may hold several records: its bytes are counted at the first, the others and gaps between them have its end as offset and length 0.
+Digests may be SHA-1, SHA-256, SHA-512 or MD5 in base32 or hexadecimal; one of another kind, of a revisit, or of a truncated or segmented record is not judged.
+The payload of an HTTP block is its entity body.  A member may hold several records: its bytes are counted at the first, the others and gaps between them have its end as offset and length 0.
 
 Defined results
 * null html: an empty payload; null url: an empty target;
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1\r\n"
+#: Over so many partitions a group of equal payloads (or of rows without an id) is dealt.
+SALTS = 16
 ARCHIVE_BYTES = 4 << 20
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r$")
@@ -79,9 +82,14 @@ def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIV
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     keys = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size"))
     first = keys.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    # narrow rows meet by digest; the pages themselves are joined by id, which spreads a group of equal payloads
-    later = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), F.col("first").alias("refers_to")).distinct()
-    on = pages["page_id"].eqNullSafe(later["__id"]) & (F.sha1(pages["html"].cast("binary")) == later["__digest"])
+    # narrow rows meet by digest, a group dealt by id; the pages themselves are joined by id, and where they have none by address
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    first = first.withColumn("salt", F.explode(salts))
+    met = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"])
+    later = met.where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("id"), "digest", F.col("first").alias("refers_to")).distinct()
+    later = later.withColumn("salt", F.explode(F.when(F.col("id").isNull(), salts).otherwise(F.array(F.lit(0)))))
+    pages = pages.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("of", F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    on = pages["page_id"].eqNullSafe(later["id"]) & (pages["sha"] == later["digest"]) & (pages["of"] == later["salt"])
     rows = pages.join(later, on, "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +116,56 @@ def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIV
     return rows.mapInArrow(run, "archive long, content binary")
 
 
+def _agrees(digest: str, data: bytes) -> bool | None:
+    """Whether ``scheme:value`` is the digest of the data; None if it cannot be told."""
+    scheme, _, value = digest.partition(":")
+    name = scheme.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    own, value = hashlib.new(name, data).digest(), value.strip()
+    if len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    if len(value.rstrip("=")) == -(-8 * len(own) // 5):
+        return value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
+    return None
+
+
+def _entity(fields: dict[str, str], block: bytes) -> bytes:
+    """The payload: of an HTTP message what follows its headers, else the whole block."""
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head, blank, body = block.partition(b"\r\n\r\n")
+        if blank and (head.startswith(b"HTTP/") or b" HTTP/" in head.split(b"\r\n", 1)[0]):
+            return body
+    return block
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a chunked entity, or None if it is none."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        if end < 0 or not re.fullmatch(rb"[0-9a-fA-F]{1,16}", body[at:end].split(b";")[0].strip()):
+            return None
+        size = int(body[at:end].split(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def _check(fields: dict[str, str], block: bytes) -> None:
+    """ValueError if a digest in the headers is not that of the record."""
+    if fields.get("warc-type") == "revisit" or "warc-truncated" in fields or "warc-segment-number" in fields:
+        return
+    if _agrees(fields.get("warc-block-digest", ""), block) is False:
+        raise ValueError("block digest differs")
+    body = _entity(fields, block)
+    if _agrees(fields.get("warc-payload-digest", ""), body) is False:
+        whole = _unchunked(body) if body is not block else None  # some writers count chunked entities as sent, some as received
+        if whole is None or _agrees(fields["warc-payload-digest"], whole) is False:
+            raise ValueError("payload digest differs")
+
+
 def _fields(raw: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
     """Headers of the record at ``at``, and where its body begins and ends; ValueError if it is not valid."""
     m = _LINE.match(raw, at)
@@ -130,8 +188,7 @@ def _fields(raw: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
         name, colon, value = line.partition(":")
         if colon:
             fields[name.strip().lower()] = value.strip()
-    if fields.get("warc-type") == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != "sha1:" + sha1_base32(raw[begin:stop]):
-        raise ValueError("payload digest differs")
+    _check(fields, raw[begin:stop])
     return fields, begin, stop
 
 
@@ -161,7 +218,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         if gap is not None:
             yield gap, at - gap, None, problem
             gap = None
-        yield at, end - at, fields, raw[begin:stop]
+        yield at, end - at, fields, _entity(fields, raw[begin:stop])
         if packed:
             yield from _rest(raw, stop + 4, end)
         at = end
@@ -184,7 +241,7 @@ def _rest(raw: bytes, at: int, end: int) -> Iterator[tuple[int, int, dict[str, s
         if gap is not None:
             yield end, 0, None, f"{problem} ({at - gap} bytes within a member)"
             gap = None
-        yield end, 0, fields, raw[begin:stop]
+        yield end, 0, fields, _entity(fields, raw[begin:stop])
         at = stop + 4
     if gap is not None:
         yield end, 0, None, f"{problem} ({len(raw) - gap} bytes within a member)"
@@ -227,3 +284,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(len(names))], names=names)
 
     return archives.select("archive", "content").mapInArrow(run, RECORD)
+
+
+def unresolved_revisits(records: DataFrame) -> DataFrame:
+    """``refers_to, payload_digest, n`` of revisits in ``read_archives`` rows whose response (with this id and digest) is not among them."""
+    records = records.where(F.col("problem").isNull())
+    wanted = records.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest").agg(F.count(F.lit(1)).alias("n"))  # one row for each response
+    there = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return wanted.join(there, ["refers_to", "payload_digest"], "left_anti")
