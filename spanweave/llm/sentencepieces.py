@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search runs over the lattice of a model's pieces.  It keeps a window of the last ``longest piece`` positions with
+The search runs over the lattice of a model's pieces.  It keeps a window of some times the ``longest piece`` of positions with
 their backpointers; whenever all surviving paths pass through one boundary, the pieces before it are final and their ids
-are committed, so a text of any length needs memory for the window only.
+are committed, so a text of any length needs memory for the window (and its ids) only.  All text goes through this search.
 
 * Unigram models: the path with the highest sum of scores survives at each position (ties: the longer last piece).
 * BPE models: a path may go on with a piece only if the merges of the two pieces' text give just these two pieces
@@ -17,7 +17,8 @@ back the text code point for code point.
 
 Defined results
 * null text: null ids, 0 tokens, decoded null; empty text: no ids; white space is kept;
-* very long texts and words: memory grows with the ids only; repeated rows, ties: equal texts give equal ids;
+* very long texts and words: besides the text itself memory grows with the packed ids (4 bytes each), pieces of ``CHARS`` characters are handled at once;
+* repeated rows, ties: equal texts give equal ids;
 * empty tables give empty results; extra columns are kept by ``encode``.
 """
 
@@ -31,14 +32,17 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import wider
+from .shared import quoted, wider
 
 SPACE = "▁"
 #: Entries of a table of remembered stretches (two are kept, a new and an old one) and of checked pairs.
 REMEMBER, PAIRS = 220_000, 200_000
+#: Characters (about) and ids that are handled at once.
+CHARS, IDS = 1 << 20, 1 << 16
+#: Positions between two looks for a common boundary, in lengths of the longest piece.
+WINDOW = 4
 
 
 def _wire(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -84,7 +88,7 @@ class PieceModel:
         n = len(sp)
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.score = {p: sp.get_score(i) for i, p in enumerate(self.pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        self.ids = {p: i for i, p in enumerate(self.pieces) if p in self.score}
+        self.packed = {p: np.int32(i).tobytes() for i, p in enumerate(self.pieces) if p in self.score}
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         bytes_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.raw = [bytes_of.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
@@ -102,6 +106,7 @@ class PieceModel:
         body = f"[^{SPACE}{alone}]"
         lone = f"|[{alone}]" if alone else ""
         self.stretch = re.compile(f"{SPACE}*{body}+|{SPACE}+{lone}" if self.marks_first else r"(?s).+")
+        self.begin = re.compile(f"[^{SPACE}]{SPACE}")
         self._pairs: dict[tuple[str, str], bool] = {}
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -129,99 +134,104 @@ class PieceModel:
             known = self._pairs[a, b] = self._merge(a + b) == [a, b]
         return known
 
-    def _ids_of(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [i] if i is not None else [self.byte_id[b] for b in piece.encode()]
+    def _packed_of(self, piece: str) -> bytes:
+        return self.packed.get(piece) or np.array([self.byte_id[b] for b in piece.encode()], np.int32).tobytes()
 
     def search(self, text: str) -> Iterator[str]:
         """Pieces of ``text`` (spaces already marked), each given out once every surviving path goes through its end."""
-        bpe, score, longest, n = self.kind == 2, self.score, self.longest, len(text)
-        begins, pairs, lowest = self.begins, self._pairs, self.lowest
-        back: dict[int, int] = {0: -1}  # position -> begin of the last piece of the path that ends there
-        total: dict[int, float] = {0: 0.0}
-        done = 0
-        for j in range(1, n + 1):
-            i = j - 1  # every position can be reached; pieces that begin at i lead on
-            if bpe:
-                before = back[i]
-                left = text[before:i] if before >= 0 else ""
-                for e in range(j, min(n, i + longest) + 1):
-                    piece = text[i:e]
-                    whole = begins.get(piece)  # None: no piece begins so; True: it is one
-                    if whole is None and e > j:
-                        break
-                    if e not in back and (whole or e == j):
-                        if not left:
-                            back[e] = i
-                        else:
-                            fits = pairs.get((left, piece))
-                            if self._fits(left, piece) if fits is None else fits:
-                                back[e] = i
-                    if whole is None:
-                        break
-            else:
-                base = total[i]
-                for e in range(j, min(n, i + longest) + 1):
-                    piece = text[i:e]
-                    whole = begins.get(piece)
-                    if whole or e == j:
-                        s = base + (score[piece] if whole else lowest)
-                        old = total.get(e)
-                        if old is None or s > old:
-                            total[e], back[e] = s, i
-                    if whole is None:
-                        break
-            if j == n or (j - done >= 4 * longest and j % longest == 0):
-                # positions that a later piece can still begin at; follow their paths back until they meet
-                live = {j} if j == n else {p for p in back if p >= j}
-                paths = set(live)
-                while len(paths) > 1:
-                    p = max(paths)
-                    paths.discard(p)
-                    if p > done:
-                        paths.add(max(back[p], done))
-                meet = paths.pop() if paths else done
-                if meet > done:
-                    ends, p = [], meet
-                    while p > done:
-                        ends.append(p)
-                        p = back[p]
-                    begin = done
-                    last = begin
-                    for e in reversed(ends):
-                        yield text[begin:e]
-                        last, begin = begin, e
-                    # the window starts at the boundary; the piece before it is kept for the next check
-                    back = {p: b for p, b in back.items() if p > meet}
-                    back[meet] = last
-                    total = {p: t for p, t in total.items() if p >= meet}
-                    done = meet
-
-    def _search_short(self, text: str) -> list[str]:
-        """``search`` for a text no longer than the window, where nothing is committed before the end."""
-        n, get, pairs = len(text), self.begins.get, self._pairs
-        last = [""] * (n + 1)  # the last piece of the path that ends at each position
+        return self._by_merges(text) if self.kind == 2 else self._by_scores(text)
+
+    @staticmethod
+    def _boundary(length: list[int], begin: int, end: int) -> int:
+        """Where the paths to the positions from ``begin`` to ``end`` that are reached (``length`` of their last pieces) meet; 0: not behind the window's start."""
+        paths = {p for p in range(begin, end) if length[p]}
+        while len(paths) > 1:
+            p = max(paths)
+            paths.discard(p)
+            paths.add(p - length[p])
+            if 0 in paths:
+                return 0
+        return paths.pop() if paths else 0
+
+    @staticmethod
+    def _path(length: list[int], to: int) -> list[int]:
+        """The lengths of the pieces from the window's start to a position."""
+        out = []
+        while to:
+            out.append(length[to])
+            to -= length[to]
+        return out[::-1]
+
+    def _by_merges(self, text: str) -> Iterator[str]:
+        n, longest, get, pairs, fits_now = len(text), self.longest, self.begins.get, self._pairs, self._fits
+        wide = WINDOW * longest
+        base, before = 0, ""  # the window's start, and the last piece that was committed
+        length = [0] * (min(n, wide + longest) + 1)
         for i in range(n):
-            left = last[i]
-            for e in range(i + 1, n + 1):
-                piece = text[i:e]
-                whole = get(piece)
-                if whole is None and e > i + 1:
+            at = i - base
+            size = length[at]
+            left = text[i - size : i] if size else before
+            for k in range(1, min(longest, n - i) + 1):
+                piece = text[i : i + k]
+                whole = get(piece)  # None: no piece begins so; True: it is one
+                if whole is None and k > 1:
                     break
-                if (whole or e == i + 1) and not last[e]:
+                if (whole or k == 1) and not length[at + k]:
                     if left:
                         fits = pairs.get((left, piece))
-                        if fits if fits is not None else self._fits(left, piece):
-                            last[e] = piece
+                        if fits if fits is not None else fits_now(left, piece):
+                            length[at + k] = k
                     else:
-                        last[e] = piece
+                        length[at + k] = k
                 if whole is None:
                     break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
+            if at + 1 == wide and i + 1 < n:
+                # the paths that can go on end behind position i
+                meet = self._boundary(length, at + 1, min(len(length), at + 1 + longest))
+                for size in self._path(length, meet):
+                    before = text[base : base + size]
+                    yield before
+                    base += size
+                if not meet:  # no common boundary yet: the window grows until there is one
+                    wide += longest
+                length = length[meet:] + [0] * min(meet or longest, n - base - len(length) + meet + 1)
+                if meet:
+                    length[0] = 0
+                    wide = max(WINDOW * longest, i + 2 - base)
+        for size in self._path(length, n - base):
+            yield text[base : base + size]
+            base += size
+
+    def _by_scores(self, text: str) -> Iterator[str]:
+        n, longest, begins, score, lowest = len(text), self.longest, self.begins, self.score, self.lowest
+        wide, base = WINDOW * longest, 0
+        length, total = [0] * (min(n, wide + longest) + 1), [0.0] * (min(n, wide + longest) + 1)
+        for i in range(n):
+            at = i - base
+            for k in range(1, min(longest, n - i) + 1):
+                piece = text[i : i + k]
+                whole = begins.get(piece)
+                if whole or k == 1:
+                    s = total[at] + (score[piece] if whole else lowest)
+                    if not length[at + k] or s > total[at + k]:
+                        total[at + k], length[at + k] = s, k
+                if whole is None:
+                    break
+            if at + 1 == wide and i + 1 < n:
+                meet = self._boundary(length, at + 1, min(len(length), at + 1 + longest))
+                for size in self._path(length, meet):
+                    yield text[base : base + size]
+                    base += size
+                more = min(meet or longest, n - base - len(length) + meet + 1)
+                length, total = length[meet:] + [0] * more, total[meet:] + [0.0] * more
+                if meet:
+                    length[0] = 0
+                    wide = max(WINDOW * longest, i + 2 - base)
+                else:
+                    wide += longest
+        for size in self._path(length, n - base):
+            yield text[base : base + size]
+            base += size
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), np.int32).tolist()
@@ -237,13 +247,18 @@ class PieceModel:
                 if not part:
                     continue
             marked = (SPACE if self.prefix and not k else "") + part.replace(" ", SPACE)
-            stretches = self.stretch.findall(marked)
-            found = list(map(self._known.get, stretches))
-            if None in found:
-                for at, ids in enumerate(found):
-                    if ids is None:
-                        found[at] = self._learn(stretches[at])
-            out += found
+            at = 0
+            while at < len(marked):
+                cut = self.begin.search(marked, at + CHARS) if self.marks_first else None  # a stretch begins there
+                end = cut.start() + 1 if cut else len(marked)
+                stretches = self.stretch.findall(marked, at, end)
+                found = list(map(self._known.get, stretches))
+                if None in found:
+                    for k, ids in enumerate(found):
+                        if ids is None:
+                            found[k] = self._learn(stretches[k])
+                out.append(b"".join(found))
+                at = end
         return b"".join(out)
 
     def _learn(self, stretch: str) -> bytes:
@@ -252,8 +267,7 @@ class PieceModel:
             return ids
         ids = self._old.get(stretch)
         if ids is None:
-            pieces = self._search_short(stretch) if self.kind == 2 and len(stretch) <= 4 * self.longest else self.search(stretch)
-            ids = np.array([i for piece in pieces for i in self._ids_of(piece)], np.int32).tobytes()
+            ids = b"".join(self._packed_of(piece) for piece in self.search(stretch))
         if len(stretch) <= 64:
             if len(self._known) >= REMEMBER:  # what was not met again since the last turn goes
                 self._old = dict(self._known)
@@ -261,9 +275,20 @@ class PieceModel:
             self._known[stretch] = ids
         return ids
 
+    def raw_parts(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of the text of ``ids``, some at once."""
+        for lo in range(0, len(ids), IDS):
+            raw = b"".join(map(self.raw.__getitem__, ids[lo : lo + IDS].tolist()))
+            yield raw[1:] if self.prefix and not lo else raw
+
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode()
-        return text[1:] if self.prefix and text else text
+        return b"".join(self.raw_parts(np.asarray(ids, np.int32))).decode()
+
+    def decoded_sha256(self, packed: bytes) -> str:
+        sha = hashlib.sha256()
+        for raw in self.raw_parts(np.frombuffer(packed, np.int32)):
+            sha.update(raw)
+        return sha.hexdigest()
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -288,14 +313,14 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
             for lo in range(0, b.num_rows, 512):
                 packed = [None if t is None else m.encode_packed(t) for t in texts.slice(lo, 512).to_pylist()]
                 # decoded from the ids that are given out
-                sha = [None if x is None else hashlib.sha256(m.decode(np.frombuffer(x, np.int32).tolist()).encode()).hexdigest() for x in packed]
+                sha = [None if x is None else m.decoded_sha256(x) for x in packed]
                 counts = np.array([len(x or b"") // 4 for x in packed], np.int64)
                 ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), mask=np.array([*(x is None for x in packed), False]))
                 ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(x or b"" for x in packed), np.int32)))
                 part = b.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), ids, pa.array(counts), pa.array(sha, pa.string())], names=[*names, *added])
 
-    picked = docs.select(*[F.col(f"`{c}`") for c in names])
+    picked = docs.select(*map(quoted, names))
     return picked.mapInArrow(run, wider(picked.schema, **{column: T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "decoded_sha256": T.StringType()}))
 
 
@@ -309,5 +334,5 @@ def decode(rows: DataFrame, path: str, column: str = "ids", to: str = "text") ->
             texts = [None if i is None else m.decode(i) for i in b.column(b.schema.names.index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(texts, pa.string())], names=[*names, to])
 
-    picked = rows.select(*[F.col(f"`{c}`") for c in names])
+    picked = rows.select(*map(quoted, names))
     return picked.mapInArrow(run, wider(picked.schema, **{to: T.StringType()}))

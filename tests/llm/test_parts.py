@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -282,3 +284,24 @@ def test_model_without_labels(spark, empty, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     weights = classifier.train(docs, spark.read.parquet(f"{empty}/labels.parquet"))
     assert {r["score"] for r in classifier.score(docs.select("doc_id", "text"), weights).collect()} == {0.5}
+
+
+@pytest.mark.parametrize("alphabet", ["ae", "abcdefghinst", "aA1. ▁", "日本の人"])
+def test_windows_change_nothing(monkeypatch, alphabet):
+    """Long stretches committed by windows, and texts handled in small parts, against the merge procedure and the library."""
+    m = sentencepieces.PieceModel(f"{TOKENIZERS}/piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    r = random.Random(8)
+    for wide in (1, 2, 4):
+        monkeypatch.setattr(sentencepieces, "WINDOW", wide)
+        for n in (5, 70, 400, 1500):
+            text = "".join(r.choice(alphabet) for _ in range(n))
+            if "▁" not in text:
+                assert list(m.search(text.replace(" ", "▁"))) == m._merge(text.replace(" ", "▁"))
+    monkeypatch.setattr(sentencepieces, "CHARS", 11)
+    monkeypatch.setattr(sentencepieces, "IDS", 3)
+    for _ in range(40):
+        text = "".join(r.choice(alphabet + "  \n") for _ in range(r.randint(0, 90)))
+        ids = m.encode(text)
+        assert m.decode(ids) == text and ("▁" in text or ids == sp.encode(text))
+        assert m.decoded_sha256(m.encode_packed(text)) == hashlib.sha256(text.encode()).hexdigest()
