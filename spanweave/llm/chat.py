@@ -11,7 +11,7 @@ chunks of about ``CHUNK`` ids.  One conversation of any length needs memory for
 
 Defined results
 * null or empty text or role: empty; null conv_id: one conversation of its own; null turn: before all others;
-* turns with equal numbers: by role, then text (in ids); repeated rows: repeated turns;
+* turns with equal numbers: by the MD5 of role, line end and text; repeated rows: repeated turns;
 * an empty table gives an empty result; extra columns are left alone.
 """
 
@@ -74,7 +74,7 @@ def format_of(path: str) -> Format:
 
 
 def encode_turns(rows: DataFrame, path: str) -> DataFrame:
-    """``conv_id, turn, role_ids, ids, loss`` for each row; no shuffle."""
+    """``conv_id, turn, role_ids, ids, loss, tie`` for each row (``tie`` orders turns with equal numbers); no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = format_of(path)
@@ -86,12 +86,12 @@ def encode_turns(rows: DataFrame, path: str) -> DataFrame:
                 arrays = [
                     part.column(0), part.column(1),
                     pa.array([f.encode(escape(r, True)) for r in roles], pa.list_(pa.int32())),
-                    pa.array(ids, pa.list_(pa.int32())), pa.array([r == "assistant" for r in roles], pa.bool_()),
+                    pa.array(ids, pa.list_(pa.int32())), pa.array([r == "assistant" for r in roles], pa.bool_()), part.column(4),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role_ids", "ids", "loss"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role_ids", "ids", "loss", "tie"])
 
-    picked = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return picked.mapInArrow(run, "conv_id long, turn long, role_ids array<int>, ids array<int>, loss boolean")
+    picked = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.unhex(F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))).alias("tie"))
+    return picked.mapInArrow(run, "conv_id long, turn long, role_ids array<int>, ids array<int>, loss boolean, tie binary")
 
 
 def splice(f: Format, turns: list[tuple[list[int], list[int], bool]]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def assemble(rows: DataFrame, path: str) -> DataFrame:
         if turns:
             yield put()
 
-    dealt = encode_turns(rows, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role_ids", "ids")
+    dealt = encode_turns(rows, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie")
     return dealt.mapInArrow(run, "conv_id long, chunk long, ids array<int>, mask array<tinyint>")
 
 

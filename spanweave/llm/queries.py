@@ -87,10 +87,10 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
-      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie)) AS turns_sha256,
         CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-        CAST(sum(15 + length(role) + {_ESCAPES.format('role', '|:')} + length(text) + {_ESCAPES.format('text', '')}) AS BIGINT) AS formatted_chars FROM r GROUP BY conv_id""",
+        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, tie), '')) AS loss_sha256,
+        CAST(sum(15 + length(role) + {_ESCAPES.format('role', '|:')} + length(text) + {_ESCAPES.format('text', '')}) AS BIGINT) AS formatted_chars FROM (SELECT *, md5(role || chr(10) || text) AS tie FROM r) GROUP BY conv_id""",
     "op5_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))), source)), 1, 8) AS BIGINT) >> 2 AS draw FROM documents),
       p AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, [5.0, 2.0, 1.0][1 + CAST((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 AS INT)]::DOUBLE AS w FROM d GROUP BY source),
       o AS (SELECT *, 2.0::DOUBLE * ss AS room, 1.5::DOUBLE * sum(ss) OVER () AS total, sum(w) OVER () AS ws FROM p),
