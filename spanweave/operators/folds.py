@@ -55,21 +55,43 @@ def _replace_last(acc: Column, x: Column) -> Column:
     return F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
 
 
-def capped_merge(df: DataFrame, keys: list[str], near: int, near_hit: int, hit: int, most: int, veto: int) -> DataFrame:
+def capped_merge(df: DataFrame, keys: list[str], near: int, near_hit: int, hit: int, most: int, veto: int, bridged: int | None = None) -> DataFrame:
     """Joins a span to the one before if they are linked and the joint length stays in bounds.
 
-    Linked: (gap <= near and hit gap <= near_hit) or hit gap <= hit.  Vetoed: joint length > most and hit gap > veto.
-    Rows need ``start, end, first, last, conf``.
+    Linked: (gap <= near and hit gap <= near_hit) or hit gap <= hit, or (with ``bridged``) hit gap <= bridged and the row's ``bridged`` holds.
+    Vetoed: joint length > most and hit gap > veto.  Rows need ``start, end, first, last, conf``; pulses of later spans come later.
     """
-    item = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("first"), F.col("last"), F.col("conf"), F.lit(1).alias("n"))
+    item = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("first"), F.col("last"), F.col("conf"), F.lit(1).alias("n"), (F.col("bridged") if bridged else F.lit(False)).alias("b"))
 
     def step(acc: Column, x: Column) -> Column:
         p = F.element_at(acc, -1)
         gap, hits = x.s - p.e, x["first"] - p["last"]
         linked = ((gap <= near) & (hits <= near_hit)) | (hits <= hit)
+        if bridged:
+            linked = linked | ((hits <= bridged) & x.b)
         veto_it = (F.greatest(p.e, x.e) - p.s > most) & (hits > veto)
         joint = F.struct(p.s.alias("s"), F.greatest(p.e, x.e).alias("e"), p["first"].alias("first"), F.greatest(p["last"], x["last"]).alias("last"), F.least(p.conf, x.conf).alias("conf"), (p.n + 1).alias("n"))
-        return F.when(F.size(acc) == 0, F.array(x)).when(linked & ~veto_it, _replace_last(acc, joint)).otherwise(F.concat(acc, F.array(x)))
+        new = _span_of(x)
+        return F.when(F.size(acc) == 0, F.array(new)).when(linked & ~veto_it, _replace_last(acc, joint)).otherwise(F.concat(acc, F.array(new)))
+
+    return fold(df, keys, item, SPAN, step)
+
+
+def _span_of(x: Column) -> Column:
+    return F.struct(*[x[c].alias(c) for c in ("s", "e", "first", "last", "conf", "n")])
+
+
+def device_merge(df: DataFrame, keys: list[str], most: int, near: int, near_hit: int, hit: int, far_hit: int, far: int) -> DataFrame:
+    """Like ``capped_merge`` with other links: never beyond ``most``; (gap <= near and hit gap <= near_hit), hit gap <= hit, or (hit gap <= far_hit, gap <= far and the row's ``lively``)."""
+    item = F.struct(F.col("start").alias("s"), F.col("end").alias("e"), F.col("first"), F.col("last"), F.col("conf"), F.lit(1).alias("n"), F.col("lively").alias("b"))
+
+    def step(acc: Column, x: Column) -> Column:
+        p = F.element_at(acc, -1)
+        gap, hits = x.s - p.e, x["first"] - p["last"]
+        linked = ((gap <= near) & (hits <= near_hit)) | (hits <= hit) | ((hits <= far_hit) & (gap <= far) & x.b)
+        joint = F.struct(p.s.alias("s"), F.greatest(p.e, x.e).alias("e"), p["first"].alias("first"), F.greatest(p["last"], x["last"]).alias("last"), F.least(p.conf, x.conf).alias("conf"), (p.n + 1).alias("n"))
+        new = _span_of(x)
+        return F.when(F.size(acc) == 0, F.array(new)).when((x.e - p.s <= most) & linked, _replace_last(acc, joint)).otherwise(F.concat(acc, F.array(new)))
 
     return fold(df, keys, item, SPAN, step)
 

@@ -240,12 +240,23 @@ def local_max(p: DataFrame, e: DataFrame, radius: float = 0.4) -> DataFrame:
     spread over its buckets.  A pulse with no sample in reach keeps null (the caller falls back to the as-of sample).
     """
     r = us(radius)
-    rows = e.select("court_id", "ts", "energy", F.lit(None).cast("long").alias("event_id"))
+    names = [c for c in p.columns if c not in ("court_id", "ts")]
+    own = F.struct(*names)
+    rows = e.select("court_id", "ts", "energy", F.lit(None).cast(p.select(own.alias("c")).schema["c"].dataType).alias("__own"))
     rows = rows.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor((F.col("ts") - r) / BUCKET), F.floor((F.col("ts") + r) / BUCKET)))))
-    mine = p.select("court_id", "ts", F.lit(None).cast("double").alias("energy"), "event_id", F.floor(F.col("ts") / BUCKET).alias("__b"))
+    mine = p.select("court_id", "ts", F.lit(None).cast("double").alias("energy"), own.alias("__own"), F.floor(F.col("ts") / BUCKET).alias("__b"))
     w = Window.partitionBy("court_id", "__b").orderBy("ts").rangeBetween(-r, r)
-    near = rows.unionByName(mine).withColumn("near_max", F.max("energy").over(w)).where("event_id is not null")
-    return p.join(near.select("event_id", "near_max"), "event_id")
+    near = rows.unionByName(mine).withColumn("near_max", F.max("energy").over(w)).where("__own is not null")
+    return near.select(*[F.col("court_id") if c == "court_id" else F.col("ts") if c == "ts" else F.col("__own")[c].alias(c) for c in p.columns], "near_max")
+
+
+def local_motion(p: DataFrame, e: DataFrame, radius: float = 0.4) -> DataFrame:
+    """Adds ``motion``: ``local_max``, or where no sample is in reach the first sample after the pulse (the court's last one behind it)."""
+    near = local_max(p, e, radius)
+    lone = near.where("near_max is null").drop("near_max")
+    last = e.groupBy("court_id").agg(F.max_by("energy", "ts").alias("last_energy"))
+    found = asof(lone, e, "court_id", "ts", ["energy"], BUCKET, forward=True).join(last, "court_id", "left").withColumn("motion", F.coalesce("r_energy", "last_energy"))
+    return near.where("near_max is not null").withColumnRenamed("near_max", "motion").unionByName(found.select(*p.columns, "motion"))
 
 
 @query(

@@ -9,7 +9,7 @@ from spanweave.plans import scans
 
 
 def plain_change(before, after, court, threshold):
-    high, wide = before.shape
+    high, wide = np.shape(before)
 
     def at(p, y, x):
         y, x = abs(y), abs(x)
