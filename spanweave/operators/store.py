@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Streams share a bounded number of partitions, so that a table of many streams has few folders.
 PARTITIONS = 64
 
@@ -31,7 +33,7 @@ def replace_streams(spans: DataFrame, path: str) -> None:
         if old is not None:
             touched = new.select("bucket").distinct()
             keep = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("stream_id").distinct(), "stream_id", "left_anti")  # touched has PARTITIONS rows at most
-            rows = new.unionByName(keep.select(*new.columns)).checkpoint()
+            rows = staged(new.unionByName(keep.select(*new.columns)), "span-store")
         rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     finally:
         new.unpersist()

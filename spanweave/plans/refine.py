@@ -14,6 +14,7 @@ from ..functions.units import us
 from ..operators import folds
 from ..operators.islands import with_island
 from ..operators.lookup import band
+from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .registry import query
@@ -148,8 +149,8 @@ def soft_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     there on again; each pulse has one successor, and chains are followed in one sorted pass each.
     """
     e = carriers.energy(spark, sf_dir)
-    c = classes(spark, sf_dir)
-    g, ok = groups(c, e), soft_pairs(c, e)
+    c = staged(classes(spark, sf_dir), "pulse-classes")
+    g, ok = groups(c, e), staged(soft_pairs(c, e), "soft-pairs")
     soft = c.where("soft").select("stream_id", "ts").distinct()
     follows = ok.where("ok and lively").groupBy("stream_id", F.col("lo").alias("ts")).agg(F.min("hi").alias("to"))
     chain = with_island(soft, ["stream_id"], "ts", BRIDGE, name="chain").join(follows, ["stream_id", "ts"], "left")

@@ -13,6 +13,8 @@ from ..sources.carriers import ctes
 from .registry import query
 from .segments import _sql_islands
 
+#: Days in a bucket of the overlap join.
+IOU_BUCKET = 256
 _VALID = "valid AS (SELECT * FROM spans WHERE start_at >= 0 AND end_at > start_at)"
 
 
@@ -115,10 +117,14 @@ def clamp_with_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT span_id, other_id, round(inter / (total - inter + 0.0), 12) AS iou FROM j WHERE inter / (total - inter + 0.0) >= 0.3"""
 )
 def interval_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of spans of one stream with an overlap of 0.3 or more."""
+    """Pairs of spans of one stream with an overlap of 0.3 or more.
+
+    Both sides are copied to the buckets of time that they touch; a pair is made in the first bucket that both share.
+    """
     v = _valid(spark, sf_dir).select("stream_id", "span_id", "start", "end")
-    a, b = v.where("span_id % 2 = 0"), v.where("span_id % 2 = 1").select(F.col("stream_id"), F.col("span_id").alias("other_id"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    j = a.join(b, "stream_id").where("start <= e2 and s2 <= end")
+    v = v.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / IOU_BUCKET), F.floor(F.col("end") / IOU_BUCKET))))
+    a, b = v.where("span_id % 2 = 0"), v.where("span_id % 2 = 1").select("stream_id", "b", F.col("span_id").alias("other_id"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    j = a.join(b, ["stream_id", "b"]).where("start <= e2 and s2 <= end").where(F.col("b") == F.floor(F.greatest("start", "s2") / IOU_BUCKET))
     j = j.withColumn("iou", intervals.iou(F.col("start"), F.col("end"), F.col("s2"), F.col("e2")))
     return j.where("iou >= 0.3").select("span_id", "other_id", F.round("iou", 12).alias("iou"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..functions.units import us
+from ..operators.staging import shared_folder
 from ..sources.carriers import SQL, table
 from ..streaming import sessions
 from .registry import query
@@ -17,14 +18,6 @@ from .segments import _sql_islands
 GAP, LATE = "39960 seconds", "10 minutes"  # 1.85 units
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spanweave-")
-    return f"{where}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     f"""WITH {SQL['pulses']}, {_sql_islands('pulses', 'stream_id', us(1.85), extra=', event_id')}, top AS (SELECT max(ts) AS t FROM pulses)
     SELECT stream_id, min(ts) AS first_us, max(ts) AS last_us, count(*) AS n_pulses FROM isl, top GROUP BY stream_id, island, t HAVING max(ts) + {us(1.85)} <= (t // 1000) * 1000 - 600000000"""
@@ -34,7 +27,7 @@ def stream_session_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "events")
     e = sessions.read_table(spark, sf_dir, "events", source.schema).where("event_type <> 'error'")
     s = sessions.session_spans(e.select(F.col("user_id").alias("stream_id"), F.col("ts").cast("timestamp").alias("at")), GAP, LATE)
-    out = _folder(spark, "sessions")
+    out = shared_folder(spark, "sessions")
     sessions.run_once(s, f"{out}/data", f"{out}/state")
     return spark.read.schema(sessions.SPAN).parquet(f"{out}/data")
 
