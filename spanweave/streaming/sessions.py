@@ -1,16 +1,19 @@
 """Streaming forms: session spans, debounce, the span state machine, atomic replacement of batches.
 
 Thresholds that need a whole series (median, percentile) cannot be had exactly from a stream; they come from a static table that
-a batch job makes.  A pulse later than the watermark is dropped.
+a batch job makes.  A pulse later than the watermark is dropped.  Keyed states are timed by the watermark: when a stream has been silent for long
+enough its open span is given out and its state goes, so states are those of the streams that are active.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import replace_streams
@@ -24,10 +27,26 @@ def session_spans(pulses: DataFrame, gap: str, late: str) -> DataFrame:
     return s.select("stream_id", F.unix_micros("a").alias("first_us"), F.unix_micros("b").alias("last_us"), "n_pulses")
 
 
-def debounce(pulses: DataFrame, rest_us: int) -> DataFrame:
-    """Pulses at least ``rest_us`` after the last one kept; the state of a stream is that time.  Batches are sorted; older pulses than the state are dropped."""
+def _timed(pulses: DataFrame, late: str) -> DataFrame:
+    """Adds the watermarked time that timeouts go by, from ``ts`` (microseconds)."""
+    return pulses.withColumn("at", F.timestamp_micros("ts")).withWatermark("at", late)
+
+
+def _expire(state: GroupState, at_us: int) -> None:
+    """The state times out when the watermark has passed ``at_us``."""
+    state.setTimeoutTimestamp(max(at_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def debounce(pulses: DataFrame, rest_us: int, late: str = "10 minutes") -> DataFrame:
+    """Pulses at least ``rest_us`` after the last one kept; the state of a stream is that time, until the watermark is ``rest_us`` behind it.
+
+    Batches are sorted; older pulses than the state are dropped.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         kept = []
         for t in sorted(x for f in frames for x in f["ts"]):
@@ -36,35 +55,81 @@ def debounce(pulses: DataFrame, rest_us: int) -> DataFrame:
                 last = t
         if last is not None:
             state.update((last,))
+            _expire(state, last + rest_us)
         yield pd.DataFrame({"stream_id": [key[0]] * len(kept), "ts": kept})
 
-    return pulses.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, ts long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(pulses, late).groupBy("stream_id").applyInPandasWithState(step, "stream_id long, ts long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def state_machine(pulses: DataFrame, silence_us: int, pad_us: int, least_us: int, least_pulses: int) -> DataFrame:
+def state_machine(pulses: DataFrame, silence_us: int, pad_us: int, least_us: int, least_pulses: int, late: str = "10 minutes") -> DataFrame:
     """Rows ``stream_id, ts, supported`` -> spans: opened by a supported pulse, closed by a silence.
 
-    The state is (open, last, pulses).  A span still open at the end of a batch stays in the state.
+    The state is (open, last, pulses).  A span still open at the end of a batch stays in the state until the watermark shows the silence; then it is given out.
     """
 
+    def closed(key: tuple, begin: int, last: int, n: int) -> list[tuple]:
+        good = begin >= 0 and n >= least_pulses and last + pad_us - begin >= least_us
+        return [(key[0], begin, last + pad_us, n)] if good else []
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         begin, last, n = state.get if state.exists else (-1, -1, 0)
         out = []
-        rows = sorted((t, s) for f in frames for t, s in zip(f["ts"], f["supported"], strict=True))
-        for t, supported in rows:
-            if last >= 0 and t - last > silence_us:
-                if begin >= 0 and n >= least_pulses and last + pad_us - begin >= least_us:
-                    out.append((key[0], begin, last + pad_us, n))
-                begin, n = -1, 0
-            if begin < 0 and supported:
-                begin = t
-            if begin >= 0:
-                n += 1
-            last = t
-        state.update((int(begin), int(last), int(n)))
+        if state.hasTimedOut:
+            out = closed(key, begin, last, n)
+            state.remove()
+        else:
+            rows = sorted((t, s) for f in frames for t, s in zip(f["ts"], f["supported"], strict=True))
+            for t, supported in rows:
+                if last >= 0 and t - last > silence_us:
+                    out += closed(key, begin, last, n)
+                    begin, n = -1, 0
+                if begin < 0 and supported:
+                    begin = t
+                if begin >= 0:
+                    n += 1
+                last = t
+            state.update((int(begin), int(last), int(n)))
+            _expire(state, int(last) + silence_us)
         yield pd.DataFrame(out, columns=["stream_id", "start_us", "end_us", "n_pulses"])
 
-    return pulses.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, start_us long, end_us long, n_pulses long", "begin long, last long, n long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(pulses, late).groupBy("stream_id").applyInPandasWithState(step, "stream_id long, start_us long, end_us long, n_pulses long", "begin long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """What the streaming queries of a session have done: rows and batches by query name, and how each ended.
+
+    A session's queries have names that begin with its token; ``stop_others`` cancels those of earlier sessions.
+    """
+
+    def __init__(self) -> None:
+        self.rows: Counter[str] = Counter()
+        self.batches: Counter[str] = Counter()
+        self.ended: dict[str, str] = {}
+        self._names: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._names[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        name = event.progress.name or str(event.progress.id)
+        self._names[str(event.progress.id)] = name
+        self.rows[name] += event.progress.numInputRows
+        self.batches[name] += 1
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        name = self._names.get(str(event.id), str(event.id))
+        self.ended[name] = "failed" if event.exception else "done"
+
+
+def stop_others(spark: SparkSession, token: str) -> list[str]:
+    """Cancels the streaming queries that do not belong to the session of ``token`` (by their names); returns the names."""
+    gone = [q for q in spark.streams.active if not (q.name or "").startswith(token)]
+    for q in gone:
+        q.stop()
+    return [q.name or str(q.id) for q in gone]
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
