@@ -154,11 +154,11 @@ def playhead_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- folds -----------------------------------------------------------------------------------------------------
 
-_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_at, end_at, span_id) AS k FROM (SELECT stream_id, span_id, start_at, end_at, start_at + 1 AS f, end_at - 1 AS l, confidence AS conf FROM valid WHERE end_at - start_at < 60))"
+_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_at, end_at, span_id) AS k FROM (SELECT stream_id, span_id, start_at, end_at, start_at + 1 AS f, end_at - 1 AS l, confidence AS conf FROM valid))"
 
 
-def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _valid(spark, sf_dir).where("end - start < 60")
+def _with_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _valid(spark, sf_dir)
     return s.select("stream_id", "span_id", "start", "end", (F.col("start") + 1).alias("first"), (F.col("end") - 1).alias("last"), F.col("confidence").alias("conf"))
 
 
@@ -173,7 +173,7 @@ def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def capped_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge of linked spans with a cap on the accumulated length."""
-    s = folds.chains(_short(spark, sf_dir), "stream_id", "start", "end", 40)
+    s = folds.chains(_with_pulses(spark, sf_dir), "stream_id", "start", "end", 40)
     out = folds.capped_merge(s, ["stream_id", "chain"], 4, 22, 12, 200, 16)
     return _out(folds.spans_of(out, "stream_id"), "n", "conf")
 
@@ -187,7 +187,7 @@ def capped_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, arg_max(s, k) AS start_at, arg_max(e, k) AS end_at FROM r GROUP BY stream_id, grp"""
 )
 def dedupe_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = folds.chains(_short(spark, sf_dir), "stream_id", "start", "end", 40)
+    s = folds.chains(_with_pulses(spark, sf_dir), "stream_id", "start", "end", 40)
     return _out(folds.spans_of(folds.dedupe_overlaps(s, ["stream_id", "chain"], 1), "stream_id"))
 
 
@@ -198,8 +198,9 @@ def dedupe_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, s AS start_at, e AS end_at FROM r"""
 )
 def expand_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expansion that respects the already expanded span before."""
-    return _out(folds.spans_of(folds.expand(_short(spark, sf_dir), ["stream_id"], 9, 12, 2), "stream_id"))
+    """Expansion that respects the already expanded span before; folded within stretches that no expansion crosses."""
+    s = folds.chains(_with_pulses(spark, sf_dir), "stream_id", "start", "end", 9 + 12 + 2)
+    return _out(folds.spans_of(folds.expand(s, ["stream_id", "chain"], 9, 12, 2), "stream_id"))
 
 
 @query(
@@ -214,9 +215,14 @@ def refractory_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.refractory(p, ["stream_id", "island"], "ts", us(0.8)).select("stream_id", "ts")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {carriers.SQL['pulses']}, o AS (SELECT stream_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY height DESC, ts DESC) AS k FROM pulses), r AS (
+      SELECT stream_id, k, [ts] AS kept FROM o WHERE k = 1
+      UNION ALL SELECT o.stream_id, o.k, CASE WHEN len(list_filter(r.kept, lambda x: abs(x - o.ts) < {us(0.8)})) = 0 THEN list_append(r.kept, o.ts) ELSE r.kept END FROM r JOIN o ON o.stream_id = r.stream_id AND o.k = r.k + 1)
+    SELECT stream_id, unnest(arg_max(kept, k)) AS ts FROM r GROUP BY stream_id"""
+)
 def tallest_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks with a least distance, the tallest first (tested against a brute-force version)."""
+    """Peaks with a least distance, the tallest first."""
     p = with_island(carriers.pulses(spark, sf_dir).select("stream_id", "ts", "height", "event_id"), ["stream_id"], "ts", us(0.8), tie="event_id")
     return folds.tallest_first(p, ["stream_id", "island"], "ts", "height", us(0.8)).select("stream_id", "ts")
 
