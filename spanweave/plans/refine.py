@@ -33,8 +33,11 @@ _CLASS = f"""{_sql_thresholds()}, {_LOCAL}, h AS (SELECT stream_id, median(heigh
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(carriers.pulses(spark, sf_dir), carriers.energy(spark, sf_dir))
+
+
+def classify(p: DataFrame, e: DataFrame) -> DataFrame:
     """Pulses with their motion, the court's thresholds and their classes; ``supported`` ones make groups in the standard profile."""
-    p, e = carriers.pulses(spark, sf_dir), carriers.energy(spark, sf_dir)
     h = p.groupBy("stream_id").agg(F.median("height").alias("hm"))
     x = local_motion(p, e).join(thresholds(court_stats(e)), "court_id").join(h, "stream_id")
     strong, inside = F.col("height") >= 1.55 * F.col("hm"), F.col("motion") >= F.col("support")
@@ -195,10 +198,15 @@ def tail_strip_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT v.stream_id, v.f AS first_ts, v.n, v.n_court, CASE WHEN zero AND cut IS NULL THEN 'drop' WHEN zero THEN 'peel' WHEN n >= 4 AND n * {us(1.0)}.0 / greatest({us(0.25)}, l - f) < 0.22 THEN 'sparse' ELSE 'keep' END AS verdict, CASE WHEN zero THEN cut + 1 END AS tail_from FROM v"""
 )
 def zero_court_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = zero_court(classes(spark, sf_dir))
+    return k.select("stream_id", F.col("f").alias("first_ts"), "n", "n_court", "verdict", "tail_from")
+
+
+def zero_court(c: DataFrame) -> DataFrame:
     """Long groups without a pulse in court go, unless a compact exchange can be peeled off their end; sparse groups go too."""
     g = Window.partitionBy("stream_id", "island")
     o = g.orderBy("ts", "event_id")
-    z = _islands(classes(spark, sf_dir)).select("stream_id", "island", "ts", "event_id", "in_court")
+    z = _islands(c).select("stream_id", "island", "ts", "event_id", "in_court")
     z = z.withColumn("n", F.count(F.lit(1)).over(g)).withColumn("l", F.max("ts").over(g)).withColumn("i", F.row_number().over(o) - 1).withColumn("nx", F.lead("ts").over(o))
     behind = F.col("n") - 1 - F.col("i")
     fits = F.col("n").between(4, 6) & (F.col("nx") - F.col("ts")).between(us(1.55), us(2.15)) & behind.between(2, 3) & (F.col("l") - F.col("nx")).between(us(1.40), us(2.60))
@@ -206,7 +214,7 @@ def zero_court_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = (F.col("n_court") == 0) & (F.col("n") >= 3) & (F.col("l") - F.col("f") + us(1.2) > us(3.2))
     thin = (F.col("n") >= 4) & (F.col("n") * float(us(1.0)) / F.greatest(F.lit(us(0.25)), F.col("l") - F.col("f")) < 0.22)
     verdict = F.when(zero & F.col("cut").isNull(), "drop").when(zero, "peel").when(thin, "sparse").otherwise("keep")
-    return k.select("stream_id", F.col("f").alias("first_ts"), "n", "n_court", verdict.alias("verdict"), F.when(zero, (F.col("cut") + 1).cast("long")).alias("tail_from"))
+    return k.withColumn("verdict", verdict).withColumn("tail_from", F.when(zero, (F.col("cut") + 1).cast("long")))
 
 
 _BASE = f"""{_CLASS}, {_sql_islands('cls', 'stream_id', us(0.8), extra=', event_id')}, bs AS (SELECT stream_id, island, any_value(court_id) AS court_id, min(ts) AS f, max(ts) AS l, count(*) AS n, any_value(residual) AS residual, any_value(merge_at) AS merge_at, any_value(onset) AS onset, stream_id * 1000000 + island AS id FROM isl GROUP BY 1, 2)"""
