@@ -121,3 +121,34 @@ def monotonic_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = F.max(F.col("target") - F.col("i") * F.col("step")).over(mine.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) + F.col("i") * F.col("step")
     s = n.withColumn("pts", pts)
     return s.select("stream_id", "kind", "i", "pts", F.row_number().over(Window.partitionBy("stream_id").orderBy("pts", "kind", "i")).cast("long").alias("place"))
+
+
+_BASE_NAME = r"regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1)"
+_SUFFIX = r"lower(regexp_extract({}, '(\.[A-Za-z0-9]+)$', 1))"
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, coalesce(nullif({_BASE_NAME}, ''), 'video.mp4') AS name, CASE WHEN page_id % 9 = 0 THEN 0 ELSE length(coalesce(html, '')) END AS size FROM pages),
+    n AS (SELECT *, CASE WHEN {_SUFFIX.format('name')} = '' THEN concat(name, ['.MP4', '.mkv', '.txt', '.zip'][1 + CAST(page_id % 4 AS INT)]) ELSE name END AS filename FROM u), s AS (SELECT *, {_SUFFIX.format('filename')} AS suffix FROM n)
+    SELECT page_id, filename, CASE WHEN suffix NOT IN ('.mp4', '.mov', '.mkv', '.m4v', '.avi', '.webm') THEN 415 WHEN size = 0 THEN 400 ELSE 201 END AS code, CASE suffix WHEN '.mp4' THEN 'video/mp4' WHEN '.zip' THEN 'application/zip' ELSE 'application/octet-stream' END AS media_type,
+      CASE WHEN suffix IN ('.mp4', '.mov', '.mkv', '.m4v', '.avi', '.webm') AND size > 0 THEN concat(substr(md5(CAST(page_id AS VARCHAR)), 1, 8), '_', filename) END AS stored_as FROM s"""
+)
+def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of an uploaded file: refused by its suffix, refused as empty, or stored under its task's id; and its media type."""
+    base = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"([^/]*)$", 1)
+    name = F.when(base == "", "video.mp4").otherwise(F.coalesce(base, F.lit("video.mp4")))
+    ending = lambda c: F.lower(F.regexp_extract(c, r"(\.[A-Za-z0-9]+)$", 1))
+    u = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), F.when(F.col("page_id") % 9 == 0, 0).otherwise(F.length(F.coalesce("html", F.lit("")))).alias("size"))
+    added = F.element_at(F.array(*map(F.lit, (".MP4", ".mkv", ".txt", ".zip"))), (F.col("page_id") % 4 + 1).cast("int"))
+    n = u.withColumn("filename", F.when(ending(F.col("name")) == "", F.concat("name", added)).otherwise(F.col("name"))).withColumn("suffix", ending(F.col("filename")))
+    video = F.col("suffix").isin(".mp4", ".mov", ".mkv", ".m4v", ".avi", ".webm")
+    kind = F.when(F.col("suffix") == ".mp4", "video/mp4").when(F.col("suffix") == ".zip", "application/zip").otherwise("application/octet-stream")
+    stored = F.when(video & (F.col("size") > 0), F.concat(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), F.lit("_"), "filename"))
+    return n.select("page_id", "filename", F.when(~video, 415).when(F.col("size") == 0, 400).otherwise(201).alias("code"), kind.alias("media_type"), stored.alias("stored_as"))
+
+
+@query(f"{ctes('spans')} SELECT span_id, CASE WHEN confidence < 0.72 THEN 'amber' ELSE 'plain' END AS timeline, CASE WHEN confidence >= 0.7 THEN 'green' ELSE 'plain' END AS strip FROM spans")
+def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour of a span in the timeline and in the strip."""
+    c = F.round("confidence", 9)
+    return carriers.spans(spark, sf_dir).select("span_id", F.when(c < 0.72, "amber").otherwise("plain").alias("timeline"), F.when(c >= 0.7, "green").otherwise("plain").alias("strip"))

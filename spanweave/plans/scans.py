@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import picture
 from ..functions.units import us
-from ..operators import intervals
+from ..operators import folds, intervals
+from ..operators.islands import with_island
 from ..operators.lookup import asof, band
 from ..sources import carriers
 from ..sources.carriers import ctes, table
@@ -160,3 +161,38 @@ def energy_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = carriers.energy(spark, sf_dir)
     shaped = F.avg(F.col("energy") * F.col("energy") * (0.35 + F.abs("energy")))
     return e.groupBy("court_id", F.floor(F.col("ts") / _HOP).alias("hop")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(shaped), 9).alias("shaped"))
+
+
+#: Samples on each side of a peak that its prominence is measured against.
+FLANK = 80
+
+
+@query(
+    f"""{ctes('energy')}, z AS (SELECT court_id, ts, e5, lag(e5) OVER w AS a, lead(e5) OVER w AS b, coalesce(lag(e5, {FLANK}) OVER w, first_value(e5) OVER w) AS l, coalesce(lead(e5, {FLANK}) OVER w, first_value(e5) OVER d) AS r
+      FROM energy WINDOW w AS (PARTITION BY court_id ORDER BY ts, e5), d AS (PARTITION BY court_id ORDER BY ts DESC, e5 DESC))
+    SELECT court_id, ts, e5, e5 - greatest(l, r) AS prominence FROM z WHERE e5 >= coalesce(a, e5) AND e5 >= coalesce(b, e5) AND e5 - greatest(l, r) >= 2500"""
+)
+def peak_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local peaks that stand out from the samples a fixed distance before and after (at the ends of a series: its first and last)."""
+    w = Window.partitionBy("court_id").orderBy("ts", "e5")
+    back = Window.partitionBy("court_id").orderBy(F.desc("ts"), F.desc("e5"))
+    left, right = F.coalesce(F.lag("e5", FLANK).over(w), F.first("e5").over(w)), F.coalesce(F.lead("e5", FLANK).over(w), F.first("e5").over(back))
+    z = carriers.energy(spark, sf_dir).select("court_id", "ts", "e5", F.lag("e5").over(w).alias("a"), F.lead("e5").over(w).alias("b"), (F.col("e5") - F.greatest(left, right)).alias("prominence"))
+    return z.where((F.col("e5") >= F.coalesce("a", "e5")) & (F.col("e5") >= F.coalesce("b", "e5")) & (F.col("prominence") >= 2500)).select("court_id", "ts", "e5", "prominence")
+
+
+#: Distance of two sampled frames by their stamps, and the most frames of a stream.
+INTERVAL, MOST_FRAMES = us(2.0), 40
+
+
+@query(
+    f"""{ctes('track').replace('WITH', 'WITH RECURSIVE', 1)}, o AS (SELECT stream_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY ts) AS k FROM track), r AS (
+      SELECT stream_id, k, ts, ts + {INTERVAL} AS nxt, true AS took, 1 AS n FROM o WHERE k = 1
+      UNION ALL SELECT o.stream_id, o.k, o.ts, CASE WHEN o.ts >= r.nxt THEN o.ts + {INTERVAL} ELSE r.nxt END, o.ts >= r.nxt, CASE WHEN o.ts >= r.nxt THEN r.n + 1 ELSE r.n END FROM r JOIN o ON o.stream_id = r.stream_id AND o.k = r.k + 1)
+    SELECT stream_id, ts, n FROM r WHERE took AND n <= {MOST_FRAMES}"""
+)
+def frames_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame is taken when its stamp reaches the next sample time, which is then an interval later; so many at most."""
+    t = with_island(carriers.track(spark, sf_dir).select("stream_id", "ts"), ["stream_id"], "ts", INTERVAL)
+    kept = folds.refractory(t, ["stream_id", "island"], "ts", INTERVAL).select("stream_id", "ts")
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("stream_id").orderBy("ts"))).where(F.col("n") <= MOST_FRAMES)
