@@ -219,24 +219,29 @@ def force_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("stream_id", "island", "part").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_pulses")).drop("island")
 
 
-@query(
-    f"""{ctes('pulses')}, {_WIDE_P}, s AS (SELECT *, lead(ts, 5) OVER o AS t6, list(nxt) OVER (PARTITION BY stream_id, island ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS five FROM wp WINDOW o AS (PARTITION BY stream_id, island ORDER BY ts, event_id)),
-    c AS (SELECT stream_id, island, min(CASE WHEN n >= 7 AND t6 IS NOT NULL AND list_sort(five)[3] < {us(1.36)} AND list_max(five) < {us(1.60)} AND k >= 3 AND (ts >= f + 0.55 * (l - f) OR t6 - ts >= {us(3)}) THEN ts END) AS cut FROM s GROUP BY 1, 2)
+def _sql_applause(middle: int, most: int) -> str:
+    return f"""{ctes('pulses')}, {_WIDE_P}, s AS (SELECT *, lead(ts, 5) OVER o AS t6, list(nxt) OVER (PARTITION BY stream_id, island ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS five FROM wp WINDOW o AS (PARTITION BY stream_id, island ORDER BY ts, event_id)),
+    c AS (SELECT stream_id, island, min(CASE WHEN n >= 7 AND t6 IS NOT NULL AND list_sort(five)[3] < {middle} AND list_max(five) < {most} AND k >= 3 AND (ts >= f + 0.55 * (l - f) OR t6 - ts >= {us(3)}) THEN ts END) AS cut FROM s GROUP BY 1, 2)
     SELECT stream_id, f AS first_ts, CASE WHEN cut > f + {us(0.4)} THEN cut ELSE l END AS last_ts, max(n) AS n FROM wp JOIN c USING (stream_id, island) GROUP BY stream_id, island, f, l, cut"""
-)
-def applause_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense run of six pulses near the tail cuts the span at its first pulse (thresholds widened for the event carrier)."""
-    p = _wide(spark, sf_dir)
+
+
+def trim_applause(p: DataFrame, middle: int, most: int) -> DataFrame:
+    """A run of six pulses with a middle gap below ``middle`` and none of ``most`` or more, late in a span, ends it at its first pulse."""
     o = Window.partitionBy("stream_id", "island").orderBy("ts", "event_id")
-    five = F.collect_list("nxt").over(o.rowsBetween(0, 4))
-    p = p.withColumn("t6", F.lead("ts", 5).over(o)).withColumn("five", F.sort_array(five))
-    dense = (F.get("five", F.lit(2)) < us(1.36)) & (F.array_max("five") < us(1.60))
+    p = p.withColumn("t6", F.lead("ts", 5).over(o)).withColumn("five", F.sort_array(F.collect_list("nxt").over(o.rowsBetween(0, 4))))
+    dense = (F.get("five", F.lit(2)) < middle) & (F.array_max("five") < most)
     late = (F.col("ts") >= F.col("f") + 0.55 * (F.col("l") - F.col("f"))) | (F.col("t6") - F.col("ts") >= us(3))
     at = F.min(F.when((F.col("n") >= 7) & F.col("t6").isNotNull() & dense & (F.col("k") >= 3) & late, F.col("ts")))
     out = p.groupBy("stream_id", "island", "f", "l").agg(at.alias("cut"), F.max("n").alias("n"))
     return out.select("stream_id", F.col("f").alias("first_ts"), F.when(F.col("cut") > F.col("f") + us(0.4), F.col("cut")).otherwise(F.col("l")).alias("last_ts"), "n")
 
 
+@query(_sql_applause(us(1.36), us(1.60)))
+def applause_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense run of six pulses near the tail cuts the span at its first pulse (limits widened for the event carrier; ``applause_trim_exact`` has the filter's own)."""
+    return trim_applause(_wide(spark, sf_dir), us(1.36), us(1.60))
+
+
 @query(
     f"""{ctes('pulses')}, {_WIDE_P}, s AS (SELECT *, max(CASE WHEN k = n THEN isi END) OVER (PARTITION BY stream_id, island) AS li FROM wp),
     c AS (SELECT stream_id, island, min(CASE WHEN n >= 7 AND k - 1 >= greatest(3, (n * 2) // 5) AND k <= n - 3 AND nxt >= {us(1.32)} AND NOT (nxt < {us(1.55)} AND li <= {us(0.55)}) THEN k END) AS cut FROM s GROUP BY 1, 2)
