@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str], bucket: int, forward: bool = False, strict: bool = False, prefix: str = "r_") -> DataFrame:
     """Adds of the nearest ``right`` row at or before ``left.at`` (after, if ``forward``; not at it, if ``strict``) its ``at`` and ``value`` columns.
@@ -37,6 +39,16 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str],
     return out.select(*[F.col("__l").getField(c).alias(c) for c in names], found.getField(at).alias(prefix + at), *[found.getField(v).alias(prefix + v) for v in value])
 
 
+#: A table of at most so many rows is broadcast.
+SMALL = 100_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """A summary table, written once, to be broadcast if it has few rows; a larger one is joined by its keys."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def _type(df: DataFrame, column: Column) -> str:
     return df.select(column.alias("c")).schema["c"].dataType.simpleString()
 

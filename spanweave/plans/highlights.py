@@ -12,7 +12,7 @@ from ..functions.units import UNIT, micros, us
 from ..operators import rules
 from ..operators.highlight import filter_streams
 from ..operators.islands import with_island
-from ..operators.lookup import band
+from ..operators.lookup import band, small_side
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .registry import query
@@ -95,8 +95,8 @@ def _sql_share(inside: str) -> str:
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pulse spans with the motion features of the rules: one band join brings each span its samples, once."""
     p, e = carriers.pulses(spark, sf_dir), carriers.energy(spark, sf_dir)
-    lv = motion_levels(e)
-    s = pulse_spans(spark, sf_dir).join(F.broadcast(lv), "court_id")  # a row for each court
+    lv = small_side(motion_levels(e), "court-levels")  # a row for each court
+    s = pulse_spans(spark, sf_dir).join(lv, "court_id")
     wide = F.col("last") - F.col("first") >= us(0.4)
     s = s.withColumn("b0", F.when(wide, F.col("first")).otherwise(F.col("first") - us(0.4))).withColumn("b1", F.when(wide, F.col("last")).otherwise(F.col("last") + us(0.4)))
     keep = ["stream_id", "island", "court_id", "first", "last", "b0", "b1", "base", "flat", "active_at", "peak_at", "run_at"]
@@ -112,7 +112,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(burst & (F.col("r_energy") >= F.col("peak_at")) | F.col("three")).alias("burst"),
         (F.sum(F.when(inside, F.col("r_e5"))) / (n_in * 100000.0)).alias("mean_e"),
     )
-    court = local_max(with_island(p, ["stream_id"], "ts", us(1.85), tie="event_id"), e).join(F.broadcast(lv.select("court_id", "court_at")), "court_id")
+    court = local_max(with_island(p, ["stream_id"], "ts", us(1.85), tie="event_id"), e).join(lv.select("court_id", "court_at"), "court_id")
     nin = court.groupBy("stream_id", "island").agg(F.sum(F.when(F.col("near_max") >= F.col("court_at"), 1).otherwise(0)).cast("int").alias("nin"))
     return s.join(m, ["stream_id", "island"]).join(nin, ["stream_id", "island"]).withColumn("motion", F.lit(True)).withColumn("peeled", F.lit(False))
 
@@ -293,7 +293,7 @@ def walk_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = carriers.energy(spark, sf_dir)
     span = F.greatest(F.lit(0.0), F.col("a") - F.col("m"))
     onset = court_stats(e).select("court_id", F.greatest(F.lit(0.008), F.col("m") + 0.08 * span).alias("onset"))
-    s = pulse_spans(spark, sf_dir).select("stream_id", "island", "court_id", "first").join(F.broadcast(onset), "court_id")
+    s = pulse_spans(spark, sf_dir).select("stream_id", "island", "court_id", "first").join(small_side(onset, "court-onset"), "court_id")
     near = band(s, e.select("court_id", "ts", "energy"), "court_id", F.col("first") - us(2.0), F.col("first") + us(0.15), "ts", BUCKET)
     g = Window.partitionBy("stream_id", "island")
     near = near.withColumn("i", F.row_number().over(g.orderBy("r_ts"))).withColumn("act", F.col("r_energy") >= F.col("onset"))

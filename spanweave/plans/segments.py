@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import UNIT, clip01, us
 from ..operators.islands import numbered, with_island
-from ..operators.lookup import asof, band
+from ..operators.lookup import asof, band, small_side
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .registry import query
@@ -285,10 +285,10 @@ _HOLES = f"""holes AS (SELECT stream_id, court_id, event_id, ts AS hi, lag(ts) O
 def hole_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motion in the holes between neighbour pulses that are too long for silence but not for a bridge."""
     p, e = carriers.pulses(spark, sf_dir), carriers.energy(spark, sf_dir)
-    thr = thresholds(court_stats(e))
+    thr = small_side(thresholds(court_stats(e)).select("court_id", "bridge", "merge_at"), "court-thresholds")  # a row for each court
     w = Window.partitionBy("stream_id").orderBy("ts", "event_id")
     holes = p.select("stream_id", "court_id", "event_id", F.lag("ts").over(w).alias("lo"), F.col("ts").alias("hi"))
-    holes = holes.where((F.col("hi") - F.col("lo") > MAX_SILENCE) & (F.col("hi") - F.col("lo") <= MAX_BRIDGE)).join(F.broadcast(thr.select("court_id", "bridge", "merge_at")), "court_id")  # a row for each court
+    holes = holes.where((F.col("hi") - F.col("lo") > MAX_SILENCE) & (F.col("hi") - F.col("lo") <= MAX_BRIDGE)).join(thr, "court_id")
     seen = band(holes, e, "court_id", F.col("lo"), F.col("hi"), "ts", BUCKET)
     stats = seen.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("r_e5") / (F.count(F.lit(1)) * 100000.0)).alias("mean_e"), (F.sum(F.when(F.col("r_energy") >= F.col("bridge"), 1).otherwise(0)) / (F.count(F.lit(1)) * 1.0)).alias("active"))
     return holes.join(stats, "event_id", "left").fillna(0, ["n", "mean_e", "active"])

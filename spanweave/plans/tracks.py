@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.units import UNIT, clip01, us
 from ..operators import intervals
 from ..operators.islands import with_island
-from ..operators.lookup import band
+from ..operators.lookup import band, small_side
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .highlights import _LEVELS, _PULSE_SPANS, BUCKET, motion_levels, pulse_spans
@@ -160,8 +160,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["stream_id", "island"]
     c = _clipped(s, carriers.track(spark, sf_dir), F.col("first") - us(1.05), F.col("last") + us(0.60), _GAP)
     f = c.groupBy(*keys).agg(F.sum(F.when(F.col("moving"), F.col("c1") - F.col("c0"))).alias("flying"), F.sum("n").alias("points"))
-    lv = motion_levels(e).select("court_id", "court_at")
-    near = band(s.select(*keys, "court_id", "start", "end").join(F.broadcast(lv), "court_id"), e, "court_id", F.col("start"), F.col("end"), "ts", BUCKET)  # a row for each court
+    lv = small_side(motion_levels(e).select("court_id", "court_at"), "court-levels")  # a row for each court
+    near = band(s.select(*keys, "court_id", "start", "end").join(lv, "court_id"), e, "court_id", F.col("start"), F.col("end"), "ts", BUCKET)
     m = near.groupBy(*keys).agg((F.sum(F.when(F.col("r_energy") >= F.col("court_at"), 1).otherwise(0)) / F.count(F.lit(1)).cast("double")).alias("ma"))
     x = s.join(f, keys, "left").join(m, keys, "left")
     x = x.select(
