@@ -131,7 +131,7 @@ def _candidates(rows: DataFrame, least: int, star: int | None) -> DataFrame:
             cuts = np.append(np.flatnonzero(new), len(h))
             found: list[np.ndarray] = []
             size = 0
-            for i, j in _stars(cuts, th, fp, part, star) if star is not None else Walk(fp, BUDGET, cuts, part).pairs():
+            for i, j in _stars(cuts, h, th, fp, star) if star is not None else Walk(fp, BUDGET, cuts, part).pairs():
                 ni, nj = n[i], n[j]
                 most = np.minimum(ni - place[i], nj - place[j])  # elements that both can have from the shingle on
                 ok = (part[i] != part[j]) & (100 * np.minimum(ni, nj) >= least * np.maximum(ni, nj)) & ((100 + least) * most >= least * (ni + nj))
@@ -150,10 +150,14 @@ def _candidates(rows: DataFrame, least: int, star: int | None) -> DataFrame:
     return dealt.select("h", "th", "n", "place", "part", "fp").mapInArrow(run, "u long, v long").distinct()
 
 
-def _stars(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray, star: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """One text of each block with all others of its block that are within the budget."""
+def _stars(cuts: np.ndarray, h: np.ndarray, th: np.ndarray, fp: np.ndarray, star: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One text of each block with all others of its block that are within the budget.
+
+    Each block draws its own, so that a text of a large group meets as many others as it has blocks, and a group is joined though few of its pairs are similar enough.
+    """
     with np.errstate(over="ignore"):
-        order = (th.view(np.uint64) ^ np.uint64(star)) * np.uint64(0x9E3779B97F4A7C15)
+        order = (th.view(np.uint64) ^ np.uint64(star)) * np.uint64(0x9E3779B97F4A7C15) ^ h.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        order = (order ^ (order >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     length = np.diff(cuts)
     centre = np.repeat(np.lexsort((order, np.repeat(np.arange(len(length)), length)))[cuts[:-1]], length)
     i = np.flatnonzero(np.bitwise_count(fp ^ fp[centre]) <= BUDGET)
@@ -172,7 +176,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where((100 + least) * both >= least * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, stars: int = 1) -> DataFrame:
+def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, stars: int = 2) -> DataFrame:
     """``node, component`` for the texts (by 64-bit hash) that are linked to another."""
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
     common = _prefixes(texts, np.zeros(0, np.uint64), shingle, least).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON_IN)
