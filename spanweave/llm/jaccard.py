@@ -10,8 +10,9 @@ order, two sets share an element among the first ``n - ceil(least * n) + 1`` of
 1. The order is by hash, but shingles that stand in many prefixes come last (any order is right; this one keeps blocks small).
 2. The prefixes meet in blocks, one for each shingle; blocks of one text are dropped.
 3. In each block the fingerprints' tries are walked against themselves with the Hamming budget (``simhash.Walk``); a pair of nodes whose texts are in one
-   group already is given up.  Pairs left are dropped if their sizes or the places of the shingle show that they share too little, and the others are
-   compared by their whole sets.  The first ``stars`` rounds only compare one text of each block with the others, which joins large groups by few pairs.
+   group already is given up.  Pairs left are dropped if their sizes, the places of the shingle or the sets' bit tables (a bit that one set lacks is an
+   element that it lacks) show that they share too little, and the others are compared by their whole sets.  Two rounds before that make few pairs and join large groups, so that the walk finds them in one group: the first
+   compares the middle text of each block (whose fingerprint is nearest to the block's majority) with the others, the second neighbours in the order of fingerprints.
 
 The budget is the only step that could lose a link: bits differ with a chance of acos(2 J / (1 + J)) / pi = 0.151 at J = 0.8 (at most 0.19 for
 sets of a few shingles), so that more than 26 of 64 do for fewer than 1 pair in 200,000 at that similarity, and for none above 0.9 in practice.
@@ -24,7 +25,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ COMMON, COMMON_IN = 100_000, 8
 SEEN = 200_000
 #: Differing bits of the fingerprints of similar texts, at most.
 BUDGET = 26
+#: Longs of a set's bit table.
+SKETCH = 16
+_TABLE = [f"b{k}" for k in range(SKETCH)]
 #: Pairs that a task puts out at once.
 PAIRS = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,21 +125,27 @@ def _set_fingerprint(elements: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(elements)).tobytes(), "big", signed=True)
 
 
-def _candidates(rows: DataFrame, least: int, star: int | None) -> DataFrame:
-    """``u, v`` from rows ``h, th, n, place, part, fp``: pairs of a block that are in different parts and may be similar enough."""
+def _candidates(rows: DataFrame, least: int, pairs_of: Callable) -> DataFrame:
+    """``u, v`` from rows ``h, th, n, place, part, fp`` and bit tables (if there): pairs of a block, out of those that ``pairs_of`` makes, that are in different parts and may be similar enough."""
+    names = ["h", "th", "n", "place", "part", "fp", *(c for c in _TABLE if c in rows.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, th, n, place, part, fp in _each_bucket(batches, 6):
+        for h, th, n, place, part, fp, *table in _each_bucket(batches, len(names)):
             fp = fp.view(np.uint64)
+            bits = np.stack(table, 1).view(np.uint64) if table else None
             new = np.concatenate(([True], h[1:] != h[:-1]))
             cuts = np.append(np.flatnonzero(new), len(h))
             found: list[np.ndarray] = []
             size = 0
-            for i, j in _stars(cuts, h, th, fp, star) if star is not None else Walk(fp, BUDGET, cuts, part).pairs():
+            for i, j in pairs_of(cuts, th, fp, part):
                 ni, nj = n[i], n[j]
                 most = np.minimum(ni - place[i], nj - place[j])  # elements that both can have from the shingle on
                 ok = (part[i] != part[j]) & (100 * np.minimum(ni, nj) >= least * np.maximum(ni, nj)) & ((100 + least) * most >= least * (ni + nj))
                 i, j = i[ok], j[ok]
+                if bits is not None and len(i):
+                    lack_i, lack_j = (np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64) for a, b in ((i, j), (j, i)))
+                    ok = (100 + least) * np.minimum(n[i] - lack_i, n[j] - lack_j) >= least * (n[i] + n[j])
+                    i, j = i[ok], j[ok]
                 if len(i):
                     found.append(np.stack((np.minimum(th[i], th[j]), np.maximum(th[i], th[j]))))
                     size += len(i)
@@ -147,23 +157,37 @@ def _candidates(rows: DataFrame, least: int, star: int | None) -> DataFrame:
 
     # by unsigned fingerprint, whose order is that of the bits
     dealt = rows.repartition("h").sortWithinPartitions("h", F.col("fp").bitwiseXOR(F.lit(-(1 << (BITS - 1)))))
-    return dealt.select("h", "th", "n", "place", "part", "fp").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select(*names).mapInArrow(run, "u long, v long").distinct()
 
 
-def _stars(cuts: np.ndarray, h: np.ndarray, th: np.ndarray, fp: np.ndarray, star: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """One text of each block with all others of its block that are within the budget.
-
-    Each block draws its own, so that a text of a large group meets as many others as it has blocks, and a group is joined though few of its pairs are similar enough.
-    """
-    with np.errstate(over="ignore"):
-        order = (th.view(np.uint64) ^ np.uint64(star)) * np.uint64(0x9E3779B97F4A7C15) ^ h.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        order = (order ^ (order >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def _middles(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The text nearest to its block's majority of bits with all others of the block that are within the budget: of copies of one text the least changed."""
     length = np.diff(cuts)
-    centre = np.repeat(np.lexsort((order, np.repeat(np.arange(len(length)), length)))[cuts[:-1]], length)
+    block = np.repeat(np.arange(len(length)), length)
+    bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    most = np.packbits(2 * np.add.reduceat(bits, cuts[:-1]) > length[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    middle = np.lexsort((th, np.bitwise_count(fp ^ most[block]), block))[cuts[:-1]]
+    centre = np.repeat(middle, length)
     i = np.flatnonzero(np.bitwise_count(fp ^ fp[centre]) <= BUDGET)
     yield i, centre[i]
 
 
+def _neighbours(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of different parts that follow each other in the order of their fingerprints, rotated by each of four numbers of bits."""
+    block = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    for by in (0, 16, 32, 48):
+        turned = fp << np.uint64(by) | fp >> np.uint64(64 - by) if by else fp
+        order = np.lexsort((turned, block))
+        i, j = order[:-1], order[1:]
+        near = (block[i] == block[j]) & (part[i] != part[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= BUDGET)
+        yield i[near], j[near]
+
+
+def _walked(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different parts within the budget, by walking the blocks' tries."""
+    return Walk(fp, BUDGET, cuts, part).pairs()
+
+
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
@@ -176,7 +200,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where((100 + least) * both >= least * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, stars: int = 2) -> DataFrame:
+def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``node, component`` for the texts (by 64-bit hash) that are linked to another."""
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
     common = _prefixes(texts, np.zeros(0, np.uint64), shingle, least).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON_IN)
@@ -190,18 +214,27 @@ def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, sta
                 part = b.slice(k, 256)
                 sets = list(_sets(part.column(1), shingle))
                 prints = pa.array([_set_fingerprint(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), prints], names=["th", "elements", "fp"])
+                table = np.zeros((len(sets), SKETCH), np.uint64)
+                for i, s in enumerate(sets):
+                    at = s % np.uint64(64 * SKETCH)
+                    np.bitwise_or.at(table[i], (at // np.uint64(64)).astype(np.int64), np.uint64(1) << at % np.uint64(64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), prints, *(pa.array(x) for x in table.view(np.int64).T)], names=["th", "elements", "fp", *_TABLE])
 
     met = texts.join(buckets.select("th").distinct(), "th", "left_semi")
-    sets = stage(met.mapInArrow(elements, "th long, elements array<long>, fp long").dropDuplicates(["th"]), "shingle-sets")
-    rows_of = buckets.join(sets.select("th", "fp"), "th")
+    sets = stage(met.mapInArrow(elements, f"th long, elements array<long>, fp long, {', '.join(f'{c} long' for c in _TABLE)}").dropDuplicates(["th"]), "shingle-sets")
     edges = found = None
-    for star in [*range(stars), None]:
+    for pairs_of in (_middles, _neighbours, _walked):
+        keys = sets.select("th", "fp", *(_TABLE if pairs_of is _walked else ()))
         if found is None:
-            rows = rows_of.withColumn("part", F.col("th"))
+            rows = buckets.join(keys.withColumn("part", F.col("th")), "th")
         else:
-            rows = rows_of.join(found, rows_of["th"] == found["node"], "left").withColumn("part", F.coalesce("component", "th"))
-        new = stage(_confirmed(stage(_candidates(rows, least, star), "candidates"), sets, least), "near-pairs")
+            keys = keys.join(found.withColumnRenamed("node", "th"), "th", "left").withColumn("part", F.coalesce("component", "th")).drop("component")
+            rows = buckets.join(keys, "th")
+        if pairs_of is _walked:
+            # only blocks with several parts are left to walk
+            several = stage(rows.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h"), "blocks-to-walk")
+            rows = rows.join(several, "h", "left_semi")
+        new = stage(_confirmed(stage(_candidates(rows, least, pairs_of), "candidates"), sets.select("th", "elements"), least), "near-pairs")
         edges = new if edges is None else edges.unionByName(new)
         found = stage(components(edges), "text-components")
     return found
