@@ -302,7 +302,7 @@ def model(path: str) -> PieceModel:
 
 
 def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
-    """``docs`` with ``column`` (array of ids), ``n_tokens`` and ``decoded_sha256`` (of the text decoded from the ids) as last columns."""
+    """``docs`` with ``column`` (array of ids), ``n_tokens`` and ``decoded_sha256`` (of the text decoded from the ids) as last columns, instead of columns of these names."""
     added = (column, "n_tokens", "decoded_sha256")
     names = [c for c in docs.columns if c not in added]
 
