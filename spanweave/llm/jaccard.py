@@ -43,6 +43,8 @@ COMMON, COMMON_IN = 100_000, 8
 SEEN = 200_000
 #: Differing bits of the fingerprints of similar texts, at most.
 BUDGET = 26
+#: Pairs of nodes that the walk takes at once: with this budget many stay, at each of 64 depths.
+CHUNK = 1 << 13
 #: Longs of a set's bit table.
 SKETCH = 16
 _TABLE = [f"b{k}" for k in range(SKETCH)]
@@ -185,7 +187,7 @@ def _neighbours(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarr
 
 def _walked(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of different parts within the budget, by walking the blocks' tries."""
-    return Walk(fp, BUDGET, cuts, part).pairs()
+    return Walk(fp, BUDGET, cuts, part, CHUNK).pairs()
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
