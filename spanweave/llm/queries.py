@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, media, mincut, mixing, quality_rules, sentencepieces, simhash, substring, warc
+from . import chat, classifier, media, mincut, mixing, quality_rules, repair, sentencepieces, simhash, substring, warc
 from .shared import stage, table
 
 #: Folder of public vocabulary files.
@@ -71,11 +71,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.repair(repair.damage(rows)), rows.select("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_sentencepiece, op3_media, op4_quality_rules, op5_mixing,
         op6_substring_dedup, op7_simhash, op8_quality_classifier, op9_warc, op10_main_text,
+        op11_conversation_repair,
     )
 }
 
