@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, media, mincut, mixing, quality_rules, repair, sentencepieces, simhash, substring, warc
+from . import chat, classifier, hamerly, itq, media, mincut, mixing, quality_rules, repair, sentencepieces, simhash, substring, warc
 from .shared import stage, table
 
 #: Folder of public vocabulary files.
@@ -76,12 +76,20 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damage(rows)), rows.select("conv_id"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.digest(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_sentencepiece, op3_media, op4_quality_rules, op5_mixing,
         op6_substring_dedup, op7_simhash, op8_quality_classifier, op9_warc, op10_main_text,
-        op11_conversation_repair,
+        op11_conversation_repair, op12_centroid_clustering, op13_embedding_dedup,
     )
 }
 
@@ -89,6 +97,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESCAPES = r"len(regexp_extract_all({0}, '\\|###|</turn>{1}'))"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _NIBBLES = "".join(f"{i:04b}" for i in range(16))
+
+
+def hamerly_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """Plain rounds, all distances in full."""
+    steps = [
+        """d AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "n AS MATERIALIZED (SELECT row_number() OVER () AS row, * FROM d)",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM n WHERE vec_id IS NOT NULL QUALIFY c < {clusters})""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT row, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c := c)) AS best FROM n, c{k} GROUP BY row)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT best.c AS c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM n JOIN a{k} USING (row)),
+      g{k} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS t, count(*) AS k FROM s{k} GROUP BY ALL),
+      u{k} AS (SELECT c, list((t - (t % k + k) % k) // k ORDER BY i) AS m FROM g{k} GROUP BY c),
+      c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(u{k}.m, o.m) AS m FROM c{k} o LEFT JOIN u{k} USING (c))""")
+    return "WITH " + ",\n      ".join(steps) + f"""
+      SELECT vec_id, CAST(best.c AS INT) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(m, ',')) AS centroid_sha256 FROM n JOIN a{rounds} USING (row) JOIN c{rounds} ON c = best.c"""
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -115,6 +145,7 @@ ORACLE: dict[str, str] = {
       q AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM d WHERE len(w) > 0),
       t AS (SELECT q.doc_id, count(c.p) AS n_removed, coalesce(string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY q.p), '') AS kept FROM q LEFT JOIN c ON q.doc_id = c.doc_id AND q.p = c.p GROUP BY 1)
       SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+    "op12_centroid_clustering": hamerly_sql(),
     "op9_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
       b AS (SELECT *, array_to_string([substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', substr(x, i, 1)) - 3, 4) for i in range(1, 41)], '') AS bits FROM s)
       SELECT page_id, payload_bytes, array_to_string([substr('{_BASE32}', 1 + 16 * CAST(substr(bits, 5 * j + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * j + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * j + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * j + 4, 1) AS INT) + CAST(substr(bits, 5 * j + 5, 1) AS INT), 1) for j in range(0, 32)], '') AS payload_digest,

@@ -57,7 +57,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, had)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote and nothing reads any more."""
+    _delete(df.sparkSession, df._staged_at)
 
 
 def wider(schema: T.StructType, **fields: T.DataType) -> T.StructType:
