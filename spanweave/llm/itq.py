@@ -6,7 +6,7 @@
    which all link; any other is a cell of its own.  A group of n near copies becomes a few cells, and their pairs are counted, never listed.
 3. *Tables.*  A code is cut into four substrings of 16 bits.  It is put into its table under its substring and all that differ from it in one bit, so codes that
    differ in at most two bits of any substring meet.  That takes in all pairs with up to 11 differing bits and most beyond; vectors at a cosine of 0.95 differ in 6.5 of 64 bits
-   on the average and miss each other with a chance of 1 in 500.  Buckets above ``bucket_rows`` are dealt again by the other substrings.
+   on the average and miss each other with a chance of 1 in 500.  Buckets above ``bucket_rows`` are cut into blocks, and each pair of blocks is dealt by itself.
 4. *Reranking.*  Cells whose codes differ in ``budget`` bits at most are compared by their vectors.  The angle of the two first vectors and the cells' radii tell that all
    members link, or none; between these the members themselves are compared, in blocks of ``BLOCK``.
 
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -191,29 +190,34 @@ def _meeting_here(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     return key == np.where(n == 0, a, np.where(n == 1, np.minimum(a, b), two))
 
 
-def _spread(rows: DataFrame, tables: list[int]) -> DataFrame:
-    """``path, table, key, code``: each code under its substring and all one bit off."""
+def _spread(codes: DataFrame) -> DataFrame:
+    """``table, key, code``: each code under its substrings and all one bit off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = np.concatenate(([0], 1 << np.arange(WIDTH))).astype(np.uint64)
         for b in batches:
-            path, code = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            code = b.column(0).to_numpy(zero_copy_only=False)
             for k in range(0, len(code), 4096):
-                c, p = code[k : k + 4096].view(np.uint64), path[k : k + 4096]
-                for t in tables:
+                c = code[k : k + 4096].view(np.uint64)
+                for t in range(TABLES):
                     keys = (_substring(c, np.full(len(c), t))[:, None] ^ flips).ravel().astype(np.int32)
-                    columns = [np.repeat(p, len(flips)), np.full(len(keys), t, np.int32), keys, np.repeat(c, len(flips)).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["path", "table", "key", "code"])
+                    columns = [np.full(len(keys), t, np.int32), keys, np.repeat(c, len(flips)).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["table", "key", "code"])
 
-    return rows.select("path", "code").mapInArrow(run, "path long, table int, key int, code long")
+    return codes.select("code").mapInArrow(run, "table int, key int, code long")
+
+
+_BUCKET = ["table", "key", "one", "two"]
 
 
 def _bucket_pairs(rows: DataFrame, budget: int) -> DataFrame:
-    """``u, v``: codes of a bucket within the budget, by whole buckets."""
+    """``u, v``: codes within the budget of a bucket or of two of its blocks; rows ``table, key, one, two, block, code``, ``one`` = ``two`` for a whole bucket or a block with itself."""
+    kinds = [np.int32] * 5 + [np.int64]
 
-    def pairs(path: np.ndarray, table: np.ndarray, key: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(table, key, one, two, block, code) -> Iterator[pa.RecordBatch]:
         code = code.view(np.uint64)
-        new = np.concatenate(([True], (path[1:] != path[:-1]) | (table[1:] != table[:-1]) | (key[1:] != key[:-1])))
+        new = np.ones(len(code), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (table, key, one, two)])
         ends = np.append(np.flatnonzero(new), len(code))
         end = np.repeat(ends[1:], np.diff(ends))
         at = np.arange(len(code))
@@ -223,7 +227,7 @@ def _bucket_pairs(rows: DataFrame, budget: int) -> DataFrame:
             if not len(at):
                 break
             i, j = at, at + step
-            near = np.bitwise_count(code[i] ^ code[j]) <= budget
+            near = (np.bitwise_count(code[i] ^ code[j]) <= budget) & ((one[i] == two[i]) | (block[i] != block[j]))
             i, j = i[near], j[near]
             sub = [_substring(code[k], table[i]) for k in (i, j)]
             here = _meeting_here(*sub, key[i].astype(np.uint64))
@@ -233,44 +237,36 @@ def _bucket_pairs(rows: DataFrame, budget: int) -> DataFrame:
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        held = [np.zeros(0, k) for k in kinds]
         for b in batches:
             held = [np.concatenate((h, b.column(k).to_numpy(zero_copy_only=False))) for k, h in enumerate(held)]
             if not len(held[0]):
                 continue
-            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
-            last = int(np.argmax(same))  # sorted: the last bucket may go on in the next batch
+            last = int(np.argmax(np.logical_and.reduce([h == h[-1] for h in held[:4]])))  # sorted: the last bucket may go on in the next batch
             if last:
                 yield from pairs(*(h[:last] for h in held))
                 held = [h[last:] for h in held]
         if len(held[0]):
             yield from pairs(*held)
 
-    dealt = rows.repartition("path", "table", "key").sortWithinPartitions("path", "table", "key")
-    return dealt.mapInArrow(run, "u long, v long")
+    dealt = rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET).select(*_BUCKET, "block", "code")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_codes(codes: DataFrame, budget: int = BUDGET, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``u, v`` (u < v): distinct codes (rows ``code``) that meet in a table and differ in at most ``budget`` bits.
-
-    ``path`` names the buckets that a row came through; at the last table a bucket of any size is compared as it is.
-    """
-    todo = [(codes.select(F.lit(0).cast("long").alias("path"), "code"), list(range(TABLES)))]
-    found = []
-    while todo:
-        rows, tables = todo.pop()
-        every = _spread(rows, tables)
-        sizes = stage(every.groupBy("path", "table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "code-buckets")
-        large = sizes.where(F.col("n") > bucket_rows)
-        over = [r["table"] for r in large.select("table").distinct().collect()] if len(tables) > 1 else []  # TABLES at most
-        fits = sizes if len(tables) == 1 else sizes.where(F.col("n") <= bucket_rows)
-        found.append(stage(_bucket_pairs(every.join(fits.drop("n"), ["path", "table", "key"], "left_semi"), budget).distinct(), "near-codes"))
-        for t in over:
-            mine = every.where(F.col("table") == t).join(large.where(F.col("table") == t).drop("n"), ["path", "table", "key"], "left_semi")
-            # a bucket's name goes into the path of what is dealt again
-            again = mine.select(F.xxhash64("path", "table", "key").alias("path"), "code")
-            todo.append((stage(again, "large-buckets"), [x for x in tables if x != t]))
-    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
+    """``u, v`` (u < v): distinct codes (rows ``code``) that meet in a table and differ in at most ``budget`` bits."""
+    every = _spread(codes)
+    sizes = stage(every.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "code-buckets")
+    zero = F.lit(0)
+    fits = every.join(sizes.where(F.col("n") <= bucket_rows).drop("n"), ["table", "key"], "left_semi")
+    rows = fits.select("table", "key", zero.alias("one"), zero.alias("two"), zero.alias("block"), "code")
+    large = sizes.where(F.col("n") > bucket_rows)
+    if not large.isEmpty():
+        blocks = F.ceil(F.col("n") / bucket_rows).cast("int")
+        mine = every.join(large, ["table", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+        mine = mine.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        rows = rows.unionByName(mine.select("table", "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "code"))
+    return stage(_bucket_pairs(rows, budget), "near-codes")
 
 
 def _judged(pairs: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
