@@ -11,14 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.units import UNIT, us
+from ..functions.units import us
 from ..operators import intervals
 from ..operators.store import replace_streams
 from ..sources import carriers
 from ..sources.carriers import ctes
 from . import scorer
 from .registry import query
-from .scorer import _ALL, DENSITY, _sql_counted, _sql_tighten
+from .scorer import _ALL, _FIT
 
 #: Spans, pulses, energy and track to spans.
 Refine = Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
@@ -71,8 +71,7 @@ def analyse_and_store(spark: SparkSession, sf_dir: str, path: str, stages: Stage
 
 
 @query(
-    f"""{_ALL}, {_sql_tighten('sp', 'tj')}, {_sql_counted('tj')}, de AS (SELECT *, hits * {UNIT}.0 / greatest({us(0.25)}, l - f) AS density FROM ct),
-    fi AS (SELECT * FROM de WHERE e - s >= {us(1.2)} AND hits >= 3 AND NOT (density < {DENSITY} AND hits < 5) AND NOT (e - s >= {us(10.0)} AND density < {DENSITY})),
+    f"""{_ALL}, {_FIT},
     lm AS (SELECT *, lead(s) OVER (PARTITION BY stream_id ORDER BY s, e) - {us(0.35)} AS lim FROM fi), ck AS (SELECT stream_id, s, CASE WHEN e > lim AND lim > s THEN greatest(l, lim) ELSE e END AS e FROM lm),
     rc AS (SELECT *, max(e) OVER (PARTITION BY stream_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ck WHERE s >= 0 AND e > s),
     gr AS (SELECT *, sum(CASE WHEN s - reach > {us(0.12)} THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM rc)

@@ -1,6 +1,6 @@
 """Cuts and trims of the highlight filter with the motion in each hole: what is play stays together.
 
-The share of active samples in a hole comes from one band join over the holes that any rule asks about.
+The share of active samples in a hole is a difference of running totals, looked up for the holes that any rule asks about.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.units import us
 from ..operators.islands import with_island
-from ..operators.lookup import band
+from ..operators.lookup import small_side
+from ..operators.motion_index import between
 from ..sources import carriers
 from ..sources.carriers import ctes
-from .highlights import _LEVELS, _WIDE_P, LAND_PAD, SERVE_PAD, _share, _sql_applause, _sql_share, _wide, motion_levels, trim_applause
+from .highlights import _LEVELS, _WIDE_P, LAND_PAD, SERVE_PAD, _sql_applause, _sql_share, _wide, activity, motion_levels, trim_applause
 from .registry import query
-from .segments import BUCKET
+from .segments import BUCKET, level_index
 
 SILENCE, BRIDGE = us(1.85), us(4.2)
 #: Holes below this length are judged by no rule.
@@ -29,8 +30,10 @@ _HOLES = f"""{_WIDE_P}, {_LEVELS}, wc AS (SELECT w.*, p.court_id FROM wp w JOIN
 def with_life(p: DataFrame, e: DataFrame) -> DataFrame:
     """Adds ``act`` (activity in the hole before a pulse) and ``live`` (whether that hole is play; null before the first pulse)."""
     holes = p.where(F.col("isi") >= LEAST).select("event_id", "court_id", (F.col("ts") - F.col("isi")).alias("lo"), F.col("ts").alias("hi"))
-    seen = band(holes.join(motion_levels(e), "court_id"), e, "court_id", F.col("lo"), F.col("hi"), "ts", BUCKET)
-    act = seen.groupBy("event_id").agg(F.round(_share(F.lit(True)), 9).alias("act"))
+    lv = small_side(motion_levels(e), "court-levels")  # a row for each court
+    index = level_index(e, lv.select("court_id", "active_at"), {"active": "active_at"})
+    seen = between(holes, index, "court_id", "ts", ["court_id", "event_id"], {"hole": (F.col("lo"), F.col("hi"))}, BUCKET).join(lv, "court_id")
+    act = seen.select("event_id", F.round(activity("hole"), 9).alias("act"))
     out = p.join(act, "event_id", "left").fillna(0.0, ["act"])
     enough = F.col("act") >= F.when(F.col("isi") <= us(2.8), 0.55).otherwise(0.50)
     return out.withColumn("live", (F.col("isi") <= SILENCE) | ((F.col("isi") <= BRIDGE) & enough))

@@ -13,10 +13,12 @@ from ..operators import rules
 from ..operators.highlight import filter_streams
 from ..operators.islands import with_island
 from ..operators.lookup import band, small_side
+from ..operators.motion_index import between, running, total, with_triples
+from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .registry import query
-from .segments import _STATS, BUCKET, _sql_islands, court_stats, local_max
+from .segments import _STATS, BUCKET, _sql_islands, court_stats, mean_between
 
 SERVE_PAD, LAND_PAD = 1.05, 0.60
 _U = f"{UNIT}.0"
@@ -77,13 +79,11 @@ _LEVELS = f"""{_STATS}, lv AS (SELECT court_id, m AS base, a AS p85, {_R} < 0.00
   greatest(0.016, m + 0.40 * {_R}) AS peak_at, greatest(0.014, m + 0.28 * {_R}) AS run_at, greatest(0.008, m + 0.10 * {_R}) AS court_at FROM stats)"""
 
 
-def _share(inside: Column) -> Column:
-    """Share of samples at the active level among those inside; 0 without samples; 1 on a flat series that is high all along."""
-    n = F.sum(F.when(inside, 1).otherwise(0))
-    share = F.sum(F.when(inside & (F.col("r_energy") >= F.col("active_at")), 1).otherwise(0)) / n.cast("double")
-    mean = F.sum(F.when(inside, F.col("r_e5"))) / (n * 100000.0)
-    high = F.first("flat") & (F.first("base") >= 0.012) & (mean >= 0.85 * F.first("base"))
-    return F.when(n == 0, 0.0).when(high, 1.0).otherwise(share)
+def activity(name: str) -> Column:
+    """Share of samples at the active level in a range of the index; 0 without samples; 1 on a flat series that is high all along (rows with the court's levels)."""
+    n = total(name, "n")
+    high = F.col("flat") & (F.col("base") >= 0.012) & (total(name, "e5") / (n * 100000.0) >= 0.85 * F.col("base"))
+    return F.when(n == 0, 0.0).when(high, 1.0).otherwise(total(name, "active") / n.cast("double"))
 
 
 def _sql_share(inside: str) -> str:
@@ -93,28 +93,29 @@ def _sql_share(inside: str) -> str:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pulse spans with the motion features of the rules: one band join brings each span its samples, once."""
+    """Pulse spans with the motion features of the rules: lookups in running totals of each court's samples, whatever a span's length."""
     p, e = carriers.pulses(spark, sf_dir), carriers.energy(spark, sf_dir)
     lv = small_side(motion_levels(e), "court-levels")  # a row for each court
+    index = motion_index(e, lv)
     s = pulse_spans(spark, sf_dir).join(lv, "court_id")
     wide = F.col("last") - F.col("first") >= us(0.4)
     s = s.withColumn("b0", F.when(wide, F.col("first")).otherwise(F.col("first") - us(0.4))).withColumn("b1", F.when(wide, F.col("last")).otherwise(F.col("last") + us(0.4)))
-    keep = ["stream_id", "island", "court_id", "first", "last", "b0", "b1", "base", "flat", "active_at", "peak_at", "run_at"]
-    near = band(s.select(*keep), e, "court_id", F.col("first") - us(2.2), F.greatest("last", "b1"), "ts", BUCKET)
-    inside, burst = F.col("r_ts").between(F.col("first"), F.col("last")), F.col("r_ts").between(F.col("b0"), F.col("b1"))
-    w = Window.partitionBy("stream_id", "island").orderBy("r_ts")
-    hot = burst & (F.col("r_energy") >= F.col("run_at"))
-    near = near.withColumn("hot", hot)
-    near = near.withColumn("three", F.col("hot") & F.coalesce(F.lag("hot", 1).over(w), F.lit(False)) & F.coalesce(F.lag("hot", 2).over(w), F.lit(False)))
-    n_in = F.sum(F.when(inside, 1).otherwise(0))
-    m = near.groupBy("stream_id", "island").agg(
-        _share(inside).alias("ac"), _share(F.col("r_ts").between(F.col("first") - us(2.2), F.col("first") - us(0.5))).alias("pre"),
-        F.max(burst & (F.col("r_energy") >= F.col("peak_at")) | F.col("three")).alias("burst"),
-        (F.sum(F.when(inside, F.col("r_e5"))) / (n_in * 100000.0)).alias("mean_e"),
-    )
-    court = local_max(with_island(p, ["stream_id"], "ts", us(1.85), tie="event_id"), e).join(lv.select("court_id", "court_at"), "court_id")
-    nin = court.groupBy("stream_id", "island").agg(F.sum(F.when(F.col("near_max") >= F.col("court_at"), 1).otherwise(0)).cast("int").alias("nin"))
-    return s.join(m, ["stream_id", "island"]).join(nin, ["stream_id", "island"]).withColumn("motion", F.lit(True)).withColumn("peeled", F.lit(False))
+    s = staged(s, "pulse-spans")
+    keys = ["stream_id", "island"]
+    ranges = {"all": (F.col("first"), F.col("last")), "lead": (F.col("first") - us(2.2), F.col("first") - us(0.5)), "hot": (F.col("b0"), F.col("b1"))}
+    three = F.col("hot_1.triple_ends") - F.col("hot_0.triple_starts") > 0  # a triple that ends in the range and does not begin before it
+    m = s.join(between(s, index, "court_id", "ts", keys, ranges, BUCKET), keys)
+    m = m.withColumns({"ac": activity("all"), "pre": activity("lead"), "burst": (total("hot", "peak") > 0) | three, "mean_e": mean_between("all")}).drop(*[f"{r}_{k}" for r in ranges for k in (0, 1)])
+    lively = between(p.select("court_id", "event_id", "ts"), index.select("court_id", "ts", "court"), "court_id", "ts", ["event_id"], {"near": (F.col("ts") - us(0.4), F.col("ts") + us(0.4))}, BUCKET).select("event_id", (total("near", "court") > 0).alias("lively"))
+    nin = with_island(p, ["stream_id"], "ts", us(1.85), tie="event_id").join(lively, "event_id").groupBy(*keys).agg(F.sum(F.col("lively").cast("int")).cast("int").alias("nin"))
+    return m.join(nin, keys).withColumn("motion", F.lit(True)).withColumn("peeled", F.lit(False))
+
+
+def motion_index(e: DataFrame, lv: DataFrame) -> DataFrame:
+    """Running totals by court of what the rules ask of samples: active, burst peak, in court, three in a row of a burst."""
+    x = with_triples(e.join(lv, "court_id"), "court_id", "ts", "e5", F.col("energy") >= F.col("run_at"), BUCKET)
+    counts = {"active": F.col("energy") >= F.col("active_at"), "peak": F.col("energy") >= F.col("peak_at"), "court": F.col("energy") >= F.col("court_at")}
+    return running(x, "court_id", "ts", {"n": F.lit(1), "e5": F.col("e5"), **{k: c.cast("int") for k, c in counts.items()}, "triple_ends": F.col("triple_ends"), "triple_starts": F.col("triple_starts")}, BUCKET)
 
 
 _FEATURES = f"""{_PULSE_SPANS}, {_LEVELS},
@@ -305,18 +306,6 @@ def walk_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", F.col("first").alias("first_ts"), start.alias("start_at"))
 
 
-@query(
-    f"""{ctes('pulses', 'energy')}, {_FEATURES}, cf AS (SELECT *, least(1.0, greatest(0.0, (mean_e - (base + 0.10 * greatest(0.0, p85 - base))) / greatest(0.001, p85 - (base + 0.10 * greatest(0.0, p85 - base))))) AS norm FROM ft)
-    SELECT stream_id, f AS first_ts, round(least(0.99, 0.48 + 0.30 * least(1.0, n / 6.0) + 0.22 * norm), 9) AS confidence FROM cf"""
-)
-def span_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence of a span from its pulses and its mean motion over the support level."""
-    support = F.col("base") + 0.10 * F.greatest(F.lit(0.0), F.col("p85") - F.col("base"))
-    norm = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mean_e") - support) / F.greatest(F.lit(0.001), F.col("p85") - support)))
-    conf = F.least(F.lit(0.99), 0.48 + 0.30 * F.least(F.lit(1.0), F.col("n") / 6.0) + 0.22 * norm)
-    return features(spark, sf_dir).select("stream_id", F.col("first").alias("first_ts"), F.round(conf, 9).alias("confidence"))
-
-
 @query()
 def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole highlight filter, each stream with its own samples as motion (tested on golden vectors)."""

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.units import us
 from ..operators import folds
 from ..operators.islands import with_island
-from ..operators.lookup import band
+from ..operators.lookup import band, small_side
+from ..operators.motion_index import between
 from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .registry import query
-from .segments import _LOCAL, BUCKET, _sql_islands, _sql_thresholds, court_stats, local_motion, thresholds
+from .segments import _LOCAL, BUCKET, _sql_islands, _sql_thresholds, court_stats, level_index, local_motion, mean_between, share_between, thresholds
 
 #: The standard profile with a wide bridge, and the strict one (units).
 SILENCE, BRIDGE, LEAD_CAP, PURE_CAP = us(1.85), us(4.2), us(3.2), us(4.5)
@@ -57,11 +58,10 @@ def _sql_motion(source: str, out: str, level: str = "residual") -> str:
 
 
 def motion_between(holes: DataFrame, e: DataFrame, level: str = "residual") -> DataFrame:
-    """Adds ``mean_e`` and ``active`` (0 without samples) to rows ``id, court_id, lo, hi`` with the column ``level``."""
-    seen = band(holes.select("id", "court_id", "lo", "hi", F.col(level).alias("level")), e, "court_id", F.col("lo"), F.col("hi"), "ts", BUCKET)
-    n = F.count(F.lit(1))
-    stats = seen.groupBy("id").agg((F.sum("r_e5") / (n * 100000.0)).alias("mean_e"), (F.sum(F.when(F.col("r_energy") >= F.col("level"), 1).otherwise(0)) / (n * 1.0)).alias("active"))
-    return holes.join(stats, "id", "left").fillna(0, ["mean_e", "active"])
+    """Adds ``mean_e`` and ``active`` (0 without samples; active at the court's ``level``) to rows ``id, court_id, lo, hi``, one for each id."""
+    index = level_index(e, small_side(thresholds(court_stats(e)).select("court_id", level), "court-thresholds"), {"active": level})
+    seen = between(holes, index, "court_id", "ts", ["id"], {"hole": (F.col("lo"), F.col("hi"))}, BUCKET)
+    return holes.join(seen.select("id", mean_between("hole"), share_between("hole", "active")), "id")
 
 
 _PURE = f"hi - lo <= {min(BRIDGE, PURE_CAP)} AND round(active, 9) >= 0.55 AND round(mean_e, 9) >= round(merge_at, 9)"
@@ -166,6 +166,24 @@ def soft_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", F.col("f").alias("group_first"), F.col("l").alias("group_last"), "n", "first_ts", "last_ts")
 
 
+# --- confidence of a group -------------------------------------------------------------------------------------------------
+
+#: By pulses and by their mean motion over the support level, in shares of the court's range.
+_CONFIDENCE = "round(round(least(0.99, 0.48 + 0.30 * least(1.0, n / 6.0) + 0.22 * least(1.0, greatest(0.0, (mean_motion - support) / greatest(0.001, a - support)))), 9), 3)"
+
+
+@query(
+    f"""{_IN}, {_CLASS}, {_sql_islands('cls', 'stream_id', us(1.85), extra=', event_id')}, mg AS (SELECT stream_id, island, any_value(court_id) AS court_id, min(ts) AS f, count(*) AS n, CAST(sum(CAST(round(motion * 100000) AS BIGINT)) AS BIGINT) / (count(*) * 100000.0) AS mean_motion FROM isl GROUP BY 1, 2)
+    SELECT stream_id, f AS first_ts, n, round(mean_motion, 9) AS mean_motion, {_CONFIDENCE} AS confidence FROM mg JOIN thr USING (court_id)"""
+)
+def span_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of a group from its pulses and the mean motion at them (motion in hundred-thousandths, so that sums do not depend on their order)."""
+    c = with_island(classes(spark, sf_dir), ["stream_id"], "ts", us(1.85), tie="event_id")
+    g = c.groupBy("stream_id", "island").agg(F.first("court_id").alias("court_id"), F.min("ts").alias("f"), F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("motion") * 100000).cast("long")) / (F.count(F.lit(1)) * 100000.0)).alias("mean_motion"))
+    x = g.join(thresholds(court_stats(carriers.energy(spark, sf_dir))).select("court_id", "a", "support"), "court_id")
+    return x.select("stream_id", F.col("f").alias("first_ts"), "n", F.round("mean_motion", 9).alias("mean_motion"), F.expr(_CONFIDENCE).alias("confidence"))
+
+
 # --- ends of groups ------------------------------------------------------------------------------------------------------
 
 _ISL = _sql_islands("cls", "stream_id", us(1.85), extra=", event_id")

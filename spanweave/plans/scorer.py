@@ -5,19 +5,20 @@ Each pass takes and gives ``stream_id, court_id, s, e, f, l`` (bounds, first and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import UNIT, clip01, us
 from ..operators import folds
 from ..operators.islands import with_island
-from ..operators.lookup import band
+from ..operators.lookup import band, small_side
+from ..operators.motion_index import between, positions, running, total
 from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .refine import _BASE, LANDING, LOOKBACK, QUIET_AHEAD, QUIET_BACK, RESIDUAL_WINDOW, SERVE_LEAD, _walk_ahead, fragments
 from .registry import query
-from .segments import _STATS, BUCKET, _sql_islands, court_stats
+from .segments import _STATS, BUCKET, _sql_islands, court_stats, level_index, share_between
 from .tracks import _sql_clusters, cluster_rows, clusters
 
 #: Parameters of the scorer (units); the longest span is short here, as the carrier's spans are.
@@ -103,38 +104,62 @@ def hits_tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C = "least(1.0, greatest(0.0, {}))"
 
 
-def _sql_continue(source: str) -> str:
-    return f"""{_STATS}, lk AS (SELECT *, lag(l) OVER w AS lo, f AS hi, row_number() OVER w AS k FROM {source} WINDOW w AS (PARTITION BY stream_id ORDER BY s, e, f, l)), ho AS (SELECT * FROM lk WHERE hi - lo > {us(2.2)} AND hi - lo <= {MERGE_GAP}),
+#: Holes whose score decides a merge.
+_ASKED = f"hi - lo > {us(2.2)} AND hi - lo <= {MERGE_GAP}"
+
+
+def _sql_holes(source: str, asked: str) -> str:
+    return f"""{_STATS}, lk AS (SELECT *, lag(l) OVER w AS lo, f AS hi, row_number() OVER w AS k FROM {source} WINDOW w AS (PARTITION BY stream_id ORDER BY s, e, f, l)), ho AS (SELECT * FROM lk WHERE {asked}),
     c3 AS (SELECT p.stream_id, p.k, t.ts, t.x, t.y FROM ho p JOIN track t ON t.stream_id = p.stream_id AND t.ts BETWEEN p.lo AND p.hi), {_sql_clusters('c3', 'stream_id, k', _GAP, 'k3')},
     fl AS (SELECT stream_id, k, coalesce(sum(CASE WHEN moving THEN c1 - c0 END), 0) AS flying, bool_or(moving) AS has, sum(n) AS points FROM k3 GROUP BY 1, 2),
     pi AS (SELECT h.stream_id, h.k, count(*) AS hits FROM ho h JOIN pulses p ON p.stream_id = h.stream_id AND p.ts > h.lo AND p.ts < h.hi GROUP BY 1, 2),
     mo AS (SELECT h.stream_id, h.k, sum(CASE WHEN e.energy >= m + 0.18 * greatest(0.0, a - m) THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS ma FROM ho h JOIN stats USING (court_id) JOIN energy e ON e.court_id = h.court_id AND e.ts BETWEEN h.lo AND h.hi GROUP BY 1, 2),
-    co AS (SELECT h.stream_id, h.k, coalesce(has, false) AS has, {_C.format(f"0.35 * CASE WHEN has THEN 1.0 ELSE 0.0 END + 0.20 * {_C.format('coalesce(flying, 0) / CAST(h.hi - h.lo AS DOUBLE)')} + 0.15 * {_C.format(f'coalesce(points, 0) * {UNIT}.0 / (h.hi - h.lo) / 6.0')} + 0.25 * {_C.format('coalesce(hits, 0) / 3.0')} + 0.05 * {_C.format('coalesce(ma, 0.0)')}")} AS score
-      FROM ho h LEFT JOIN fl USING (stream_id, k) LEFT JOIN pi USING (stream_id, k) LEFT JOIN mo USING (stream_id, k)),
-    li AS (SELECT lk.*, coalesce(has AND round(score, 9) >= {CONTINUE}, false) AS go FROM lk LEFT JOIN co USING (stream_id, k))"""
+    co AS (SELECT h.*, coalesce(has, false) AS has, CASE WHEN h.hi <= h.lo THEN 1.0 ELSE {_C.format(f"0.35 * CASE WHEN has THEN 1.0 ELSE 0.0 END + 0.20 * {_C.format(f'coalesce(flying, 0) / CAST(greatest({us(0.05)}, h.hi - h.lo) AS DOUBLE)')} + 0.15 * {_C.format(f'coalesce(points, 0) * {UNIT}.0 / greatest({us(0.05)}, h.hi - h.lo) / 6.0')} + 0.25 * {_C.format('coalesce(hits, 0) / 3.0')} + 0.05 * {_C.format('coalesce(ma, 0.0)')}")} END AS score
+      FROM ho h LEFT JOIN fl USING (stream_id, k) LEFT JOIN pi USING (stream_id, k) LEFT JOIN mo USING (stream_id, k))"""
 
 
-def continued(r: DataFrame, p: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
-    """Adds ``go``: whether flight, track, pulses and motion in the hole before a span say that play went on.
+def _sql_continue(source: str) -> str:
+    return f"{_sql_holes(source, _ASKED)}, li AS (SELECT lk.*, coalesce(has AND round(score, 9) >= {CONTINUE}, false) AS go FROM lk LEFT JOIN (SELECT stream_id, k, has, score FROM co) co USING (stream_id, k))"
 
-    A pulse at the hole's edges is within the slack of the count of pulses, so the rule that asks for one holds wherever the hole begins with a pulse.
-    """
-    w = Window.partitionBy("stream_id").orderBy("s", "e", "f", "l")
-    lk = r.withColumn("lo", F.lag("l").over(w)).withColumn("hi", F.col("f"))
+
+def with_holes(r: DataFrame) -> DataFrame:
+    """Adds ``lo, hi``: the hole before each span, from the last pulse before it to its first."""
+    return r.withColumn("lo", F.lag("l").over(Window.partitionBy("stream_id").orderBy("s", "e", "f", "l"))).withColumn("hi", F.col("f"))
+
+
+def continue_scores(ho: DataFrame, p: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
+    """``stream_id, lo, hi, has, score``: how much flight, track, pulses and motion in a hole (distinct rows ``court_id, stream_id, lo, hi``) say that play went on; 1 where there is no hole."""
     keys = ["stream_id", "lo", "hi"]
-    ho = lk.where((F.col("hi") - F.col("lo") > us(2.2)) & (F.col("hi") - F.col("lo") <= MERGE_GAP)).select("court_id", *keys).distinct()
     cut = band(ho.select(*keys), t, "stream_id", F.col("lo"), F.col("hi"), "ts", BUCKET).select(*keys, F.col("r_ts").alias("ts"), F.col("r_x").alias("x"), F.col("r_y").alias("y"))
     fl = cluster_rows(clusters(cut, keys, _GAP), keys).groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("moving"), F.col("c1") - F.col("c0"))), F.lit(0)).alias("flying"), F.max("moving").alias("has"), F.sum("n").alias("points"))
-    pi = band(ho.select(*keys), p.select("stream_id", "ts"), "stream_id", F.col("lo") + 1, F.col("hi") - 1, "ts", BUCKET).groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"))
-    level = court_stats(e).select("court_id", (F.col("m") + 0.18 * F.greatest(F.lit(0.0), F.col("a") - F.col("m"))).alias("level"))
-    mo = band(ho.join(level, "court_id"), e, "court_id", F.col("lo"), F.col("hi"), "ts", BUCKET).groupBy(*keys).agg((F.sum(F.when(F.col("r_energy") >= F.col("level"), 1).otherwise(0)) / F.count(F.lit(1)).cast("double")).alias("ma"))
-    x = ho.join(fl, keys, "left").join(pi, keys, "left").join(mo, keys, "left")
-    long = (F.col("hi") - F.col("lo")).cast("double")
+    pi = pulses_between(ho, p, keys, F.col("lo") + 1, F.col("hi") - 1)
+    level = small_side(court_stats(e).select("court_id", (F.col("m") + 0.18 * F.greatest(F.lit(0.0), F.col("a") - F.col("m"))).alias("level")), "court-levels")  # a row for each court
+    index = level_index(e, level, {"ma": "level"})
+    mo = between(ho, index, "court_id", "ts", keys, {"hole": (F.col("lo"), F.col("hi"))}, BUCKET).select(*keys, share_between("hole", "ma"))
+    x = ho.join(fl, keys, "left").join(pi, keys).join(mo, keys)
+    long = F.greatest(F.lit(us(0.05)), F.col("hi") - F.col("lo")).cast("double")
     score = clip01(
         0.35 * F.when(F.col("has"), 1.0).otherwise(0.0) + 0.20 * clip01(F.coalesce("flying", F.lit(0)) / long) + 0.15 * clip01(F.coalesce("points", F.lit(0)) * float(UNIT) / long / 6.0)
-        + 0.25 * clip01(F.coalesce("hits", F.lit(0)) / 3.0) + 0.05 * clip01(F.coalesce("ma", F.lit(0.0)))
+        + 0.25 * clip01(F.col("hits") / 3.0) + 0.05 * clip01(F.col("ma"))
     )
-    go = x.select(*keys, (F.coalesce("has", F.lit(False)) & (F.round(score, 9) >= CONTINUE)).alias("go"))
+    return x.select(*keys, F.coalesce("has", F.lit(False)).alias("has"), F.when(F.col("hi") <= F.col("lo"), 1.0).otherwise(score).alias("score"))
+
+
+def pulses_between(r: DataFrame, p: DataFrame, keys: list[str], lo: Column, hi: Column) -> DataFrame:
+    """``keys, hits``: pulses of the stream in [lo, hi], by running counts."""
+    index = running(p, "stream_id", "ts", {"n": F.lit(1)}, BUCKET)
+    return between(r, index, "stream_id", "ts", keys, {"in": (lo, hi)}, BUCKET).select(*keys, total("in", "n").alias("hits"))
+
+
+def continued(r: DataFrame, p: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
+    """Adds ``go``: whether the score of the hole before a span ties it to the one before.
+
+    A pulse at the hole's edges is within the slack of the count of pulses, so the rule that asks for one holds wherever the hole begins with a pulse.
+    """
+    lk = with_holes(r)
+    keys = ["stream_id", "lo", "hi"]
+    ho = staged(lk.where((F.col("hi") - F.col("lo") > us(2.2)) & (F.col("hi") - F.col("lo") <= MERGE_GAP)).select("court_id", *keys).distinct(), "scored-holes")
+    go = continue_scores(ho, p, e, t).select(*keys, (F.col("has") & (F.round("score", 9) >= CONTINUE)).alias("go"))
     return lk.join(go, keys, "left").fillna(False, ["go"])
 
 
@@ -201,19 +226,115 @@ def silence_split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counted(r: DataFrame, p: DataFrame) -> DataFrame:
     """Adds ``hits``: pulses from the first to the last, with a slack of 0.15."""
     keys = ["stream_id", "f", "l"]
-    n = band(r.select(*keys).distinct(), p.select("stream_id", "ts"), "stream_id", F.col("f") - us(0.15), F.col("l") + us(0.15), "ts", BUCKET).groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"))
-    return r.join(n, keys, "left").fillna(0, ["hits"])
+    n = pulses_between(r.select(*keys).distinct(), p, keys, F.col("f") - us(0.15), F.col("l") + us(0.15))
+    return r.join(n, keys)
 
 
 def _sql_counted(source: str) -> str:
     return f"ct AS (SELECT r.stream_id, r.court_id, r.s, r.e, r.f, r.l, count(p.ts) AS hits FROM {source} r LEFT JOIN pulses p ON p.stream_id = r.stream_id AND p.ts BETWEEN r.f - {us(0.15)} AND r.l + {us(0.15)} GROUP BY ALL)"
 
 
-@query(f"{_ALL}, {_sql_tighten('sp', 'tj')}, {_sql_counted('tj')}, de AS (SELECT *, hits * {UNIT}.0 / greatest({us(0.25)}, l - f) AS density FROM ct) SELECT {_SHOWN}, hits FROM de WHERE e - s >= {us(1.2)} AND hits >= 3 AND NOT (density < {DENSITY} AND hits < 5) AND NOT (e - s >= {us(10.0)} AND density < {DENSITY})")
+# --- scores ---------------------------------------------------------------------------------------------------------------
+
+#: The measures of a span: seconds of lead and trail, length, pulses and points a second, shares of flight and of samples above the level, decay of motion.
+_START = f"{_C.format(f'0.30 * {_C.format('lead_s / 1.8')} + 0.35 * CASE WHEN serve THEN 1.0 ELSE 0.0 END + 0.25 * {_C.format('1.0 - abs(lead_s - 0.6) / 1.5')} + 0.10 * ma')}"
+_END = f"{_C.format(f'0.30 * {_C.format('trail_s / 1.5')} + 0.30 * CASE WHEN trail_s >= 0.35 THEN 1.0 ELSE {_C.format('trail_s / 0.35')} END + 0.20 * decay + 0.20 * (1.0 - landing)')}"
+_KEEP = f"{_C.format(f'0.30 * flight + 0.35 * {_C.format('rho / 0.7')} + 0.20 * ma + 0.10 * {_C.format('track_rho / 5.0')} + 0.05 * {_C.format('least(d, 12.0) / 12.0')}')} * CASE WHEN d > 20.0 AND rho < 0.25 THEN 0.7 ELSE 1.0 END"
+_CONF = f"greatest(CASE WHEN near >= 3 AND d >= 2.0 AND rho >= 0.25 THEN 0.55 ELSE 0.0 END, round(round({_C.format('0.45 * keep + 0.25 * start + 0.30 * finish')}, 9), 3))"
+REVIEW = 0.58
+_SCORES = ["score_start", "score_end", "score_keep", "confidence", "needs_review"]
+
+
+def _sql_scored(source: str) -> str:
+    """Rows of ``source`` with the five scores, as ``fs``."""
+    u = f"{UNIT}.0"
+    return f"""sk AS (SELECT *, row_number() OVER (ORDER BY stream_id, s, e, f, l) AS k FROM {source}),
+    ww AS (SELECT k, stream_id, 0 AS win, s AS lo, e AS hi FROM sk UNION ALL SELECT k, stream_id, 1, s, f + {us(0.3)} FROM sk UNION ALL SELECT k, stream_id, 2, greatest(l, e - {us(0.8)}), e + {us(0.05)} FROM sk),
+    wc AS (SELECT w.k, w.win, t.ts, t.x, t.y FROM ww w JOIN track t ON t.stream_id = w.stream_id AND t.ts BETWEEN w.lo AND w.hi), {_sql_clusters('wc', 'k, win', _GAP, 'wk')},
+    wf AS (SELECT k, coalesce(sum(CASE WHEN win = 0 AND moving THEN c1 - c0 END), 0) AS flying, coalesce(sum(CASE WHEN win = 0 THEN n END), 0) AS points, bool_or(win = 1 AND moving) AS serve, coalesce(sum(CASE WHEN win = 2 AND moving THEN c1 - c0 END), 0) AS falling FROM wk GROUP BY 1),
+    wh AS (SELECT sk.k, count(p.ts) AS near FROM sk LEFT JOIN pulses p ON p.stream_id = sk.stream_id AND p.ts BETWEEN sk.s - {us(0.15)} AND sk.e + {us(0.15)} GROUP BY 1),
+    wm AS (SELECT sk.k, e.e5, e.energy >= m + 0.10 * greatest(0.0, a - m) AS act, row_number() OVER (PARTITION BY sk.k ORDER BY e.ts, e.e5) - 1 AS i, count(*) OVER (PARTITION BY sk.k) AS c FROM sk JOIN stats USING (court_id) JOIN energy e ON e.court_id = sk.court_id AND e.ts BETWEEN sk.s AND sk.e),
+    wd AS (SELECT k, sum(CASE WHEN act THEN 1 ELSE 0 END) / (any_value(c) * 1.0) AS ma, sum(CASE WHEN i < greatest(1, c // 2) THEN e5 END) / (greatest(1, any_value(c) // 2) * 100000.0) AS head, sum(CASE WHEN i >= c // 2 THEN e5 END) / ((any_value(c) - any_value(c) // 2) * 100000.0) AS tail FROM wm GROUP BY 1),
+    wx AS (SELECT sk.*, near, greatest({us(0.2)}, e - s) / {u} AS d, greatest(0, f - s) / {u} AS lead_s, greatest(0, e - l) / {u} AS trail_s, coalesce(serve, false) AS serve, coalesce(ma, 0.0) AS ma, CASE WHEN head > 1e-6 THEN {_C.format('1.0 - tail / head')} ELSE 0.5 END AS decay,
+      {_C.format(f'coalesce(flying, 0) / CAST(greatest({us(0.05)}, e - s) AS DOUBLE)')} AS flight, {_C.format(f'coalesce(falling, 0) / CAST(greatest({us(0.05)}, e + {us(0.05)} - greatest(l, e - {us(0.8)})) AS DOUBLE)')} AS landing, coalesce(points, 0) * {u} / greatest({us(0.05)}, e - s) AS track_rho, near * {u} / greatest({us(0.2)}, e - s) AS rho
+      FROM sk JOIN wh USING (k) LEFT JOIN wf USING (k) LEFT JOIN wd USING (k)),
+    wy AS (SELECT *, {_START} AS start, {_END} AS finish, {_KEEP} AS keep FROM wx), wz AS (SELECT *, {_CONF} AS confidence FROM wy),
+    fs AS (SELECT *, round(round(start, 9), 3) AS score_start, round(round(finish, 9), 3) AS score_end, round(round(keep, 9), 3) AS score_keep, confidence < {REVIEW} AS needs_review FROM wz)"""
+
+
+def scored(r: DataFrame, p: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
+    """Adds ``score_start, score_end, score_keep, confidence, needs_review``.
+
+    Pulses, motion and its decay are looked up in running totals; the track is cut to three windows of each span (the span, its lead, its landing) and clustered there.
+    """
+    keys = ["stream_id", "s", "e", "f", "l"]
+    rows = staged(r.select("court_id", *keys).distinct(), "spans-to-score")
+    windows = F.array(*[F.struct(F.lit(k).alias("win"), lo.alias("lo"), hi.alias("hi")) for k, (lo, hi) in enumerate((
+        (F.col("s"), F.col("e")), (F.col("s"), F.col("f") + us(0.3)), (F.greatest("l", F.col("e") - us(0.8)), F.col("e") + us(0.05)),
+    ))])
+    cut = rows.select(*keys, F.explode(windows).alias("w")).select(*keys, "w.*")
+    cut = band(cut, t, "stream_id", F.col("lo"), F.col("hi"), "ts", BUCKET).select(*keys, "win", F.col("r_ts").alias("ts"), F.col("r_x").alias("x"), F.col("r_y").alias("y"))
+    each = cluster_rows(clusters(cut, [*keys, "win"], _GAP), [*keys, "win"])
+    flying = lambda k: F.sum(F.when((F.col("win") == k) & F.col("moving"), F.col("c1") - F.col("c0")))
+    track = each.groupBy(*keys).agg(flying(0).alias("flying"), F.sum(F.when(F.col("win") == 0, F.col("n"))).alias("points"), F.max((F.col("win") == 1) & F.col("moving")).alias("serve"), flying(2).alias("falling"))
+    near = pulses_between(rows, p, keys, F.col("s") - us(0.15), F.col("e") + us(0.15)).withColumnRenamed("hits", "near")
+    level = small_side(court_stats(e).select("court_id", (F.col("m") + 0.10 * F.greatest(F.lit(0.0), F.col("a") - F.col("m"))).alias("level")), "court-levels")  # a row for each court
+    index = level_index(e, level, {"ma": "level"})
+    motion = between(rows, index, "court_id", "ts", keys, {"span": (F.col("s"), F.col("e"))}, BUCKET).select(*keys, share_between("span", "ma"))
+    x = rows.join(near, keys).join(motion, keys).join(track, keys, "left").join(decays(rows, e, keys), keys, "left")
+    unit, least = float(UNIT), F.greatest(F.lit(us(0.05)), F.col("e") - F.col("s"))
+    falls = F.greatest(F.lit(us(0.05)), F.col("e") + us(0.05) - F.greatest("l", F.col("e") - us(0.8)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    x = x.select(
+        "court_id", *keys, "near", (F.greatest(F.lit(us(0.2)), F.col("e") - F.col("s")) / unit).alias("d"), (F.greatest(F.lit(0), F.col("f") - F.col("s")) / unit).alias("lead_s"), (F.greatest(F.lit(0), F.col("e") - F.col("l")) / unit).alias("trail_s"),
+        F.coalesce("serve", F.lit(False)).alias("serve"), "ma", F.coalesce("decay", F.lit(0.5)).alias("decay"), clip01(zero("flying") / least.cast("double")).alias("flight"), clip01(zero("falling") / falls.cast("double")).alias("landing"),
+        (zero("points") * unit / least).alias("track_rho"), (F.col("near") * unit / F.greatest(F.lit(us(0.2)), F.col("e") - F.col("s"))).alias("rho"),
+    )
+    x = x.select("*", F.expr(_START).alias("start"), F.expr(_END).alias("finish"), F.expr(_KEEP).alias("keep")).withColumn("confidence", F.expr(_CONF))
+    short = lambda c: F.round(F.round(c, 9), 3)
+    x = x.select(*keys, short("start").alias("score_start"), short("finish").alias("score_end"), short("keep").alias("score_keep"), "confidence", (F.col("confidence") < REVIEW).alias("needs_review"))
+    return r.join(x, keys)
+
+
+_PADDED = f"{_sql_islands('pulses', 'stream_id', us(1.85), extra=', event_id')}, pd AS (SELECT stream_id, any_value(court_id) AS court_id, min(ts) - {us(1.05)} AS s, max(ts) + {us(0.6)} AS e, min(ts) AS f, max(ts) AS l FROM isl GROUP BY stream_id, island)"
+
+
+def _padded(p: DataFrame) -> DataFrame:
+    return rallies(p).withColumn("s", F.col("f") - us(1.05)).withColumn("e", F.col("l") + us(0.6))
+
+
+def _scored_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pulses(spark, sf_dir)
+    return scored(_padded(p), p, carriers.energy(spark, sf_dir), carriers.track(spark, sf_dir))
+
+
+@query(f"{ctes('pulses', 'energy', 'track')}, {_PADDED}, {_STATS}, {_sql_scored('pd')} SELECT stream_id, f AS first_ts, score_start, score_end, score_keep, confidence FROM fs")
+def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_spans(spark, sf_dir).select("stream_id", F.col("f").alias("first_ts"), "score_start", "score_end", "score_keep", "confidence")
+
+
+@query(f"{ctes('pulses', 'energy', 'track')}, {_PADDED}, {_STATS}, {_sql_scored('pd')} SELECT stream_id, f AS first_ts, needs_review, CASE WHEN confidence < 0.72 THEN 'amber' ELSE 'plain' END AS band FROM fs")
+def needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_spans(spark, sf_dir).select("stream_id", F.col("f").alias("first_ts"), "needs_review", F.when(F.col("confidence") < 0.72, "amber").otherwise("plain").alias("band"))
+
+
+@query(f"{ctes('pulses', 'energy', 'track')}, {_PADDED}, {_sql_holes('pd', 'lo IS NOT NULL')} SELECT stream_id, lo AS last_ts, hi AS first_ts, has AS has_flight, round(score, 9) AS continue_score FROM co")
+def continue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every hole between two spans."""
+    p = _pulses(spark, sf_dir)
+    ho = staged(with_holes(_padded(p)).where("lo is not null").select("court_id", "stream_id", "lo", "hi").distinct(), "scored-holes")
+    x = continue_scores(ho, p, carriers.energy(spark, sf_dir), carriers.track(spark, sf_dir))
+    return x.select("stream_id", F.col("lo").alias("last_ts"), F.col("hi").alias("first_ts"), F.col("has").alias("has_flight"), F.round("score", 9).alias("continue_score"))
+
+
+_FIT = f"{_sql_tighten('sp', 'tj')}, {_sql_counted('tj')}, de AS (SELECT *, hits * {UNIT}.0 / greatest({us(0.25)}, l - f) AS density FROM ct), fi AS (SELECT * FROM de WHERE e - s >= {us(1.2)} AND hits >= 3 AND NOT (density < {DENSITY} AND hits < 5) AND NOT (e - s >= {us(10.0)} AND density < {DENSITY}))"
+
+
+@query(f"{_ALL}, {_FIT}, {_sql_scored('fi')} SELECT {_SHOWN}, hits, {', '.join(_SCORES)} FROM fs")
 def scorer_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All passes: widen, tighten, merge, split, tighten; then spans that are short, or sparse in pulses, go."""
+    """All passes: widen, tighten, merge, split, tighten; spans that are short, or sparse in pulses, go; what is left is scored."""
     p, e, t = _pulses(spark, sf_dir), carriers.energy(spark, sf_dir), carriers.track(spark, sf_dir)
-    return _shown(refine(rallies(p), p, e, t), "hits")
+    return _shown(refine(rallies(p), p, e, t), "hits", *_SCORES)
 
 
 def refine(r: DataFrame, p: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
@@ -224,7 +345,8 @@ def refine(r: DataFrame, p: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
     x = counted(staged(tighten(x, p), "scorer-spans"), p)
     density = F.col("hits") * float(UNIT) / F.greatest(F.lit(us(0.25)), F.col("l") - F.col("f"))
     long = F.col("e") - F.col("s")
-    return x.where((long >= us(1.2)) & (F.col("hits") >= 3) & ~((density < DENSITY) & (F.col("hits") < 5)) & ~((long >= us(10.0)) & (density < DENSITY)))
+    x = x.where((long >= us(1.2)) & (F.col("hits") >= 3) & ~((density < DENSITY) & (F.col("hits") < 5)) & ~((long >= us(10.0)) & (density < DENSITY)))
+    return scored(staged(x, "scorer-kept"), p, e, t)
 
 
 @query(f"{ctes('pulses')}, {_RL}, {_sql_counted('rl')} SELECT stream_id, f AS first_ts, hits FROM ct")
@@ -242,17 +364,28 @@ def motion_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much weaker the second half of a span's samples is than the first; one half where nothing tells."""
     e = carriers.energy(spark, sf_dir)
     r = rallies(_pulses(spark, sf_dir))
-    keys = ["stream_id", "f"]
-    x = band(r.select(*keys, "court_id", "s", "e"), e, "court_id", F.col("s"), F.col("e"), "ts", BUCKET)
-    w = Window.partitionBy(*keys)
-    x = x.select(*keys, "r_e5", (F.row_number().over(w.orderBy("r_ts", "r_e5")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("m"))
+    d = decays(r, e, ["stream_id", "f"])
+    return r.join(d, ["stream_id", "f"], "left").select("stream_id", F.col("f").alias("first_ts"), F.coalesce("m", F.lit(0)).alias("n"), F.round(F.coalesce("decay", F.lit(0.5)), 9).alias("decay"))
+
+
+def decays(r: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, m, decay`` of spans [s, e] that have samples."""
+    x = halves(r.select(*dict.fromkeys([*keys, "court_id", "s", "e"])), e, keys)
+    head, tail = F.col("head") / (F.greatest(F.lit(1), F.col("half")) * 100000.0), F.col("tail") / ((F.col("m") - F.col("half")) * 100000.0)
+    return x.select(*keys, "m", F.when(head > 1e-6, clip01(1.0 - tail / head)).otherwise(0.5).alias("decay"))
+
+
+def halves(r: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, m, half, head, tail`` of rows with samples in [s, e]: their number, half of it, and the sums of e5 of the first half (one sample at least) and of the rest."""
+    index = level_index(e, small_side(court_stats(e).select("court_id"), "courts"), {})
+    x = between(r, index, "court_id", "ts", ["court_id", *keys], {"span": (F.col("s"), F.col("e"))}, BUCKET)
+    x = x.select("court_id", *keys, total("span", "n").alias("m"), F.col("span_0.n").alias("p0"), F.col("span_0.e5").alias("e0"), F.col("span_1.e5").alias("e1")).where("m > 0")
     half = F.floor(F.col("m") / 2)
-    d = x.groupBy(*keys, "m").agg(
-        (F.sum(F.when(F.col("i") < F.greatest(F.lit(1), half), F.col("r_e5"))) / (F.greatest(F.lit(1), half) * 100000.0)).alias("head"),
-        (F.sum(F.when(F.col("i") >= half, F.col("r_e5"))) / ((F.col("m") - half) * 100000.0)).alias("tail"),
-    )
-    decay = F.when(F.col("head") > 1e-6, clip01(1.0 - F.col("tail") / F.col("head"))).otherwise(0.5)
-    return r.join(d, keys, "left").select("stream_id", F.col("f").alias("first_ts"), F.coalesce("m", F.lit(0)).alias("n"), F.round(decay, 9).alias("decay"))
+    x = x.withColumn("half", half).withColumn("head_at", F.col("p0") + F.greatest(F.lit(1), half)).withColumn("tail_at", F.col("p0") + half)
+    at = positions(e, "court_id", "ts", "e5", "e5", BUCKET)
+    x = x.join(at.select("court_id", F.col("position").alias("head_at"), F.col("upto").alias("h")), ["court_id", "head_at"])
+    x = x.join(at.select("court_id", F.col("position").alias("tail_at"), F.col("upto").alias("t")), ["court_id", "tail_at"], "left")
+    return x.select(*keys, "m", "half", (F.col("h") - F.col("e0")).alias("head"), (F.col("e1") - F.when(F.col("half") == 0, F.col("e0")).otherwise(F.col("t"))).alias("tail"))
 
 
 # --- expansion along motion ----------------------------------------------------------------------------------------------------------

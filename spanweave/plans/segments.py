@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import UNIT, clip01, us
 from ..operators.islands import numbered, with_island
-from ..operators.lookup import asof, band, small_side
+from ..operators.lookup import asof, small_side
+from ..operators.motion_index import between, running, total, window_max
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .registry import query
@@ -236,18 +237,9 @@ _LOCAL = f"""local AS (SELECT p.event_id, p.stream_id, p.court_id, p.ts, p.heigh
 def local_max(p: DataFrame, e: DataFrame, radius: float = 0.4) -> DataFrame:
     """Adds ``near_max``: the greatest energy of the court within ``radius`` units.
 
-    One RANGE window over both tables in buckets; rows near an edge are copied to the neighbour bucket, so a court is
-    spread over its buckets.  A pulse with no sample in reach keeps null (the caller falls back to the as-of sample).
+    A pulse with no sample in reach keeps null (the caller falls back to the as-of sample).
     """
-    r = us(radius)
-    names = [c for c in p.columns if c not in ("court_id", "ts")]
-    own = F.struct(*names)
-    rows = e.select("court_id", "ts", "energy", F.lit(None).cast(p.select(own.alias("c")).schema["c"].dataType).alias("__own"))
-    rows = rows.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor((F.col("ts") - r) / BUCKET), F.floor((F.col("ts") + r) / BUCKET)))))
-    mine = p.select("court_id", "ts", F.lit(None).cast("double").alias("energy"), own.alias("__own"), F.floor(F.col("ts") / BUCKET).alias("__b"))
-    w = Window.partitionBy("court_id", "__b").orderBy("ts").rangeBetween(-r, r)
-    near = rows.unionByName(mine).withColumn("near_max", F.max("energy").over(w)).where("__own is not null")
-    return near.select(*[F.col("court_id") if c == "court_id" else F.col("ts") if c == "ts" else F.col("__own")[c].alias(c) for c in p.columns], "near_max")
+    return window_max(p, e, "court_id", "ts", "energy", us(radius), BUCKET, "near_max")
 
 
 def local_motion(p: DataFrame, e: DataFrame, radius: float = 0.4) -> DataFrame:
@@ -289,9 +281,25 @@ def hole_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("stream_id").orderBy("ts", "event_id")
     holes = p.select("stream_id", "court_id", "event_id", F.lag("ts").over(w).alias("lo"), F.col("ts").alias("hi"))
     holes = holes.where((F.col("hi") - F.col("lo") > MAX_SILENCE) & (F.col("hi") - F.col("lo") <= MAX_BRIDGE)).join(thr, "court_id")
-    seen = band(holes, e, "court_id", F.col("lo"), F.col("hi"), "ts", BUCKET)
-    stats = seen.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("r_e5") / (F.count(F.lit(1)) * 100000.0)).alias("mean_e"), (F.sum(F.when(F.col("r_energy") >= F.col("bridge"), 1).otherwise(0)) / (F.count(F.lit(1)) * 1.0)).alias("active"))
-    return holes.join(stats, "event_id", "left").fillna(0, ["n", "mean_e", "active"])
+    index = level_index(e, thr, {"active": "bridge"})
+    seen = between(holes, index, "court_id", "ts", ["event_id"], {"hole": (F.col("lo"), F.col("hi"))}, BUCKET)
+    return holes.join(seen.select("event_id", total("hole", "n").alias("n"), mean_between("hole"), share_between("hole", "active")), "event_id")
+
+
+def level_index(e: DataFrame, levels: DataFrame, counts: dict[str, str]) -> DataFrame:
+    """Running totals by court: samples ``n``, energy ``e5``, and for each of ``counts`` the samples at or above that level of their court (rows ``court_id`` and levels)."""
+    measures = {"n": F.lit(1), "e5": F.col("e5")} | {name: F.col("energy") >= F.col(level) for name, level in counts.items()}
+    return running(e.join(levels, "court_id"), "court_id", "ts", {k: m.cast("int") for k, m in measures.items()}, BUCKET)
+
+
+def mean_between(name: str) -> Column:
+    n = total(name, "n")
+    return F.when(n > 0, total(name, "e5") / (n * 100000.0)).otherwise(0.0).alias("mean_e")
+
+
+def share_between(name: str, measure: str, none: float = 0.0) -> Column:
+    n = total(name, "n")
+    return F.when(n > 0, total(name, measure) / (n * 1.0)).otherwise(none).alias(measure)
 
 
 @query(f"{ctes('pulses', 'energy')}, {_sql_thresholds()}, {_HOLES} SELECT event_id, lo, hi, n, round(mean_e, 12) AS mean_energy, round(active, 12) AS active FROM hole")

@@ -1,20 +1,19 @@
-"""Track points: clusters, flights, boundary search, and the scores of spans."""
+"""Track points: clusters, flights and boundary search."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.units import UNIT, clip01, us
+from ..functions.units import clip01, us
 from ..operators import intervals
 from ..operators.islands import with_island
-from ..operators.lookup import band, small_side
+from ..operators.lookup import band
 from ..sources import carriers
 from ..sources.carriers import ctes
-from .highlights import _LEVELS, _PULSE_SPANS, BUCKET, motion_levels, pulse_spans
+from .highlights import _PULSE_SPANS, BUCKET, pulse_spans
 from .registry import query
 
-_U = f"{UNIT}.0"
 #: Coordinates in micro-units, so that sums of steps are sums of rounded integers and do not depend on order.
 MICRO = 1_000_000
 
@@ -135,63 +134,3 @@ def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.array(F.struct((F.col("first") - us(3.2)).alias("s"), (F.col("first") + us(0.45)).alias("e")), F.struct((F.col("last") - us(0.15)).alias("s"), (F.col("last") + us(3.4)).alias("e")))
     w = s.select("stream_id", F.explode(two).alias("x")).select("stream_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
     return intervals.merge(w, us(0.1)).select("stream_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "n")
-
-
-# --- scores ---------------------------------------------------------------------------------------------------------
-
-_C = "least(1.0, greatest(0.0, {}))"
-_SCORE = {
-    "score_start": f"{_C.format(f'0.30 * {_C.format('lead_s / 1.8')} + 0.35 * fl + 0.25 * {_C.format('1 - abs(lead_s - 0.6) / 1.5')} + 0.10 * ma')}",
-    "score_end": f"{_C.format(f'0.30 * {_C.format('trail_s / 1.5')} + 0.30 * CASE WHEN trail_s >= 0.35 THEN 1.0 ELSE {_C.format('trail_s / 0.35')} END + 0.20 * 0.5 + 0.20 * (1 - fl)')}",
-    "score_keep": f"{_C.format(f'0.30 * fl + 0.35 * {_C.format('rho / 0.7')} + 0.20 * ma + 0.10 * {_C.format('td / 5.0')} + 0.05 * least(d, 12.0) / 12.0')} * CASE WHEN d > 20 AND rho < 0.25 THEN 0.7 ELSE 1.0 END",
-}
-_FINAL = f"greatest(CASE WHEN n >= 3 AND d >= 2 AND rho >= 0.25 THEN 0.55 ELSE 0.0 END, {_C.format('0.45 * score_keep + 0.25 * score_start + 0.30 * score_end')})"
-_SCORED = f"""{_SPANS_P}, {_LEVELS}, {_CUT.format(lo='p.s', hi='p.e')}, {_sql_clusters('cut', 'stream_id, island', _GAP, 'cl')},
-    fl AS (SELECT stream_id, island, sum(CASE WHEN moving THEN c1 - c0 END) AS flying, sum(n) AS points FROM cl GROUP BY 1, 2),
-    mo AS (SELECT p.stream_id, p.island, sum(CASE WHEN e.energy >= v.court_at THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS ma FROM ps p JOIN lv v USING (court_id) JOIN energy e ON e.court_id = p.court_id AND e.ts BETWEEN p.s AND p.e GROUP BY 1, 2),
-    sc AS (SELECT p.stream_id, p.f, p.n, p.d, p.rho, (p.f - p.s) / {_U} AS lead_s, (p.e - p.l) / {_U} AS trail_s, coalesce(ma, 0.0) AS ma, {_C.format('coalesce(flying, 0) / CAST(p.e - p.s AS DOUBLE)')} AS fl, coalesce(points, 0) / p.d AS td
-      FROM ps p LEFT JOIN fl USING (stream_id, island) LEFT JOIN mo USING (stream_id, island)),
-    s3 AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _SCORE.items())} FROM sc), s4 AS (SELECT *, {_FINAL} AS conf FROM s3)"""
-
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans with their start, end and keep scores and confidence (decay of motion at its default of one half)."""
-    s, e = pulse_spans(spark, sf_dir), carriers.energy(spark, sf_dir)
-    keys = ["stream_id", "island"]
-    c = _clipped(s, carriers.track(spark, sf_dir), F.col("first") - us(1.05), F.col("last") + us(0.60), _GAP)
-    f = c.groupBy(*keys).agg(F.sum(F.when(F.col("moving"), F.col("c1") - F.col("c0"))).alias("flying"), F.sum("n").alias("points"))
-    lv = small_side(motion_levels(e).select("court_id", "court_at"), "court-levels")  # a row for each court
-    near = band(s.select(*keys, "court_id", "start", "end").join(lv, "court_id"), e, "court_id", F.col("start"), F.col("end"), "ts", BUCKET)
-    m = near.groupBy(*keys).agg((F.sum(F.when(F.col("r_energy") >= F.col("court_at"), 1).otherwise(0)) / F.count(F.lit(1)).cast("double")).alias("ma"))
-    x = s.join(f, keys, "left").join(m, keys, "left")
-    x = x.select(
-        "stream_id", F.col("first").alias("f"), "n", "d", "rho", ((F.col("first") - F.col("start")) / float(UNIT)).alias("lead_s"), ((F.col("end") - F.col("last")) / float(UNIT)).alias("trail_s"), F.coalesce("ma", F.lit(0.0)).alias("ma"),
-        clip01(F.coalesce("flying", F.lit(0)) / (F.col("end") - F.col("start")).cast("double")).alias("fl"), (F.coalesce("points", F.lit(0)) / F.col("d")).alias("td"),
-    )
-    x = x.select("*", *[F.expr(v).alias(k) for k, v in _SCORE.items()])
-    return x.withColumn("conf", F.expr(_FINAL))
-
-
-@query(f"{ctes('pulses', 'energy', 'track')}, {_SCORED} SELECT stream_id, f AS first_ts, round(score_start, 9) AS score_start, round(score_end, 9) AS score_end, round(score_keep, 9) AS score_keep, round(conf, 9) AS confidence FROM s4")
-def span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("stream_id", F.col("f").alias("first_ts"), *[F.round(c, 9).alias(c) for c in ("score_start", "score_end", "score_keep")], F.round("conf", 9).alias("confidence"))
-
-
-@query(f"{ctes('pulses', 'energy', 'track')}, {_SCORED} SELECT stream_id, f AS first_ts, round(conf, 6) < 0.58 AS needs_review, CASE WHEN round(conf, 6) < 0.72 THEN 'amber' ELSE 'plain' END AS band FROM s4")
-def needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.round("conf", 6)
-    return scored(spark, sf_dir).select("stream_id", F.col("f").alias("first_ts"), (c < 0.58).alias("needs_review"), F.when(c < 0.72, "amber").otherwise("plain").alias("band"))
-
-
-@query(
-    f"""{ctes('pulses', 'energy', 'track')}, {_SCORED}, pr AS (SELECT *, lead(f) OVER (PARTITION BY stream_id ORDER BY f) AS nf, lead(fl) OVER (PARTITION BY stream_id ORDER BY f) AS nfl, lead(ma) OVER (PARTITION BY stream_id ORDER BY f) AS nma, lead(n) OVER (PARTITION BY stream_id ORDER BY f) AS nn FROM s4)
-    SELECT stream_id, f AS first_ts, nf AS next_ts, round({_C.format('0.35 * CASE WHEN fl > 0 AND nfl > 0 THEN 1.0 ELSE 0.0 END + 0.20 * (fl + nfl) / 2 + 0.15 * ' + _C.format('td / 6.0') + ' + 0.25 * ' + _C.format('(n + nn) / 3.0') + ' + 0.05 * (ma + nma) / 2')}, 9) AS continue_score FROM pr WHERE nf IS NOT NULL"""
-)
-def continue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How likely neighbour spans are one: flights, track density, pulses and motion of the pair."""
-    w = Window.partitionBy("stream_id").orderBy("f")
-    x = scored(spark, sf_dir)
-    x = x.select("*", *[F.lead(c).over(w).alias(f"n{c}") for c in ("f", "fl", "ma", "n")]).where("nf is not null")
-    both = F.when((F.col("fl") > 0) & (F.col("nfl") > 0), 1.0).otherwise(0.0)
-    score = clip01(0.35 * both + 0.20 * (F.col("fl") + F.col("nfl")) / 2 + 0.15 * clip01(F.col("td") / 6.0) + 0.25 * clip01((F.col("n") + F.col("nn")) / 3.0) + 0.05 * (F.col("ma") + F.col("nma")) / 2)
-    return x.select("stream_id", F.col("f").alias("first_ts"), F.col("nf").alias("next_ts"), F.round(score, 9).alias("continue_score"))
