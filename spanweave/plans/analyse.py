@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import us
 from ..operators import intervals
-from ..operators.store import replace_streams
+from ..operators.store import SpanStore
 from ..sources import carriers
 from ..sources.carriers import ctes
 from . import scorer
@@ -65,9 +65,28 @@ def analyse(p: DataFrame, e: DataFrame, t: DataFrame, stages: Stages = Stages())
     return m.select("stream_id", number.alias("number"), "start", "end", "n")
 
 
-def analyse_and_store(spark: SparkSession, sf_dir: str, path: str, stages: Stages = Stages()) -> None:
-    """Analyses all streams and replaces their spans in the store; done again it gives the same table."""
-    replace_streams(analyse(carriers.pulses(spark, sf_dir), carriers.energy(spark, sf_dir), carriers.track(spark, sf_dir), stages), path)
+def clamp(x: DataFrame, durations: DataFrame) -> DataFrame:
+    """Spans within [0, duration] of their stream (rows ``stream_id, duration``; 0, null or none: no end); those without length go."""
+    d = durations.select("stream_id", F.when(F.col("duration") > 0, F.col("duration")).alias("__d"))
+    x = x.join(d, "stream_id", "left").withColumn("start", F.greatest(F.lit(0), "start")).withColumn("end", F.least("end", "__d")).drop("__d")
+    return x.where("end > start")
+
+
+def analyse_and_store(spark: SparkSession, sf_dir: str, path: str, stages: Stages = Stages(), streams: DataFrame | None = None, durations: DataFrame | None = None) -> DataFrame:
+    """Analyses ``streams`` (all, if not given) but for those under way, and replaces their spans in the store, also by none; returns the streams taken.
+
+    If the analysis fails, its streams are left without spans, their job as failed with the error as its note, and the error goes on.
+    """
+    store, p = SpanStore(spark, path), carriers.pulses(spark, sf_dir)
+    taken = store.start(p if streams is None else streams)
+    mine = lambda df: df.join(taken, "stream_id", "left_semi")
+    try:
+        found = analyse(mine(p), carriers.energy(spark, sf_dir), mine(carriers.track(spark, sf_dir)), stages)
+        store.finish(taken, found if durations is None else clamp(found, durations))
+    except Exception as e:
+        store.fail(taken, str(e).splitlines()[0] if str(e) else type(e).__name__)
+        raise
+    return taken
 
 
 @query(

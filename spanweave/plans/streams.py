@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dsp
-from ..functions.units import us
-from ..operators.staging import shared_folder
-from ..sources.carriers import SQL, table
+from ..functions.units import micros, us
+from ..operators.staging import shared_folder, staged
+from ..sources.carriers import COURTS, SQL, energy, table
 from ..streaming import sessions
 from .registry import query
-from .segments import _sql_islands
+from .segments import _STATS, _sql_islands, court_stats
 
 GAP, LATE = "39960 seconds", "10 minutes"  # 1.85 units
 
@@ -32,6 +32,27 @@ def stream_session_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(sessions.SPAN).parquet(f"{out}/data")
 
 
+_LEVEL = f"""{_STATS}, lv AS (SELECT court_id, greatest(0.006, m + 0.10 * greatest(0.0, a - m)) AS level FROM stats)"""
+
+
+@query(
+    f"""WITH {SQL['pulses']}, {SQL['energy']}, {_LEVEL}, own AS (SELECT p.*, p.height / 1000.0 >= level AS supported FROM pulses p JOIN lv USING (court_id)), {_sql_islands('own', 'stream_id', us(2.5), extra=', event_id')},
+    op AS (SELECT *, min(CASE WHEN supported THEN ts END) OVER (PARTITION BY stream_id, island) AS begin FROM isl), top AS (SELECT max(ts) AS t FROM pulses)
+    SELECT stream_id, begin AS start_us, max(ts) + {us(0.5)} AS end_us, count(*) AS n_pulses FROM op, top WHERE ts >= begin GROUP BY stream_id, island, begin, t
+    HAVING count(*) >= 2 AND max(ts) + {us(0.5)} - begin >= {us(2.0)} AND max(ts) + {us(2.5)} < (t // 1000) * 1000 - 600000000"""
+)
+def stream_state_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine over the event table read as a stream, with levels of support that a batch job calibrates: spans that the watermark has closed."""
+    level = F.greatest(F.lit(0.006), F.col("m") + 0.10 * F.greatest(F.lit(0.0), F.col("a") - F.col("m")))
+    levels = staged(court_stats(energy(spark, sf_dir)).select("court_id", level.alias("level")), "court-levels")
+    e = sessions.read_table(spark, sf_dir, "events", table(spark, sf_dir, "events").schema).where("event_type <> 'error'")
+    p = e.select(F.col("user_id").alias("stream_id"), (F.col("user_id") % COURTS).alias("court_id"), micros("ts").alias("ts"), (F.col("value") / 1000.0).alias("energy"))
+    out = shared_folder(spark, "spans")
+    spans = sessions.state_machine(sessions.supported_pulses(p, levels, "court_id"), us(2.5), us(0.5), us(2.0), 2, LATE)
+    sessions.run_once(spans, f"{out}/data", f"{out}/state")
+    return spark.read.schema(spans.schema).parquet(f"{out}/data")
+
+
 @query()
 def pcm_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits found in synthetic signals, one for each customer, with hits every 0.8 seconds."""

@@ -1,8 +1,8 @@
 """Streaming forms: session spans, debounce, the span state machine, atomic replacement of batches.
 
 Thresholds that need a whole series (median, percentile) cannot be had exactly from a stream; they come from a static table that
-a batch job makes.  A pulse later than the watermark is dropped.  Keyed states are timed by the watermark: when a stream has been silent for long
-enough its open span is given out and its state goes, so states are those of the streams that are active.
+a batch job makes (``supported_pulses``).  A pulse later than the watermark is dropped.  Keyed states take rows in order of time and are timed by the watermark
+(``in_order``): when a stream has been silent for long enough its open span is given out and its state goes, so states are those of the streams that are active.
 """
 
 from __future__ import annotations
@@ -27,76 +27,100 @@ def session_spans(pulses: DataFrame, gap: str, late: str) -> DataFrame:
     return s.select("stream_id", F.unix_micros("a").alias("first_us"), F.unix_micros("b").alias("last_us"), "n_pulses")
 
 
-def _timed(pulses: DataFrame, late: str) -> DataFrame:
-    """Adds the watermarked time that timeouts go by, from ``ts`` (microseconds)."""
-    return pulses.withColumn("at", F.timestamp_micros("ts")).withWatermark("at", late)
+#: A keyed state of rows that wait for the watermark, and what a fold carries from row to row.
+_WAITING = "waiting array<long>, marks array<boolean>"
+#: Carried longs, rows (time, mark) in order of time, the watermark -> carried longs or None, results.
+Fold = Callable[[tuple, tuple | None, list[tuple[int, bool]], int], tuple[tuple | None, list[tuple]]]
 
 
-def _expire(state: GroupState, at_us: int) -> None:
-    """The state times out when the watermark has passed ``at_us``."""
-    state.setTimeoutTimestamp(max(at_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+def in_order(rows: DataFrame, fold: Fold, carried: str, out: str, alive_us: int, late: str) -> DataFrame:
+    """Rows ``stream_id, ts, mark``, folded by stream in order of time whatever the order of arrival.
 
-
-def debounce(pulses: DataFrame, rest_us: int, late: str = "10 minutes") -> DataFrame:
-    """Pulses at least ``rest_us`` after the last one kept; the state of a stream is that time, until the watermark is ``rest_us`` behind it.
-
-    Batches are sorted; older pulses than the state are dropped.
+    Rows wait, sorted, in the stream's state until the watermark has passed them (then none can come before them any more); event-time timers wake a stream when its next row is due, and when
+    its carried state, whose first field is a time, is ``alive_us`` behind.  Rows that come later than the watermark are dropped by the engine, which counts them (``Progress.dropped``).
     """
+    names = [x.split()[0] for x in out.split(", ")]
+    fields = len(carried.split(", "))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
+        upto = state.getCurrentWatermarkMs() * 1000
+        carry, waiting = None, []
+        if state.exists:
+            *values, times, marks = state.get
+            carry = None if values[0] is None else tuple(values)
+            waiting = list(zip(times, marks, strict=True))
+        if not state.hasTimedOut:
+            waiting += [(int(t), bool(m)) for f in frames for t, m in zip(f["ts"], f["mark"], strict=True)]
+        waiting.sort()
+        ready = sum(t <= upto for t, _ in waiting)
+        carry, found = fold(key, carry, waiting[:ready], upto)
+        waiting = waiting[ready:]
+        if carry is None and not waiting:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*(carry or (None,) * fields), [t for t, _ in waiting], [m for _, m in waiting]))
+            due = min([*(t for t, _ in waiting[:1]), *([carry[0] + alive_us] if carry else [])])
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(found, columns=names)
+
+    timed = rows.select("stream_id", "ts", "mark", F.timestamp_micros("ts").alias("at")).withWatermark("at", late)
+    return timed.groupBy("stream_id").applyInPandasWithState(step, out, f"{carried}, {_WAITING}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def debounce(pulses: DataFrame, rest_us: int, late: str = "10 minutes") -> DataFrame:
+    """Pulses at least ``rest_us`` after the last one kept; a stream's state goes when the watermark is that far behind it."""
+
+    def fold(key: tuple, carry: tuple | None, rows: list, upto: int) -> tuple:
+        last = carry[0] if carry else None
         kept = []
-        for t in sorted(x for f in frames for x in f["ts"]):
+        for t, _ in rows:
             if last is None or t - last >= rest_us:
-                kept.append(t)
+                kept.append((key[0], t))
                 last = t
-        if last is not None:
-            state.update((last,))
-            _expire(state, last + rest_us)
-        yield pd.DataFrame({"stream_id": [key[0]] * len(kept), "ts": kept})
+        return (None if last is None or upto - last >= rest_us else (last,)), kept
 
-    return _timed(pulses, late).groupBy("stream_id").applyInPandasWithState(step, "stream_id long, ts long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(pulses.withColumn("mark", F.lit(True)), fold, "last long", "stream_id long, ts long", rest_us, late)
 
 
 def state_machine(pulses: DataFrame, silence_us: int, pad_us: int, least_us: int, least_pulses: int, late: str = "10 minutes") -> DataFrame:
-    """Rows ``stream_id, ts, supported`` -> spans: opened by a supported pulse, closed by a silence.
+    """Rows ``stream_id, ts, supported`` -> spans: opened by a supported pulse, closed by a silence, which the next pulse or the watermark shows.
 
-    The state is (open, last, pulses).  A span still open at the end of a batch stays in the state until the watermark shows the silence; then it is given out.
+    What is carried is (last, begin, pulses).
     """
 
-    def closed(key: tuple, begin: int, last: int, n: int) -> list[tuple]:
-        good = begin >= 0 and n >= least_pulses and last + pad_us - begin >= least_us
-        return [(key[0], begin, last + pad_us, n)] if good else []
+    def fold(key: tuple, carry: tuple | None, rows: list, upto: int) -> tuple:
+        last, begin, n = carry or (None, -1, 0)
+        found: list[tuple] = []
+
+        def close() -> None:
+            if begin >= 0 and n >= least_pulses and last + pad_us - begin >= least_us:
+                found.append((key[0], begin, last + pad_us, n))
+
+        for t, supported in rows:
+            if last is not None and t - last > silence_us:
+                close()
+                begin, n = -1, 0
+            if begin < 0 and supported:
+                begin = t
+            n += begin >= 0
+            last = t
+        if last is not None and upto - last > silence_us:
+            close()
+            return None, found
+        return (None if last is None else (last, begin, n)), found
+
+    rows = pulses.select("stream_id", "ts", F.col("supported").alias("mark"))
+    return in_order(rows, fold, "last long, begin long, n long", "stream_id long, start_us long, end_us long, n_pulses long", silence_us, late)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begin, last, n = state.get if state.exists else (-1, -1, 0)
-        out = []
-        if state.hasTimedOut:
-            out = closed(key, begin, last, n)
-            state.remove()
-        else:
-            rows = sorted((t, s) for f in frames for t, s in zip(f["ts"], f["supported"], strict=True))
-            for t, supported in rows:
-                if last >= 0 and t - last > silence_us:
-                    out += closed(key, begin, last, n)
-                    begin, n = -1, 0
-                if begin < 0 and supported:
-                    begin = t
-                if begin >= 0:
-                    n += 1
-                last = t
-            state.update((int(begin), int(last), int(n)))
-            _expire(state, int(last) + silence_us)
-        yield pd.DataFrame(out, columns=["stream_id", "start_us", "end_us", "n_pulses"])
 
-    return _timed(pulses, late).groupBy("stream_id").applyInPandasWithState(step, "stream_id long, start_us long, end_us long, n_pulses long", "begin long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+def supported_pulses(pulses: DataFrame, levels: DataFrame, by: str) -> DataFrame:
+    """A stream of ``stream_id, ts, energy`` and the key ``by``, joined to the static levels (rows ``by, level``) that a batch job has calibrated."""
+    return pulses.join(levels, by).select("stream_id", "ts", (F.col("energy") >= F.col("level")).alias("supported"))
 
 
 class Progress(StreamingQueryListener):
-    """What the streaming queries of a session have done: rows and batches by query name, and how each ended.
+    """What the streaming queries of a session have done: rows, batches and rows dropped as too late by query name, and how each ended.
 
     A session's queries have names that begin with its token; ``stop_others`` cancels those of earlier sessions.
     """
@@ -104,6 +128,7 @@ class Progress(StreamingQueryListener):
     def __init__(self) -> None:
         self.rows: Counter[str] = Counter()
         self.batches: Counter[str] = Counter()
+        self.dropped: Counter[str] = Counter()
         self.ended: dict[str, str] = {}
         self._names: dict[str, str] = {}
 
@@ -115,6 +140,7 @@ class Progress(StreamingQueryListener):
         self._names[str(event.progress.id)] = name
         self.rows[name] += event.progress.numInputRows
         self.batches[name] += 1
+        self.dropped[name] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass
@@ -139,7 +165,7 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, each: Callable[[DataF
 
 
 def replace_batches(spans: DataFrame, table: str, checkpoint: str) -> None:
-    """Every batch replaces the spans of the streams it holds, whole; running a batch twice gives the same table."""
+    """Every batch replaces the spans of the streams it holds, whole, in one version of the table; running a batch twice gives the same rows."""
     run_once(spans, "", checkpoint, lambda batch, _: replace_streams(batch, table))
 
 

@@ -16,7 +16,6 @@ from spanweave.operators.islands import with_island
 from spanweave.operators.lookup import asof, band
 from spanweave.plans import catalogue, records
 from spanweave.plans.segments import percentile_floor_index
-from spanweave.streaming import sessions
 
 
 def spans(spark, rows, more="") -> object:
@@ -157,39 +156,6 @@ def test_store_replaces_only_its_streams(spark, tmp_path):
         store.append_checked(new, first, "stream_id", "stream_id", str(tmp_path / "x"))
 
 
-def test_streams_match_batches(spark, tmp_path):
-    r = random.Random(3)
-    rows = [(s, t, r.random() < 0.4) for s in range(4) for t in sorted(r.sample(range(1000), 90))]
-    half = len(rows) // 2
-    parts = [sorted(rows, key=lambda x: x[1])[:half], sorted(rows, key=lambda x: x[1])[half:]]
-    for i, p in enumerate(parts):
-        spark.createDataFrame(p, "stream_id long, ts long, supported boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("stream_id long, ts long, supported boolean").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    sessions.run_once(sessions.debounce(stream, 12), str(tmp_path / "d"), str(tmp_path / "cd"))
-    want = []
-    for s in range(4):
-        last = None
-        for _, t, _ in [x for x in rows if x[0] == s]:
-            if last is None or t - last >= 12:
-                want.append((s, t))
-                last = t
-    assert sorted((x["stream_id"], x["ts"]) for x in spark.read.parquet(str(tmp_path / "d")).collect()) == want
-    sessions.run_once(sessions.state_machine(stream, 20, 3, 5, 2), str(tmp_path / "m"), str(tmp_path / "cm"))
-    spans_of = []
-    for s in range(4):
-        group = []
-        for t, ok in [(t, ok) for q, t, ok in rows if q == s] + [(10**6, False)]:
-            if group and t - group[-1][0] > 20:
-                opened = [i for i, g in enumerate(group) if g[1]]
-                if opened and len(group) - opened[0] >= 2 and group[-1][0] + 3 - group[opened[0]][0] >= 5:
-                    spans_of.append((s, group[opened[0]][0], group[-1][0] + 3, len(group) - opened[0]))
-                group = []
-            group.append((t, ok))
-    got = sorted(tuple(x) for x in spark.read.parquet(str(tmp_path / "m")).select("stream_id", "start_us", "end_us", "n_pulses").collect())
-    open_last = {s: max(t for q, t, _ in rows if q == s) for s in range(4)}
-    assert got == sorted(x for x in spans_of if x[2] - 3 != open_last[x[0]])
-
-
 def test_signal():
     hits = [0.5, 1.3, 2.1, 2.9]
     t, h = dsp.pulses(dsp.synthetic(4.0, hits))
