@@ -5,6 +5,8 @@ buckets in a table with one row for each key and bucket.  What an interval [lo,
 interval does not depend on how many samples lie in it.  Conditions become counts of samples that meet them; "three in a row" becomes counts of
 where such triples begin and end (``with_triples``).  A maximum within a fixed radius comes from prefix and suffix maxima of blocks as wide as the window, of which any window
 touches two (``window_max``).
+
+An as-of lookup reads its left side twice, so what is looked up is written before it; a chain of lookups would else be computed twice as often with each.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ def between(rows: DataFrame, index: DataFrame, by: str, at: str, keys: list[str]
     """``keys`` (one row for each) and for each range two structs of totals: ``<name>_0`` before it, ``<name>_1`` up to its end; see ``total``."""
     names = [c for c in index.columns if c not in (by, at)]
     points = [p for lo, hi in ranges.values() for p in (lo - 1, hi)]
-    probes = rows.select(*dict.fromkeys([by, *keys]), F.posexplode(F.array(*[p.cast("long") for p in points])).alias("__i", at))
+    asked = staged(rows.select(*dict.fromkeys([by, *keys]), F.array(*[p.cast("long") for p in points]).alias("__p")), "asked-intervals")
+    probes = asked.select(*dict.fromkeys([by, *keys]), F.posexplode("__p").alias("__i", at))
     found = asof(probes, index, by, at, names, bucket, prefix="__at_")
     here = F.struct(*[F.coalesce(F.col(f"__at_{n}"), F.lit(0)).alias(n) for n in names])
     sides = [f"{name}_{side}" for name in ranges for side in (0, 1)]
@@ -83,7 +86,7 @@ def window_max(points: DataFrame, samples: DataFrame, by: str, at: str, value: s
     down = F.max("__v").over(w.orderBy(F.desc(at)).rowsBetween(_ALL_BEFORE, 0))
     index = staged(s.select(by, at, upto.alias("upto"), down.alias("down")), "window-maxima")
     rows = points.withColumn("__own", F.col(at)).withColumn(at, F.col("__own") - radius)
-    rows = asof(rows, index, by, at, ["down"], bucket, forward=True, prefix="__f_").withColumn(at, F.col("__own") + radius)
+    rows = staged(asof(rows, index, by, at, ["down"], bucket, forward=True, prefix="__f_").withColumn(at, F.col("__own") + radius), "window-points")
     rows = asof(rows, index, by, at, ["upto"], bucket, prefix="__p_").withColumn(at, F.col("__own"))
     first, last = F.col(f"__f_{at}"), F.col(f"__p_{at}")
     # the left block's part from the first sample on, the right block's part up to the last one
@@ -102,3 +105,41 @@ def positions(samples: DataFrame, by: str, at: str, tie: str, measure: str, buck
     before = blocks.select(by, "__b", F.coalesce(F.sum("n").over(carried), F.lit(0)).alias("__n"), F.coalesce(F.sum("m").over(carried), F.lit(0)).alias("__s"))
     here = each.select(by, "__b", F.count(F.lit(1)).over(w).alias("k"), F.sum("__m").over(w).alias("s"))
     return staged(here.join(before, [by, "__b"]).select(by, (F.col("k") + F.col("__n")).alias("position"), (F.col("s") + F.col("__s")).alias("upto")), "positions")
+
+
+def active_runs(samples: DataFrame, by: str, at: str, tie: str, flag: Column, quiet: int, bucket: int) -> DataFrame:
+    """The samples that meet ``flag``, in runs with at most ``quiet`` others in a row between them; written once.
+
+    Columns ``by, at, run_first`` (time of the run's first sample), ``opens`` (whether this is it) and ``ahead_of`` (time of the sample before the run's first).  A walk from a sample to the edge of its run is a lookup of one row.
+    """
+    s = samples.select(by, at, tie, flag.alias("__f"), F.floor(F.col(at) / bucket).alias("__b"))
+    w = Window.partitionBy(by, "__b").orderBy(at, tie)
+    s = s.withColumn("__k", F.row_number().over(w)).withColumn("__p", F.lag(at).over(w))
+    carried = Window.partitionBy(by).orderBy("__b").rowsBetween(_ALL_BEFORE, -1)
+    blocks = s.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("__f"), F.col("__k"))).alias("k"), F.max(at).alias("t"))
+    blocks = blocks.withColumn("__n", F.coalesce(F.sum("n").over(carried), F.lit(0)))
+    blocks = blocks.select(by, "__b", "__n", F.last(F.col("k") + F.col("__n"), ignorenulls=True).over(carried).alias("__last"), F.last("t").over(carried).alias("__edge"))
+    a = s.where("__f").join(blocks, [by, "__b"]).withColumn("__pos", F.col("__k") + F.col("__n"))
+    gap = F.col("__pos") - F.coalesce(F.lag("__pos").over(w), "__last")
+    a = a.withColumn("opens", F.coalesce(gap > quiet + 1, F.lit(True)))
+    own = F.struct(F.col(at).alias("first"), F.coalesce("__p", "__edge").alias("before"))
+    a = a.withColumn("__own", F.when(F.col("opens"), own))
+    a = staged(a.select(by, at, tie, "__b", "opens", "__own"), "run-starts")
+    starts = a.groupBy(by, "__b").agg(F.max("__own").alias("o"))
+    starts = starts.select(by, "__b", F.last("o", ignorenulls=True).over(carried).alias("__before"))
+    run = F.coalesce(F.last("__own", ignorenulls=True).over(w.rowsBetween(_ALL_BEFORE, 0)), "__before")
+    return staged(a.join(starts, [by, "__b"]).withColumn("__run", run).select(by, at, "opens", F.col("__run.first").alias("run_first"), F.col("__run.before").alias("ahead_of")), "active-runs")
+
+
+def first_at_or_after(rows: DataFrame, when: Column, runs: DataFrame, by: str, at: str, bucket: int, name: str) -> DataFrame:
+    """Adds the time of the first sample of ``runs`` at or after ``when``."""
+    found = asof(staged(rows.withColumn(at, when), "walks"), runs.select(by, at), by, at, [], bucket, forward=True, prefix="__x_")
+    return found.withColumnRenamed(f"__x_{at}", name).drop(at)
+
+
+def last_at_or_before(rows: DataFrame, when: Column, runs: DataFrame, by: str, at: str, bucket: int, name: str, *more: str) -> DataFrame:
+    """Adds the time of the last sample of ``runs`` at or before ``when``, and its columns ``more``."""
+    found = asof(staged(rows.withColumn(at, when), "walks"), runs.select(by, at, *more), by, at, list(more), bucket, prefix="__x_")
+    for c in more:
+        found = found.withColumnRenamed(f"__x_{c}", c)
+    return found.withColumnRenamed(f"__x_{at}", name).drop(at)

@@ -12,8 +12,8 @@ from ..functions.units import UNIT, micros, us
 from ..operators import rules
 from ..operators.highlight import filter_streams
 from ..operators.islands import with_island
-from ..operators.lookup import band, small_side
-from ..operators.motion_index import between, running, total, with_triples
+from ..operators.lookup import small_side
+from ..operators.motion_index import active_runs, between, first_at_or_after, last_at_or_before, running, total, with_triples
 from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
@@ -289,19 +289,16 @@ _QUIET = 3
 def walk_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back along the motion before the first pulse, over quiet stretches of up to three samples.
 
-    Islands over the index of active samples: the one that holds the last active sample before the pulse gives the start.
+    The last active sample before the pulse is one lookup; its run says how far back that goes, and where the run begins before the look back the first active sample in it does.
     """
     e = carriers.energy(spark, sf_dir)
     span = F.greatest(F.lit(0.0), F.col("a") - F.col("m"))
     onset = court_stats(e).select("court_id", F.greatest(F.lit(0.008), F.col("m") + 0.08 * span).alias("onset"))
-    s = pulse_spans(spark, sf_dir).select("stream_id", "island", "court_id", "first").join(small_side(onset, "court-onset"), "court_id")
-    near = band(s, e.select("court_id", "ts", "energy"), "court_id", F.col("first") - us(2.0), F.col("first") + us(0.15), "ts", BUCKET)
-    g = Window.partitionBy("stream_id", "island")
-    near = near.withColumn("i", F.row_number().over(g.orderBy("r_ts"))).withColumn("act", F.col("r_energy") >= F.col("onset"))
-    near = near.withColumn("anchor", F.max(F.when((F.col("r_ts") <= F.col("first")) & F.col("act"), F.col("r_ts"))).over(g)).where("act and r_ts <= anchor")
-    runs = with_island(near, ["stream_id", "island"], "i", _QUIET + 1, name="grp")
-    last = runs.withColumn("g", F.max("grp").over(g)).where("grp = g").groupBy("stream_id", "island").agg(F.min("r_ts").alias("t"))
-    out = s.join(last, ["stream_id", "island"], "left")
+    runs = active_runs(e.join(small_side(onset, "court-onset"), "court_id"), "court_id", "ts", "e5", F.col("energy") >= F.col("onset"), _QUIET, BUCKET)
+    s = pulse_spans(spark, sf_dir).select("stream_id", "court_id", "first")
+    early = F.col("first") - us(2.0)
+    s = last_at_or_before(s, F.col("first"), runs, "court_id", "ts", BUCKET, "anchor", "run_first")
+    out = first_at_or_after(s, early, runs, "court_id", "ts", BUCKET, "edge").withColumn("t", F.when(F.col("anchor") >= early, F.greatest("run_first", "edge")))
     start = F.when(F.col("t").isNotNull(), F.greatest(F.col("first") - us(2.0), F.col("t") - us(0.35))).otherwise(F.col("first") - us(0.35))
     return out.select("stream_id", F.col("first").alias("first_ts"), start.alias("start_at"))
 

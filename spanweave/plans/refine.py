@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.units import us
 from ..operators import folds
 from ..operators.islands import with_island
-from ..operators.lookup import band, small_side
-from ..operators.motion_index import between
+from ..operators.lookup import asof, band, small_side
+from ..operators.motion_index import active_runs, between, last_at_or_before, total
 from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
@@ -256,7 +256,7 @@ _AHEAD = RESIDUAL_WINDOW + us(1.5)
 )
 def walk_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a span goes on after its last pulse while motion lingers, to the first pause that is long enough."""
-    b = fragments(spark, sf_dir)
+    b = staged(fragments(spark, sf_dir), "fragments")
     walked = _walk_ahead(b, carriers.energy(spark, sf_dir), F.col("l") + _AHEAD)
     out = b.join(walked, "id", "left")
     seen = F.col("seen").isNotNull()
@@ -266,15 +266,31 @@ def walk_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk_ahead(b: DataFrame, e: DataFrame, until: Column) -> DataFrame:
-    """``id, seen, active_at, strong_at``: the last active and strong sample after the last pulse, before the first long pause."""
-    s = band(b.select("id", "court_id", "l", "residual", "merge_at", until.alias("until")), e, "court_id", F.col("l"), F.col("until"), "ts", BUCKET)
-    w = Window.partitionBy("id").orderBy("r_ts", "r_e5")
-    s = s.select("id", "l", "merge_at", F.col("r_ts").alias("ts"), F.col("r_energy").alias("energy"), (F.col("r_energy") >= F.col("residual")).alias("active"), F.row_number().over(w).alias("k"))
-    upto = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("quiet", F.col("k") - F.coalesce(F.max(F.when(F.col("active"), F.col("k"))).over(upto), F.lit(0)))
-    stop = F.min(F.when((F.col("quiet") > QUIET_AHEAD) & (F.col("ts") >= F.col("l") + LANDING), F.col("k"))).over(Window.partitionBy("id"))
-    s = s.withColumn("stop", stop).where("stop is null or k < stop")
-    return s.groupBy("id").agg(F.count(F.lit(1)).alias("seen"), F.max(F.when(F.col("active"), F.col("ts"))).alias("active_at"), F.max(F.when(F.col("active") & (F.col("energy") >= F.col("merge_at")), F.col("ts"))).alias("strong_at"))
+    """``id, seen, active_at, strong_at``: the last active and strong sample after the last pulse, before the first long pause that ends when landing is over.
+
+    Long pauses are the edges of the runs of active samples.  The one that stops the walk is the first whose last quiet sample is late enough; before the first
+    active sample only quiet ones after the pulse count, and there the next pause stops the walk if they are too few.
+    """
+    levels = small_side(thresholds(court_stats(e)).select("court_id", F.col("residual").alias("__r"), F.col("merge_at").alias("__m")), "court-thresholds")  # a row for each court
+    leveled = e.join(levels, "court_id")
+    runs = active_runs(leveled, "court_id", "ts", "e5", F.col("energy") >= F.col("__r"), QUIET_AHEAD, BUCKET)
+    index = level_index(e, levels, {"active": "__r"})
+    strong = leveled.where((F.col("energy") >= F.col("__r")) & (F.col("energy") >= F.col("__m"))).select("court_id", "ts")
+    pauses = runs.where("opens").select("court_id", F.col("ts").alias("first"), F.coalesce("ahead_of", "ts").alias("ts"))
+    x = staged(b.select("id", "court_id", "l", until.alias("until")).withColumn("ts", F.col("l") + LANDING), "walks")
+    x = asof(x, pauses, "court_id", "ts", ["first"], BUCKET, forward=True, prefix="p_").drop("ts")
+    # the pause after the next active sample that follows the first one
+    x = staged(x.withColumn("ts", F.col("p_ts") + 1), "walks")
+    x = staged(asof(x, pauses, "court_id", "ts", ["first"], BUCKET, forward=True, prefix="q_").drop("ts", "p_ts", "q_ts"), "walks")
+    far = F.lit((1 << 62) - 1)
+    head = between(x, index, "court_id", "ts", ["id"], {"head": (F.col("l"), F.coalesce("p_first", far) - 1), "all": (F.col("l"), F.col("until"))}, BUCKET)
+    x = x.join(head.select("id", total("head", "n").alias("n"), total("head", "active").alias("active"), total("all", "n").alias("seen")), "id")
+    stop = F.when((F.col("active") > 0) | (F.col("n") > QUIET_AHEAD), F.col("p_first")).otherwise(F.col("q_first"))
+    x = x.where("seen > 0").withColumn("upto", F.least("until", F.coalesce(stop, far) - 1))
+    x = last_at_or_before(x, F.col("upto"), runs, "court_id", "ts", BUCKET, "active_at")
+    x = last_at_or_before(x, F.col("upto"), strong, "court_id", "ts", BUCKET, "strong_at")
+    inside = lambda c: F.when(F.col(c) >= F.col("l"), F.col(c)).alias(c)
+    return x.select("id", "seen", inside("active_at"), inside("strong_at"))
 
 
 # --- merges of fragments ---------------------------------------------------------------------------------------------------

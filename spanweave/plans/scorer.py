@@ -12,13 +12,13 @@ from ..functions.units import UNIT, clip01, us
 from ..operators import folds
 from ..operators.islands import with_island
 from ..operators.lookup import band, small_side
-from ..operators.motion_index import between, positions, running, total
+from ..operators.motion_index import active_runs, between, first_at_or_after, last_at_or_before, positions, running, total
 from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .refine import _BASE, LANDING, LOOKBACK, QUIET_AHEAD, QUIET_BACK, RESIDUAL_WINDOW, SERVE_LEAD, _walk_ahead, fragments
 from .registry import query
-from .segments import _STATS, BUCKET, _sql_islands, court_stats, level_index, share_between
+from .segments import _STATS, BUCKET, _sql_islands, court_stats, level_index, share_between, thresholds
 from .tracks import _sql_clusters, cluster_rows, clusters
 
 #: Parameters of the scorer (units); the longest span is short here, as the carrier's spans are.
@@ -410,25 +410,20 @@ _LATE = RESIDUAL_WINDOW + us(1.0)
 def motion_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans widened along motion on both sides, without reaching the next start or the widened end before.
 
-    The active samples that lead back from the first pulse (a few dozen) go with their span.  How far back a span may go depends on the end before, and ends
+    Both walks are lookups in the runs of active samples.  How far back a span may go depends on the end before, and ends
     depend on the next start only, so ends come first and starts need the end of the span before: a window, no fold.
     """
     e = carriers.energy(spark, sf_dir)
     w = Window.partitionBy("stream_id").orderBy("f")
     b = fragments(spark, sf_dir).withColumn("s", F.col("f") - us(0.25)).withColumn("e", F.col("l") + us(0.2))
     latest = F.least(F.col("l") + _LATE, F.coalesce(F.lead("s").over(w) - us(0.35), F.col("l") + _LATE))
-    b = b.withColumn("latest", latest)
-    back = band(b.select("id", "court_id", "s", "f", "onset"), e, "court_id", F.col("s") - _REACH, F.col("f") + us(0.1), "ts", BUCKET)
-    mine = Window.partitionBy("id")
-    back = back.select("id", F.col("r_ts").alias("ts"), (F.col("r_energy") >= F.col("onset")).alias("act"), F.row_number().over(mine.orderBy(F.desc("r_ts"), F.desc("r_e5"))).alias("j")).where("act")
-    quiet = F.col("j") - F.lag("j").over(mine.orderBy("j")) - 1
-    back = back.withColumn("quiet", F.coalesce(quiet, F.lit(0))).withColumn("over", F.max((F.col("quiet") > QUIET_BACK).cast("int")).over(mine.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)))
-    run = back.where("over = 0").groupBy("id").agg(F.collect_list("ts").alias("run"))
-    ahead = _walk_ahead(b, e, F.col("latest")).select("id", "active_at", F.lit(True).alias("walked"))
-    any_ahead = band(b.select("id", "court_id", "l", "latest"), e.select("court_id", "ts"), "court_id", F.col("l"), F.col("latest"), "ts", BUCKET).select("id").distinct().withColumn("seen", F.lit(True))
-    x = b.join(run, "id", "left").join(ahead, "id", "left").join(any_ahead, "id", "left")
+    b = staged(b.withColumn("latest", latest), "fragments")
+    onset = small_side(thresholds(court_stats(e)).select("court_id", F.col("onset").alias("__o")), "court-onset")  # a row for each court
+    runs = active_runs(e.join(onset, "court_id"), "court_id", "ts", "e5", F.col("energy") >= F.col("__o"), QUIET_BACK, BUCKET)
+    ahead = _walk_ahead(b, e, F.col("latest")).select("id", "active_at", F.lit(True).alias("seen"))
+    x = last_at_or_before(b.join(ahead, "id", "left"), F.col("f") + us(0.1), runs, "court_id", "ts", BUCKET, "anchor", "run_first")
     x = x.withColumn("ne", F.when(F.col("seen"), F.greatest("e", F.least("latest", F.coalesce("active_at", "l") + us(0.45)))).otherwise(F.col("e")))
     early = F.greatest(F.coalesce(F.lag("ne").over(w), F.lit(0)) + us(0.35), F.col("s") - _REACH)
-    x = x.withColumn("early", early)
-    first = F.array_min(F.filter("run", lambda t: t >= F.col("early")))
+    x = first_at_or_after(x.withColumn("early", early), F.greatest("early", F.coalesce("run_first", "early")), runs, "court_id", "ts", BUCKET, "edge")
+    first = F.when((F.col("anchor") >= F.col("s") - _REACH) & (F.col("edge") <= F.col("anchor")), F.col("edge"))
     return x.select("stream_id", F.col("f").alias("first_ts"), F.least("s", F.coalesce(F.greatest(F.col("early"), first - SERVE_LEAD), "s")).alias("start_at"), F.col("ne").alias("end_at"))
