@@ -206,7 +206,7 @@ def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) ->
     """``node, component`` for the texts (by 64-bit hash) that are linked to another."""
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
     common = _prefixes(texts, np.zeros(0, np.uint64), shingle, least).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON_IN)
-    rows = common.orderBy(F.col("n").desc(), "h").limit(COMMON).select("h").collect()  # COMMON rows at most
+    rows = stage(common, "common-shingles").orderBy(F.col("n").desc(), "h").limit(COMMON).select("h").collect()  # COMMON rows at most
     common = np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
     buckets = stage(_shared(_prefixes(texts, common, shingle, least)), "shingle-buckets")
 
@@ -222,8 +222,9 @@ def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) ->
                     np.bitwise_or.at(table[i], (at // np.uint64(64)).astype(np.int64), np.uint64(1) << at % np.uint64(64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), prints, *(pa.array(x) for x in table.view(np.int64).T)], names=["th", "elements", "fp", *_TABLE])
 
-    met = texts.join(buckets.select("th").distinct(), "th", "left_semi")
-    sets = stage(met.mapInArrow(elements, f"th long, elements array<long>, fp long, {', '.join(f'{c} long' for c in _TABLE)}").dropDuplicates(["th"]), "shingle-sets")
+    # each text once before its set is made: sets are larger than texts and are not shuffled here
+    met = texts.join(buckets.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    sets = stage(met.mapInArrow(elements, f"th long, elements array<long>, fp long, {', '.join(f'{c} long' for c in _TABLE)}"), "shingle-sets")
     edges = found = None
     for pairs_of in (_middles, _neighbours, _walked):
         keys = sets.select("th", "fp", *(_TABLE if pairs_of is _walked else ()))
