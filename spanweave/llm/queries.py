@@ -119,6 +119,41 @@ def hamerly_sql(clusters: int = 40, rounds: int = 5) -> str:
         sha256(array_to_string(m, ',')) AS centroid_sha256 FROM n JOIN a{rounds} USING (row) JOIN c{rounds} ON c = best.c"""
 
 
+def repair_sql() -> str:
+    """Damage, faults, and a fold over each conversation's rows that keeps the cheapest (cost, audit) of each of the four states."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    crc = "list_reduce(flatten(list_transform(range(1, length(key) + 1), lambda i: [CAST(ascii(substr(key, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, CAST(4294967295 AS BIGINT))"
+    none = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+    plus = lambda s, c, edit: f"{{'c': {s}.c + {c}, 'a': {s}.a || '{edit}'}}"
+    least = lambda *s: f"list_min([{', '.join(s)}])"
+    start, system, user, assistant = (f"acc.s[{k}]" for k in (1, 2, 3, 4))
+    keep = lambda s, k: f"CASE WHEN x.k = {k} THEN {plus(s, 'x.more', 'K')} ELSE {none} END"
+    rerole = lambda s: f"CASE WHEN x.gone THEN {none} ELSE {plus(s, '1 + x.more', 'R')} END"
+    drop = lambda s: plus(s, 2, "D")
+    after = ", ".join((
+        drop(start), least(drop(system), keep(start, 1)), least(drop(user), *(f(s) for s in (start, system, assistant) for f in (lambda s: keep(s, 2), rerole))), least(drop(assistant), keep(user, 3), rerole(user)),
+    ))
+    inserted = f"list_transform([[{after}]], lambda t: list_transform([{least('t[3]', *(plus(f't[{k}]', 5, 'I') for k in (1, 2, 4)))}], lambda u: [t[1], t[2], u, {least('t[4]', plus('u', 5, 'I'))}])[1])[1]"
+    state = "STRUCT(c BIGINT, a VARCHAR)[]"
+    begin = f"{{'k': 0, 'gone': false, 'more': CAST(0 AS BIGINT), 's': CAST([{{'c': 0, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 5, 'a': 'I'}}, {{'c': 10, 'a': 'II'}}] AS {state})}}"
+    return rf"""WITH h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+      c AS (SELECT *, xor({crc}, 4294967295) % 20 AS hit FROM h),
+      d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE hit <> 0),
+      o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, right(rtrim(text, {space}), 1) AS tip FROM d),
+      f AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN tip = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN tip NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS flaw FROM o),
+      g AS (SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE CAST(least(CAST(max(turn) AS HUGEINT) - min(turn) + 1 - count(DISTINCT turn), 9223372036854775807) AS BIGINT) END AS gaps, count(*) FILTER (flaw = 'blank') AS blank, count(*) FILTER (flaw = 'duplicate') AS duplicate, count(*) FILTER (flaw = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal,
+        list({{'k': CASE WHEN flaw IN ('blank', 'duplicate') THEN 0 WHEN ini = 's' THEN 1 WHEN ini = 'u' THEN 2 WHEN ini = 'a' THEN 3 ELSE 0 END, 'gone': flaw IN ('blank', 'duplicate'), 'more': CAST(CASE WHEN flaw = 'truncated' THEN 5 ELSE 0 END AS BIGINT), 's': CAST(NULL AS {state})}} ORDER BY i) AS xs FROM f GROUP BY conv_id),
+      r AS (SELECT *, list_reduce(xs, lambda acc, x: {{'k': 0, 'gone': false, 'more': CAST(0 AS BIGINT), 's': {inserted}}}, {begin}).s AS s FROM g),
+      b AS (SELECT * EXCLUDE (xs, s), {least('s[1]', 's[4]')} AS best FROM r),
+      e AS (SELECT conv_id, p, substr(best.a, p, 1) AS edit FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS p FROM b)),
+      n AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS place FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+      t AS (SELECT n.*, f.role, f.text, f.ini, bool_or(place = 1 AND edit = 'K' AND f.ini = 's') OVER (PARTITION BY n.conv_id) AS led FROM n LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.i = n.i AND n.edit <> 'I'),
+      z AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p)) AS sha FROM t WHERE edit <> 'D' GROUP BY conv_id)
+      SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+      FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM k.conv_id"""
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -145,6 +180,7 @@ ORACLE: dict[str, str] = {
       q AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM d WHERE len(w) > 0),
       t AS (SELECT q.doc_id, count(c.p) AS n_removed, coalesce(string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY q.p), '') AS kept FROM q LEFT JOIN c ON q.doc_id = c.doc_id AND q.p = c.p GROUP BY 1)
       SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
+    "op11_conversation_repair": repair_sql(),
     "op12_centroid_clustering": hamerly_sql(),
     "op9_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
       b AS (SELECT *, array_to_string([substr('{_NIBBLES}', 4 * strpos('0123456789abcdef', substr(x, i, 1)) - 3, 4) for i in range(1, 41)], '') AS bits FROM s)

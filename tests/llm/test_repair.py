@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import __spark_entry__
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,6 +113,14 @@ def test_op11(spark, small):
     assert found(spark, small) == want(rows)
 
 
+def test_sql(tmp_path):
+    rows = make_talks() + long_talk(60) + long_talk(25, None)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{write(tmp_path, talks=rows)}/conversations.parquet'")
+    got = {r[0]: r[1:] for r in db.sql(f"SELECT conv_id, {', '.join(NAMES)} FROM ({__spark_entry__.oracle_sql()['op11_conversation_repair']})").fetchall()}
+    assert got == want(rows)
+
+
 def test_op11_empty(spark, empty):
     assert found(spark, empty) == {}
 
