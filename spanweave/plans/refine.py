@@ -6,7 +6,6 @@ decisions a fold over a chain of spans.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from ..functions.units import us
 from ..operators import folds
 from ..operators.islands import with_island
 from ..operators.lookup import asof, band, small_side
-from ..operators.motion_index import active_runs, between, last_at_or_before, total
+from ..operators.motion_index import active_runs, between, last_at_or_before, running, total
 from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
@@ -119,25 +118,41 @@ _PAIRS = f"""{_GROUPS}, sft AS (SELECT DISTINCT stream_id, court_id, ts, residua
     lead_isl AS (SELECT *, sum(brk) OVER (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM lead_ok), lead_of AS (SELECT stream_id, ts, min(ts) OVER (PARTITION BY stream_id, run) AS first_ts FROM lead_isl)"""
 
 
-def soft_pairs(c: DataFrame, e: DataFrame) -> DataFrame:
-    """``stream_id, lo, hi, lively, ok``: pairs of soft pulses within a bridge, and whether the bridge predicate holds between them."""
-    soft = c.where("soft").groupBy("stream_id", "ts").agg(F.first("court_id").alias("court_id"), F.first("residual").alias("residual"), F.first("merge_at").alias("merge_at"), F.max(F.col("motion") >= F.col("bridge")).alias("lively"))
-    pairs = band(soft.withColumnRenamed("ts", "lo").drop("lively"), soft.select("stream_id", "ts", "lively"), "stream_id", F.col("lo") + 1, F.col("lo") + BRIDGE, "ts", BUCKET)
-    pairs = pairs.select("stream_id", "court_id", "residual", "merge_at", "lo", F.col("r_ts").alias("hi"), F.col("r_lively").alias("lively"), F.struct("stream_id", "lo", F.col("r_ts").alias("hi")).alias("id"))
-    silent = F.col("hi") - F.col("lo") <= SILENCE
-    far = motion_between(pairs.where(~silent), e)
-    inside = band(far.select("stream_id", "id", "lo", "hi"), soft.where("lively").select("stream_id", "ts"), "stream_id", F.col("lo") + us(0.05) + 1, F.col("hi") - us(0.05) - 1, "ts", BUCKET).select("id").distinct().withColumn("has", F.lit(True))
-    far = far.join(inside, "id", "left").withColumn("ok", pure_motion() | (F.coalesce("has", F.lit(False)) & (F.round("active", 9) >= 0.30)))
-    names = ["stream_id", "lo", "hi", "lively", "ok"]
-    return far.select(*names).unionByName(pairs.where(silent).withColumn("ok", F.lit(True)).select(*names))
+def soft_pulses(c: DataFrame) -> DataFrame:
+    """``stream_id, court_id, ts, lively, before, ahead``: soft pulses by time, the soft one before each and the next lively one after it."""
+    soft = c.where("soft").groupBy("stream_id", "ts").agg(F.first("court_id").alias("court_id"), F.first("merge_at").alias("merge_at"), F.max(F.col("motion") >= F.col("bridge")).alias("lively"))
+    w = Window.partitionBy("stream_id").orderBy("ts")
+    # from the other end: a frame that grows
+    ahead = F.last(F.when(F.col("lively"), F.col("ts")), ignorenulls=True).over(Window.partitionBy("stream_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1))
+    return soft.withColumn("before", F.lag("ts").over(w)).withColumn("ahead", ahead)
+
 
+def far_pairs(soft: DataFrame, e: DataFrame) -> DataFrame:
+    """``stream_id, lo, hi, ok``: whether the bridge predicate holds over holes that are too long for silence.
 
-def _follow(rows: pd.DataFrame) -> pd.DataFrame:
-    """Where each soft pulse leads to in the end, from the last one back (a chain of pulses that no gap above a bridge cuts)."""
-    end: dict[int, int] = {}
-    for at, to in zip(rows["ts"].iloc[::-1], rows["to"].iloc[::-1], strict=True):
-        end[at] = at if pd.isna(to) else end.get(int(to), int(to))
-    return pd.DataFrame({"stream_id": rows["stream_id"], "ts": rows["ts"], "last_ts": [end[t] for t in rows["ts"]]})
+    Only holes that decide are asked about: those between neighbours, and from a pulse whose next lively one is beyond silence to the lively ones within a bridge (a nearer one holds without a test).
+    """
+    near = soft.select("stream_id", "court_id", "merge_at", F.col("before").alias("lo"), F.col("ts").alias("hi")).where((F.col("hi") - F.col("lo") > SILENCE) & (F.col("hi") - F.col("lo") <= LEAD_CAP))
+    waits = soft.where(F.col("ahead") - F.col("ts") > SILENCE).select("stream_id", "court_id", "merge_at", F.col("ts").alias("lo"))
+    lively = soft.where("lively").select("stream_id", "ts")
+    far = band(waits, lively, "stream_id", F.col("lo") + SILENCE + 1, F.col("lo") + BRIDGE, "ts", BUCKET).withColumnRenamed("r_ts", "hi")
+    asked = staged(near.unionByName(far).dropDuplicates(["stream_id", "lo", "hi"]).withColumn("id", F.struct("stream_id", "lo", "hi")), "soft-holes")
+    seen = motion_between(asked, e)
+    # a lively pulse strictly inside: a count of two lookups
+    index = running(lively, "stream_id", "ts", {"n": F.lit(1)}, BUCKET)
+    has = between(asked, index, "stream_id", "ts", ["id"], {"in": (F.col("lo") + us(0.05) + 1, F.col("hi") - us(0.05) - 1)}, BUCKET).select("id", (total("in", "n") > 0).alias("has"))
+    return seen.join(has, "id").select("stream_id", "lo", "hi", (pure_motion() | (F.col("has") & (F.round("active", 9) >= 0.30))).alias("ok"))
+
+
+def ends_of_chains(follows: DataFrame, name: str = "chain-ends") -> DataFrame:
+    """``stream_id, ts, last_ts`` of rows ``stream_id, ts, to`` (null: the chain ends here) by doubling the steps: as many rounds as the binary digits of the longest chain."""
+    x = staged(follows.select("stream_id", "ts", F.coalesce("to", "ts").alias("to")), name)
+    while True:
+        y = x.select("stream_id", F.col("ts").alias("to"), F.col("to").alias("on"))
+        nxt = staged(x.join(y, ["stream_id", "to"]).select("stream_id", "ts", F.col("on").alias("to"), (F.col("on") != F.col("to")).alias("moved")), name)
+        x = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return x.withColumnRenamed("to", "last_ts")
 
 
 @query(
@@ -149,18 +164,19 @@ def soft_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with the soft pulses before and after them that the bridge predicate ties to them.
 
     Before: one soft pulse after the other, to the first that fails, which is an island of neighbours.  After: the next soft pulse that holds, from
-    there on again; each pulse has one successor, and chains are followed in one sorted pass each.
+    there on again; each pulse has one successor, and the ends of chains are found by doubling.
     """
     e = carriers.energy(spark, sf_dir)
     c = staged(classes(spark, sf_dir), "pulse-classes")
-    g, ok = groups(c, e), staged(soft_pairs(c, e), "soft-pairs")
-    soft = c.where("soft").select("stream_id", "ts").distinct()
-    follows = ok.where("ok and lively").groupBy("stream_id", F.col("lo").alias("ts")).agg(F.min("hi").alias("to"))
-    chain = with_island(soft, ["stream_id"], "ts", BRIDGE, name="chain").join(follows, ["stream_id", "ts"], "left")
-    trail = chain.groupBy("stream_id", "chain").applyInPandas(lambda rows: _follow(rows.sort_values("ts")), "stream_id long, ts long, last_ts long")
-    w = Window.partitionBy("stream_id").orderBy("ts")
-    near = soft.withColumn("before", F.lag("ts").over(w)).join(ok.select("stream_id", F.col("lo").alias("before"), F.col("hi").alias("ts"), "ok"), ["stream_id", "before", "ts"], "left")
-    lead = with_island(near, ["stream_id"], "ts", breaks=(F.col("ts") - F.col("before") > LEAD_CAP) | ~F.coalesce("ok", F.lit(False)), name="run")
+    g = groups(c, e)
+    soft = staged(soft_pulses(c), "soft-pulses")
+    ok = staged(far_pairs(soft, e).where("ok").select("stream_id", "lo", "hi"), "bridged-holes")
+    to_far = ok.join(soft.where("lively").select("stream_id", F.col("ts").alias("hi")), ["stream_id", "hi"]).groupBy("stream_id", F.col("lo").alias("ts")).agg(F.min("hi").alias("far"))
+    follows = soft.join(to_far, ["stream_id", "ts"], "left").select("stream_id", "ts", F.when(F.col("ahead") - F.col("ts") <= SILENCE, F.col("ahead")).otherwise(F.col("far")).alias("to"))
+    trail = ends_of_chains(follows)
+    near = soft.select("stream_id", "ts", "before").join(ok.select("stream_id", F.col("lo").alias("before"), F.col("hi").alias("ts"), F.lit(True).alias("held")), ["stream_id", "before", "ts"], "left")
+    gap = F.col("ts") - F.col("before")
+    lead = with_island(near, ["stream_id"], "ts", breaks=(gap > LEAD_CAP) | ((gap > SILENCE) & F.col("held").isNull()), name="run")
     lead = lead.withColumn("first_ts", F.min("ts").over(Window.partitionBy("stream_id", "run"))).select("stream_id", F.col("ts").alias("f"), "first_ts")
     out = g.join(trail.withColumnRenamed("ts", "l"), ["stream_id", "l"]).join(lead, ["stream_id", "f"])
     return out.select("stream_id", F.col("f").alias("group_first"), F.col("l").alias("group_last"), "n", "first_ts", "last_ts")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.units import clip01, us
 from ..operators import intervals
 from ..operators.islands import with_island
-from ..operators.lookup import band
+from ..operators.lookup import asof, band
+from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes
 from .highlights import _PULSE_SPANS, BUCKET, pulse_spans
@@ -110,14 +111,16 @@ def flight_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT stream_id, p.f AS first_ts, least(p.s, coalesce(b.t - {us(0.3)}, p.s)) AS start_at, greatest(p.e, coalesce(least(p.l + {us(3.4)}, a.t + {us(0.25)}), p.e)) AS end_at FROM ps p LEFT JOIN b USING (stream_id, island) LEFT JOIN a USING (stream_id, island)"""
 )
 def boundary_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds that only widen, to the moving clusters at both ends."""
-    s = pulse_spans(spark, sf_dir)
-    keys = ["stream_id", "island"]
-    mv = cluster_rows(clusters(carriers.track(spark, sf_dir), ["stream_id"], _GAP), ["stream_id"]).where("moving").select("stream_id", "c0", "c1")
-    j = s.select(*keys, "first", "last").join(mv, "stream_id")
-    b = j.where((F.col("c1") >= F.col("first") - us(0.35)) & (F.col("c0") <= F.col("first"))).groupBy(*keys).agg(F.max_by("c0", "c1").alias("b"))
-    a = j.where((F.col("c0") <= F.col("last") + us(0.4)) & (F.col("c1") >= F.col("last"))).groupBy(*keys).agg(F.min_by("c1", "c0").alias("a"))
-    out = s.join(b, keys, "left").join(a, keys, "left")
+    """Bounds that only widen, to the moving clusters at both ends.
+
+    Clusters of a stream do not overlap, so the one that ends last of those begun by the first pulse is the last begun, and the one that begins first of those not ended by the last pulse is
+    the next to end: one lookup each.
+    """
+    s = staged(pulse_spans(spark, sf_dir).select("stream_id", "first", "last", "start", "end"), "pulse-spans")
+    mv = staged(cluster_rows(clusters(carriers.track(spark, sf_dir), ["stream_id"], _GAP), ["stream_id"]).where("moving").select("stream_id", "c0", "c1"), "moving-clusters")
+    out = staged(asof(s.withColumn("at", F.col("first")), mv.withColumn("at", F.col("c0")), "stream_id", "at", ["c0", "c1"], BUCKET, prefix="b_"), "pulse-spans")
+    out = asof(out.withColumn("at", F.col("last")), mv.withColumn("at", F.col("c1")), "stream_id", "at", ["c0", "c1"], BUCKET, forward=True, prefix="a_")
+    out = out.withColumn("b", F.when(F.col("b_c1") >= F.col("first") - us(0.35), F.col("b_c0"))).withColumn("a", F.when(F.col("a_c0") <= F.col("last") + us(0.4), F.col("a_c1")))
     start = F.least("start", F.coalesce(F.col("b") - us(0.3), F.col("start")))
     end = F.greatest("end", F.coalesce(F.least(F.col("last") + us(3.4), F.col("a") + us(0.25)), F.col("end")))
     return out.select("stream_id", F.col("first").alias("first_ts"), start.alias("start_at"), end.alias("end_at"))
