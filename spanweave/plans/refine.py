@@ -27,6 +27,33 @@ LANDING, RESIDUAL_WINDOW, LOOKBACK, SERVE_LEAD, MOST = us(1.0), us(1.4), us(2.0)
 QUIET_BACK, QUIET_AHEAD = 3, 4
 _IN = ctes("pulses", "energy")
 
+# Fixed values of the profiles (units): silence, bridge, longest hole bridged by motion alone, share of motion around a soft pulse, reach of trailing and leading soft pulses; whether
+# every pulse makes groups, and whether leading soft pulses must be lively.
+PROFILES = {
+    "strict": (1.85, 4.2, 2.6, 0.32, 0.85, 3.2, True, False),
+    "standard": (1.85, 4.2, 4.5, 0.30, 4.2, 3.2, False, False),
+    "device": (2.45, 4.2, 2.6, 0.32, 0.85, 3.5, True, True),
+}
+V = ["v_silence", "v_bridge", "v_pure", "v_share", "v_trail", "v_lead", "v_every", "v_lively"]
+
+
+def profile_values(name: str) -> dict:
+    silence, bridge, pure, share, trail, lead, every, lively = PROFILES[name]
+    return dict(zip(V, (us(silence), us(bridge), us(min(bridge, pure)), share, us(min(bridge, trail)), us(min(bridge, lead)), every, lively), strict=True))
+
+
+def one_profile(df: DataFrame, name: str = "standard") -> DataFrame:
+    """All streams by one profile."""
+    return df.withColumns({k: F.lit(x) for k, x in profile_values(name).items()})
+
+
+def stream_profiles(df: DataFrame) -> DataFrame:
+    """Each stream by its own profile, from the table of profiles (three rows), joined by the stream's choice ``profile``."""
+    rows = [(name, *profile_values(name).values()) for name in PROFILES]
+    table = df.sparkSession.createDataFrame(rows, "profile string, v_silence long, v_bridge long, v_pure long, v_share double, v_trail long, v_lead long, v_every boolean, v_lively boolean")
+    return df.join(F.broadcast(table), "profile")
+
+
 _CLASS = f"""{_sql_thresholds()}, {_LOCAL}, h AS (SELECT stream_id, median(height) AS hm FROM pulses GROUP BY 1),
     cls AS (SELECT l.event_id, l.stream_id, l.court_id, l.ts, l.height, l.near_max AS motion, near_max >= support AS in_court, height >= 1.55 * hm AS strong, near_max >= bridge OR height >= 1.55 * hm OR near_max >= support AS soft, support, bridge, residual, merge_at, onset
       FROM local l JOIN thr USING (court_id) JOIN h USING (stream_id))"""
@@ -71,24 +98,33 @@ _BRIDGES = f"""{_CLASS}, sup AS (SELECT * FROM cls WHERE in_court OR strong), ho
 
 
 def pure_motion() -> Column:
-    return (F.col("hi") - F.col("lo") <= min(BRIDGE, PURE_CAP)) & (F.round("active", 9) >= 0.55) & (F.round("mean_e", 9) >= F.round("merge_at", 9))
+    return (F.col("hi") - F.col("lo") <= F.col("v_pure")) & (F.round("active", 9) >= 0.55) & (F.round("mean_e", 9) >= F.round("merge_at", 9))
+
+
+def soft_inside(holes: DataFrame, lively: DataFrame, name: str) -> DataFrame:
+    """``id`` and the number of lively soft pulses strictly inside each hole, by running counts."""
+    index = running(lively.select("stream_id", "ts"), "stream_id", "ts", {"n": F.lit(1)}, BUCKET)
+    return between(holes, index, "stream_id", "ts", ["id"], {"in": (F.col("lo") + us(0.05) + 1, F.col("hi") - us(0.05) - 1)}, BUCKET).select("id", total("in", "n").alias(name))
+
+
+def grouping(c: DataFrame) -> Column:
+    """Pulses that make groups."""
+    return F.col("supported") | F.col("v_every")
 
 
 def bridged_holes(c: DataFrame, e: DataFrame) -> DataFrame:
-    """Holes between supported pulses that are too long for silence: soft pulses inside, and whether they are bridged."""
+    """Holes between grouping pulses that are too long for silence: soft pulses inside, and whether they are bridged (classes with the profile's columns)."""
     w = Window.partitionBy("stream_id").orderBy("ts", "event_id")
-    holes = c.where("supported").select("stream_id", "court_id", F.col("event_id").alias("id"), F.lag("ts").over(w).alias("lo"), F.col("ts").alias("hi"), "residual", "merge_at")
-    holes = motion_between(holes.where((F.col("hi") - F.col("lo") > SILENCE) & (F.col("hi") - F.col("lo") <= BRIDGE)), e)
-    soft = c.where("soft and motion >= bridge").select("stream_id", "ts")
-    inside = band(holes.select("stream_id", "id", "lo", "hi"), soft, "stream_id", F.col("lo") + us(0.05) + 1, F.col("hi") - us(0.05) - 1, "ts", BUCKET).groupBy("id").agg(F.count(F.lit(1)).alias("n_soft"))
-    holes = holes.join(inside, "id", "left").fillna(0, ["n_soft"])
-    return holes.withColumn("bridged", pure_motion() | ((F.col("n_soft") > 0) & (F.round("active", 9) >= 0.30)))
+    holes = c.where(grouping(c)).select("stream_id", "court_id", F.col("event_id").alias("id"), F.lag("ts").over(w).alias("lo"), F.col("ts").alias("hi"), "merge_at", *V)
+    holes = staged(holes.where((F.col("hi") - F.col("lo") > F.col("v_silence")) & (F.col("hi") - F.col("lo") <= F.col("v_bridge"))), "group-holes")
+    holes = motion_between(holes, e).join(soft_inside(holes, c.where("soft and motion >= bridge"), "n_soft"), "id")
+    return holes.withColumn("bridged", pure_motion() | ((F.col("n_soft") > 0) & (F.round("active", 9) >= F.col("v_share"))))
 
 
 @query(f"{_IN}, {_BRIDGES} SELECT id AS event_id, lo, hi, n_soft, bridged FROM bri")
 def bridge_predicate_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holes bridged by motion, or by a soft pulse strictly inside with some motion around."""
-    h = bridged_holes(classes(spark, sf_dir), carriers.energy(spark, sf_dir))
+    h = bridged_holes(staged(one_profile(classes(spark, sf_dir)), "pulse-classes"), carriers.energy(spark, sf_dir))
     return h.select(F.col("id").alias("event_id"), "lo", "hi", "n_soft", "bridged")
 
 
@@ -98,11 +134,11 @@ _GROUPS = f"""{_BRIDGES}, brk AS (SELECT h.*, CASE WHEN h.lo IS NULL OR h.hi - h
 
 
 def groups(c: DataFrame, e: DataFrame) -> DataFrame:
-    """``stream_id, island, court_id, f, l, n``: supported pulses grouped by the bridge predicate."""
+    """``stream_id, island, court_id, f, l, n``: grouping pulses by the bridge predicate."""
     w = Window.partitionBy("stream_id").orderBy("ts", "event_id")
-    s = c.where("supported").join(bridged_holes(c, e).select(F.col("id").alias("event_id"), "bridged"), "event_id", "left")
+    s = c.where(grouping(c)).join(bridged_holes(c, e).select(F.col("id").alias("event_id"), "bridged"), "event_id", "left")
     gap = F.col("ts") - F.lag("ts").over(w)
-    s = with_island(s, ["stream_id"], "ts", breaks=(gap > SILENCE) & ~F.coalesce("bridged", F.lit(False)), tie="event_id")
+    s = with_island(s, ["stream_id"], "ts", breaks=(gap > F.col("v_silence")) & ~F.coalesce("bridged", F.lit(False)), tie="event_id")
     return s.groupBy("stream_id", "island").agg(F.first("court_id").alias("court_id"), F.min("ts").alias("f"), F.max("ts").alias("l"), F.count(F.lit(1)).alias("n"))
 
 
@@ -118,30 +154,57 @@ _PAIRS = f"""{_GROUPS}, sft AS (SELECT DISTINCT stream_id, court_id, ts, residua
     lead_isl AS (SELECT *, sum(brk) OVER (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM lead_ok), lead_of AS (SELECT stream_id, ts, min(ts) OVER (PARTITION BY stream_id, run) AS first_ts FROM lead_isl)"""
 
 
-def soft_pulses(c: DataFrame) -> DataFrame:
-    """``stream_id, court_id, ts, lively, before, ahead``: soft pulses by time, the soft one before each and the next lively one after it."""
-    soft = c.where("soft").groupBy("stream_id", "ts").agg(F.first("court_id").alias("court_id"), F.first("merge_at").alias("merge_at"), F.max(F.col("motion") >= F.col("bridge")).alias("lively"))
-    w = Window.partitionBy("stream_id").orderBy("ts")
+def soft_pulses(c: DataFrame, ends: DataFrame) -> DataFrame:
+    """Soft pulses and the ends of groups (rows ``stream_id, ts``) by time: ``soft``, ``lively``, the soft pulse ``before`` each (``after_lively``: whether that is lively), the next lively one ``ahead``."""
+    each = c.groupBy("stream_id", "ts").agg(
+        F.first("court_id").alias("court_id"), F.first("merge_at").alias("merge_at"), F.max("soft").alias("soft"), F.max(F.col("soft") & (F.col("motion") >= F.col("bridge"))).alias("lively"), *[F.first(v).alias(v) for v in V]
+    )
+    each = each.join(ends.distinct().withColumn("end", F.lit(True)), ["stream_id", "ts"], "left").where("soft or end")
+    w = Window.partitionBy("stream_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     # from the other end: a frame that grows
-    ahead = F.last(F.when(F.col("lively"), F.col("ts")), ignorenulls=True).over(Window.partitionBy("stream_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1))
-    return soft.withColumn("before", F.lag("ts").over(w)).withColumn("ahead", ahead)
+    back = Window.partitionBy("stream_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("soft"), F.struct("ts", "lively")), ignorenulls=True).over(w)
+    each = each.withColumn("__b", last).withColumn("ahead", F.last(F.when(F.col("lively"), F.col("ts")), ignorenulls=True).over(back))
+    return each.select("*", F.col("__b.ts").alias("before"), F.col("__b.lively").alias("after_lively")).drop("__b", "end")
 
 
 def far_pairs(soft: DataFrame, e: DataFrame) -> DataFrame:
     """``stream_id, lo, hi, ok``: whether the bridge predicate holds over holes that are too long for silence.
 
-    Only holes that decide are asked about: those between neighbours, and from a pulse whose next lively one is beyond silence to the lively ones within a bridge (a nearer one holds without a test).
+    Only holes that decide are asked about: those to the soft pulse before, and from a pulse whose next lively one is beyond silence to the lively ones in reach (a nearer one holds without a test).
     """
-    near = soft.select("stream_id", "court_id", "merge_at", F.col("before").alias("lo"), F.col("ts").alias("hi")).where((F.col("hi") - F.col("lo") > SILENCE) & (F.col("hi") - F.col("lo") <= LEAD_CAP))
-    waits = soft.where(F.col("ahead") - F.col("ts") > SILENCE).select("stream_id", "court_id", "merge_at", F.col("ts").alias("lo"))
+    silence = F.col("v_silence")
+    near = soft.select("stream_id", "court_id", "merge_at", *V, F.col("before").alias("lo"), F.col("ts").alias("hi")).where((F.col("hi") - F.col("lo") > silence) & (F.col("hi") - F.col("lo") <= F.col("v_lead")))
+    waits = soft.where(F.col("ahead") - F.col("ts") > silence).select("stream_id", "court_id", "merge_at", *V, F.col("ts").alias("lo"))
     lively = soft.where("lively").select("stream_id", "ts")
-    far = band(waits, lively, "stream_id", F.col("lo") + SILENCE + 1, F.col("lo") + BRIDGE, "ts", BUCKET).withColumnRenamed("r_ts", "hi")
+    far = band(waits, lively, "stream_id", F.col("lo") + silence + 1, F.col("lo") + F.col("v_trail"), "ts", BUCKET).withColumnRenamed("r_ts", "hi")
     asked = staged(near.unionByName(far).dropDuplicates(["stream_id", "lo", "hi"]).withColumn("id", F.struct("stream_id", "lo", "hi")), "soft-holes")
-    seen = motion_between(asked, e)
-    # a lively pulse strictly inside: a count of two lookups
-    index = running(lively, "stream_id", "ts", {"n": F.lit(1)}, BUCKET)
-    has = between(asked, index, "stream_id", "ts", ["id"], {"in": (F.col("lo") + us(0.05) + 1, F.col("hi") - us(0.05) - 1)}, BUCKET).select("id", (total("in", "n") > 0).alias("has"))
-    return seen.join(has, "id").select("stream_id", "lo", "hi", (pure_motion() | (F.col("has") & (F.round("active", 9) >= 0.30))).alias("ok"))
+    seen = motion_between(asked, e).join(soft_inside(asked, lively, "n_soft"), "id")
+    return seen.select("stream_id", "lo", "hi", (pure_motion() | ((F.col("n_soft") > 0) & (F.round("active", 9) >= F.col("v_share")))).alias("ok"))
+
+
+def absorb(c: DataFrame, e: DataFrame) -> DataFrame:
+    """``stream_id, f, l, n, first_ts, last_ts``: groups with the soft pulses before and after them that the bridge predicate ties to them (written classes with the profile's columns).
+
+    Before: one soft pulse after the other, to the first that fails, which is an island of neighbours.  After: the next lively soft pulse that holds, from
+    there on again; each pulse has one successor, and the ends of chains are found by doubling.
+    """
+    g = staged(groups(c, e), "pulse-groups")
+    soft = staged(soft_pulses(c, g.select("stream_id", F.col("f").alias("ts")).unionByName(g.select("stream_id", F.col("l").alias("ts")))), "soft-pulses")
+    ok = staged(far_pairs(soft, e).where("ok").select("stream_id", "lo", "hi"), "bridged-holes")
+    reach = soft.select("stream_id", F.col("ts").alias("lo"), "v_trail")
+    to_far = ok.join(soft.where("lively").select("stream_id", F.col("ts").alias("hi")), ["stream_id", "hi"]).join(reach, ["stream_id", "lo"]).where("hi - lo <= v_trail").groupBy("stream_id", F.col("lo").alias("ts")).agg(F.min("hi").alias("far"))
+    step = F.col("ahead") - F.col("ts")
+    to = F.when(step <= F.col("v_silence"), F.when(step <= F.col("v_trail"), F.col("ahead"))).otherwise(F.col("far"))
+    trail = ends_of_chains(soft.join(to_far, ["stream_id", "ts"], "left").select("stream_id", "ts", to.alias("to")))
+    near = soft.join(ok.select("stream_id", F.col("lo").alias("before"), F.col("hi").alias("ts"), F.lit(True).alias("held")), ["stream_id", "before", "ts"], "left")
+    gap = F.col("ts") - F.col("before")
+    tied = (gap <= F.col("v_lead")) & ((gap <= F.col("v_silence")) | F.col("held").isNotNull()) & (F.col("after_lively") | ~F.col("v_lively"))
+    near = staged(near.select("stream_id", "ts", "soft", "before", F.coalesce(tied, F.lit(False)).alias("tied")), "tied-pulses")
+    runs = with_island(near.where("soft"), ["stream_id"], "ts", breaks=~F.col("tied"), name="run")
+    runs = runs.select("stream_id", F.col("ts").alias("before"), F.min("ts").over(Window.partitionBy("stream_id", "run")).alias("run_first"))
+    lead = near.join(runs, ["stream_id", "before"], "left").select("stream_id", F.col("ts").alias("f"), F.when(F.col("tied"), F.col("run_first")).otherwise(F.col("ts")).alias("first_ts"))
+    return g.join(trail.withColumnRenamed("ts", "l"), ["stream_id", "l"]).join(lead, ["stream_id", "f"])
 
 
 def ends_of_chains(follows: DataFrame, name: str = "chain-ends") -> DataFrame:
@@ -161,27 +224,40 @@ def ends_of_chains(follows: DataFrame, name: str = "chain-ends") -> DataFrame:
     SELECT g.stream_id, g.f AS group_first, g.l AS group_last, g.n, d.first_ts, t.last_ts FROM groups g JOIN trail t USING (stream_id, island) JOIN lead_of d ON d.stream_id = g.stream_id AND d.ts = g.f"""
 )
 def soft_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with the soft pulses before and after them that the bridge predicate ties to them.
-
-    Before: one soft pulse after the other, to the first that fails, which is an island of neighbours.  After: the next soft pulse that holds, from
-    there on again; each pulse has one successor, and the ends of chains are found by doubling.
-    """
-    e = carriers.energy(spark, sf_dir)
-    c = staged(classes(spark, sf_dir), "pulse-classes")
-    g = groups(c, e)
-    soft = staged(soft_pulses(c), "soft-pulses")
-    ok = staged(far_pairs(soft, e).where("ok").select("stream_id", "lo", "hi"), "bridged-holes")
-    to_far = ok.join(soft.where("lively").select("stream_id", F.col("ts").alias("hi")), ["stream_id", "hi"]).groupBy("stream_id", F.col("lo").alias("ts")).agg(F.min("hi").alias("far"))
-    follows = soft.join(to_far, ["stream_id", "ts"], "left").select("stream_id", "ts", F.when(F.col("ahead") - F.col("ts") <= SILENCE, F.col("ahead")).otherwise(F.col("far")).alias("to"))
-    trail = ends_of_chains(follows)
-    near = soft.select("stream_id", "ts", "before").join(ok.select("stream_id", F.col("lo").alias("before"), F.col("hi").alias("ts"), F.lit(True).alias("held")), ["stream_id", "before", "ts"], "left")
-    gap = F.col("ts") - F.col("before")
-    lead = with_island(near, ["stream_id"], "ts", breaks=(gap > LEAD_CAP) | ((gap > SILENCE) & F.col("held").isNull()), name="run")
-    lead = lead.withColumn("first_ts", F.min("ts").over(Window.partitionBy("stream_id", "run"))).select("stream_id", F.col("ts").alias("f"), "first_ts")
-    out = g.join(trail.withColumnRenamed("ts", "l"), ["stream_id", "l"]).join(lead, ["stream_id", "f"])
+    """The groups of the standard profile with the soft pulses around them."""
+    c = staged(one_profile(classes(spark, sf_dir)), "pulse-classes")
+    out = absorb(c, carriers.energy(spark, sf_dir))
     return out.select("stream_id", F.col("f").alias("group_first"), F.col("l").alias("group_last"), "n", "first_ts", "last_ts")
 
 
+_VALUES = ", ".join(f"('{name}', {', '.join(str(x).lower() for x in profile_values(name).values())})" for name in PROFILES)
+_BY_STREAM = f"""{_CLASS}, pf(profile, {', '.join(V)}) AS (VALUES {_VALUES}), cv AS (SELECT cls.*, pf.* FROM cls JOIN pf ON pf.profile = ['strict', 'standard', 'device'][1 + stream_id % 3]),
+    sup AS (SELECT *, event_id AS id, lag(ts) OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS lo, ts AS hi FROM cv WHERE in_court OR strong OR v_every), node AS (SELECT DISTINCT stream_id, court_id, ts, merge_at, residual, {', '.join(V)}, bool_or(soft) OVER t AS soft, bool_or(soft AND motion >= bridge) OVER t AS lively FROM cv WINDOW t AS (PARTITION BY stream_id, ts)),
+    sft AS (SELECT * FROM node WHERE soft), ask AS (SELECT DISTINCT a.stream_id, a.court_id, a.residual, a.merge_at, a.v_silence, a.v_pure, a.v_share, a.ts AS lo, b.ts AS hi FROM node a JOIN node b ON a.stream_id = b.stream_id AND b.ts - a.ts > a.v_silence AND b.ts - a.ts <= a.v_bridge),
+    mot AS (SELECT w.stream_id, w.lo, w.hi, coalesce(sum(e.e5) / (count(e.energy) * 100000.0), 0) AS mean_e, coalesce(sum(CASE WHEN e.energy >= w.residual THEN 1 ELSE 0 END) / (count(e.energy) * 1.0), 0) AS active FROM ask w LEFT JOIN energy e ON e.court_id = w.court_id AND e.ts BETWEEN w.lo AND w.hi GROUP BY 1, 2, 3),
+    pin AS (SELECT DISTINCT w.stream_id, w.lo, w.hi FROM ask w JOIN sft s ON s.stream_id = w.stream_id AND s.lively AND s.ts > w.lo + {us(0.05)} AND s.ts < w.hi - {us(0.05)}),
+    ok AS (SELECT w.stream_id, w.lo, w.hi FROM ask w JOIN mot m USING (stream_id, lo, hi) LEFT JOIN pin ON pin.stream_id = w.stream_id AND pin.lo = w.lo AND pin.hi = w.hi WHERE (w.hi - w.lo <= v_pure AND round(active, 9) >= 0.55 AND round(mean_e, 9) >= round(merge_at, 9)) OR (pin.lo IS NOT NULL AND round(active, 9) >= v_share)),
+    brk AS (SELECT s.*, CASE WHEN s.lo IS NULL OR s.hi - s.lo <= s.v_silence OR ok.lo IS NOT NULL THEN 0 ELSE 1 END AS brk FROM sup s LEFT JOIN ok ON ok.stream_id = s.stream_id AND ok.lo = s.lo AND ok.hi = s.hi),
+    grp AS (SELECT *, sum(brk) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM brk),
+    groups AS (SELECT stream_id, island, any_value(profile) AS profile, min(ts) AS f, max(ts) AS l, count(*) AS n FROM grp GROUP BY 1, 2),
+    fwd AS (SELECT a.stream_id, a.ts, min(b.ts) AS hi FROM node a JOIN sft b ON b.stream_id = a.stream_id AND b.lively AND b.ts > a.ts AND b.ts - a.ts <= a.v_trail LEFT JOIN ok ON ok.stream_id = a.stream_id AND ok.lo = a.ts AND ok.hi = b.ts WHERE b.ts - a.ts <= a.v_silence OR ok.lo IS NOT NULL GROUP BY 1, 2),
+    prv AS (SELECT a.stream_id, a.ts, a.v_lead, a.v_silence, a.v_lively, max(b.ts) AS lo, arg_max(b.lively, b.ts) AS lv FROM node a JOIN sft b ON b.stream_id = a.stream_id AND b.ts < a.ts GROUP BY ALL),
+    bwd AS (SELECT p.stream_id, p.ts, p.lo FROM prv p LEFT JOIN ok ON ok.stream_id = p.stream_id AND ok.lo = p.lo AND ok.hi = p.ts WHERE p.ts - p.lo <= v_lead AND (p.ts - p.lo <= v_silence OR ok.lo IS NOT NULL) AND (lv OR NOT v_lively)),
+    ahead AS (SELECT stream_id, island, l AS t FROM groups UNION ALL SELECT w.stream_id, w.island, n.hi FROM ahead w JOIN fwd n ON n.stream_id = w.stream_id AND n.ts = w.t),
+    back AS (SELECT stream_id, island, f AS t FROM groups UNION ALL SELECT w.stream_id, w.island, n.lo FROM back w JOIN bwd n ON n.stream_id = w.stream_id AND n.ts = w.t)"""
+
+
+@query(
+    f"""{_IN.replace('WITH', 'WITH RECURSIVE', 1)}, {_BY_STREAM} SELECT stream_id, profile, f AS group_first, l AS group_last, n, (SELECT min(t) FROM back b WHERE b.stream_id = g.stream_id AND b.island = g.island) AS first_ts, (SELECT max(t) FROM ahead a WHERE a.stream_id = g.stream_id AND a.island = g.island) AS last_ts FROM groups g"""
+)
+def profile_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of strict, standard and on-device streams, each by its own profile, in one plan."""
+    name = F.element_at(F.array(*map(F.lit, PROFILES)), (F.col("stream_id") % 3 + 1).cast("int"))
+    c = staged(stream_profiles(classes(spark, sf_dir).withColumn("profile", name)), "pulse-classes")
+    out = absorb(c, carriers.energy(spark, sf_dir)).join(c.select("stream_id", "profile").distinct(), "stream_id")
+    return out.select("stream_id", "profile", F.col("f").alias("group_first"), F.col("l").alias("group_last"), "n", "first_ts", "last_ts")
+
+
 # --- confidence of a group -------------------------------------------------------------------------------------------------
 
 #: By pulses and by their mean motion over the support level, in shares of the court's range.
