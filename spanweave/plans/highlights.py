@@ -291,16 +291,21 @@ def walk_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The last active sample before the pulse is one lookup; its run says how far back that goes, and where the run begins before the look back the first active sample in it does.
     """
-    e = carriers.energy(spark, sf_dir)
+    s = walked_starts(pulse_spans(spark, sf_dir).select("stream_id", "court_id", "first"), carriers.energy(spark, sf_dir))
+    return s.select("stream_id", F.col("first").alias("first_ts"), "start_at")
+
+
+def walked_starts(s: DataFrame, e: DataFrame) -> DataFrame:
+    """Adds ``start_at`` to rows with ``court_id, first``."""
     span = F.greatest(F.lit(0.0), F.col("a") - F.col("m"))
     onset = court_stats(e).select("court_id", F.greatest(F.lit(0.008), F.col("m") + 0.08 * span).alias("onset"))
     runs = active_runs(e.join(small_side(onset, "court-onset"), "court_id"), "court_id", "ts", "e5", F.col("energy") >= F.col("onset"), _QUIET, BUCKET)
-    s = pulse_spans(spark, sf_dir).select("stream_id", "court_id", "first")
     early = F.col("first") - us(2.0)
-    s = last_at_or_before(s, F.col("first"), runs, "court_id", "ts", BUCKET, "anchor", "run_first")
-    out = first_at_or_after(s, early, runs, "court_id", "ts", BUCKET, "edge").withColumn("t", F.when(F.col("anchor") >= early, F.greatest("run_first", "edge")))
-    start = F.when(F.col("t").isNotNull(), F.greatest(F.col("first") - us(2.0), F.col("t") - us(0.35))).otherwise(F.col("first") - us(0.35))
-    return out.select("stream_id", F.col("first").alias("first_ts"), start.alias("start_at"))
+    x = last_at_or_before(s, F.col("first"), runs, "court_id", "ts", BUCKET, "anchor", "run_first")
+    x = first_at_or_after(x, early, runs, "court_id", "ts", BUCKET, "edge")
+    at = F.when(F.col("anchor") >= early, F.greatest("run_first", "edge"))
+    start = F.when(at.isNotNull(), F.greatest(early, at - us(0.35))).otherwise(F.col("first") - us(0.35))
+    return x.withColumn("start_at", start).select(*s.columns, "start_at")
 
 
 @query()
