@@ -43,8 +43,8 @@ def profile_values(name: str) -> dict:
 
 
 def one_profile(df: DataFrame, name: str = "standard") -> DataFrame:
-    """All streams by one profile."""
-    return df.withColumns({k: F.lit(x) for k, x in profile_values(name).items()})
+    """All streams by one profile, if they have none."""
+    return df if V[0] in df.columns else df.withColumns({k: F.lit(x) for k, x in profile_values(name).items()})
 
 
 def stream_profiles(df: DataFrame) -> DataFrame:
@@ -113,7 +113,8 @@ def grouping(c: DataFrame) -> Column:
 
 
 def bridged_holes(c: DataFrame, e: DataFrame) -> DataFrame:
-    """Holes between grouping pulses that are too long for silence: soft pulses inside, and whether they are bridged (classes with the profile's columns)."""
+    """Holes between grouping pulses that are too long for silence: soft pulses inside, and whether they are bridged (classes without a profile: the standard one)."""
+    c = one_profile(c)
     w = Window.partitionBy("stream_id").orderBy("ts", "event_id")
     holes = c.where(grouping(c)).select("stream_id", "court_id", F.col("event_id").alias("id"), F.lag("ts").over(w).alias("lo"), F.col("ts").alias("hi"), "merge_at", *V)
     holes = staged(holes.where((F.col("hi") - F.col("lo") > F.col("v_silence")) & (F.col("hi") - F.col("lo") <= F.col("v_bridge"))), "group-holes")
@@ -135,6 +136,7 @@ _GROUPS = f"""{_BRIDGES}, brk AS (SELECT h.*, CASE WHEN h.lo IS NULL OR h.hi - h
 
 def groups(c: DataFrame, e: DataFrame) -> DataFrame:
     """``stream_id, island, court_id, f, l, n``: grouping pulses by the bridge predicate."""
+    c = one_profile(c)
     w = Window.partitionBy("stream_id").orderBy("ts", "event_id")
     s = c.where(grouping(c)).join(bridged_holes(c, e).select(F.col("id").alias("event_id"), "bridged"), "event_id", "left")
     gap = F.col("ts") - F.lag("ts").over(w)
