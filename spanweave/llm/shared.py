@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch, at most, while a stage is written: texts of some kilobytes make large batches, which lie in the JVM's buffers and in the worker at once.
+BATCH_ROWS = 2048
 #: Bytes of text that a Python worker handles at once; one longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -50,12 +53,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    had = spark.conf.get(_CLEANUP, "false")
+    had = {_CLEANUP: spark.conf.get(_CLEANUP, "false"), _BATCH: spark.conf.get(_BATCH, "10000")}
+    rows = int(had[_BATCH])
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, had)
+        for key, value in had.items():
+            spark.conf.set(key, value)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
