@@ -96,7 +96,14 @@ class PieceModel:
             raise ValueError("the model has no byte pieces")
         self.mark = np.array([self.byte_id[b] for b in SPACE.encode()], np.int32).tobytes()  # a literal mark
         self.longest = max(map(len, self.score))
-        self.begins = {p[:k]: False for p in self.score for k in range(1, len(p))} | dict.fromkeys(self.score, True)
+        #: The pieces by their characters: a node is its children, and the piece that ends there or None.
+        self.trie: tuple[dict, str | None] = ({}, None)
+        for piece in self.score:
+            node = self.trie
+            for c in piece[:-1]:
+                node = node[0].setdefault(c, ({}, None))
+            end = node[0].get(piece[-1])
+            node[0][piece[-1]] = (end[0] if end else {}, piece)
         self.lowest = min(self.score.values()) - 10.0
         inside = {(a, b) for p in self.score for a, b in zip(p, p[1:], strict=False)}
         joined = {c for pair in inside for c in pair}
@@ -107,7 +114,8 @@ class PieceModel:
         lone = f"|[{alone}]" if alone else ""
         self.stretch = re.compile(f"{SPACE}*{body}+|{SPACE}+{lone}" if self.marks_first else r"(?s).+")
         self.begin = re.compile(f"[^{SPACE}]{SPACE}")
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[str, dict[str, bool]] = {}
+        self._n_pairs = 0
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -127,12 +135,13 @@ class PieceModel:
         return parts
 
     def _fits(self, a: str, b: str) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._merge(a + b) == [a, b]
-        return known
+        """Whether the merges leave ``b`` beside ``a``; remembered by ``a``."""
+        if self._n_pairs >= PAIRS:
+            self._pairs.clear()
+            self._n_pairs = 0
+        self._n_pairs += 1
+        fits = self._pairs.setdefault(a, {})[b] = self._merge(a + b) == [a, b]
+        return fits
 
     def _packed_of(self, piece: str) -> bytes:
         return self.packed.get(piece) or np.array([self.byte_id[b] for b in piece.encode()], np.int32).tobytes()
@@ -163,27 +172,35 @@ class PieceModel:
         return out[::-1]
 
     def _by_merges(self, text: str) -> Iterator[str]:
-        n, longest, get, pairs, fits_now = len(text), self.longest, self.begins.get, self._pairs, self._fits
-        wide = WINDOW * longest
+        n, longest, root, pairs, fits_now = len(text), self.longest, self.trie[0], self._pairs, self._fits
+        wide, unknown = WINDOW * longest, {}
         base, before = 0, ""  # the window's start, and the last piece that was committed
         length = [0] * (min(n, wide + longest) + 1)
+        last = [""] * len(length)  # the piece that ends at each position
         for i in range(n):
             at = i - base
-            size = length[at]
-            left = text[i - size : i] if size else before
-            for k in range(1, min(longest, n - i) + 1):
-                piece = text[i : i + k]
-                whole = get(piece)  # None: no piece begins so; True: it is one
-                if whole is None and k > 1:
-                    break
-                if (whole or k == 1) and not length[at + k]:
+            left = last[at] or before
+            beside = pairs.get(left, unknown).get
+            children, to = root, at
+            for c in text[i : i + longest]:
+                node = children.get(c)
+                to += 1
+                if node is None:
+                    if to > at + 1:
+                        break
+                    piece = c  # no piece begins so: the character alone
+                else:
+                    children, piece = node
+                    if piece is None and to == at + 1:
+                        piece = c
+                if piece is not None and not length[to]:
                     if left:
-                        fits = pairs.get((left, piece))
+                        fits = beside(piece)
                         if fits if fits is not None else fits_now(left, piece):
-                            length[at + k] = k
+                            length[to], last[to] = to - at, piece
                     else:
-                        length[at + k] = k
-                if whole is None:
+                        length[to], last[to] = to - at, piece
+                if node is None or not children:
                     break
             if at + 1 == wide and i + 1 < n:
                 # the paths that can go on end behind position i
@@ -194,29 +211,32 @@ class PieceModel:
                     base += size
                 if not meet:  # no common boundary yet: the window grows until there is one
                     wide += longest
-                length = length[meet:] + [0] * min(meet or longest, n - base - len(length) + meet + 1)
+                more = min(meet or longest, n - base - len(length) + meet + 1)
+                length, last = length[meet:] + [0] * more, last[meet:] + [""] * more
                 if meet:
-                    length[0] = 0
+                    length[0], last[0] = 0, ""
                     wide = max(WINDOW * longest, i + 2 - base)
         for size in self._path(length, n - base):
             yield text[base : base + size]
             base += size
 
     def _by_scores(self, text: str) -> Iterator[str]:
-        n, longest, begins, score, lowest = len(text), self.longest, self.begins, self.score, self.lowest
+        n, longest, score, lowest = len(text), self.longest, self.score, self.lowest
         wide, base = WINDOW * longest, 0
         length, total = [0] * (min(n, wide + longest) + 1), [0.0] * (min(n, wide + longest) + 1)
         for i in range(n):
             at = i - base
-            for k in range(1, min(longest, n - i) + 1):
-                piece = text[i : i + k]
-                whole = begins.get(piece)
-                if whole or k == 1:
-                    s = total[at] + (score[piece] if whole else lowest)
+            children = self.trie[0]
+            for k, c in enumerate(text[i : i + longest], 1):
+                node = children.get(c)
+                piece = node[1] if node else None
+                if piece is not None or k == 1:
+                    s = total[at] + (lowest if piece is None else score[piece])
                     if not length[at + k] or s > total[at + k]:
                         total[at + k], length[at + k] = s, k
-                if whole is None:
+                if node is None:
                     break
+                children = node[0]
             if at + 1 == wide and i + 1 < n:
                 meet = self._boundary(length, at + 1, min(len(length), at + 1 + longest))
                 for size in self._path(length, meet):
