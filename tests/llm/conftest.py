@@ -10,6 +10,7 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.str
 LABELS = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())])
 PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
 TALKS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+VECTORS = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])
 
 
 def prose(r: random.Random, n: int, vocabulary: int = 400) -> str:
@@ -71,8 +72,8 @@ def make_talks() -> list[dict]:
     return rows
 
 
-def write(folder, docs=(), labels=(), pages=(), talks=()) -> str:
-    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, LABELS), ("pages", pages, PAGES), ("conversations", talks, TALKS)):
+def write(folder, docs=(), labels=(), pages=(), talks=(), vectors=()) -> str:
+    for name, rows, schema in (("documents", docs, DOCS), ("labels", labels, LABELS), ("pages", pages, PAGES), ("conversations", talks, TALKS), ("embeddings", vectors, VECTORS)):
         pq.write_table(pa.Table.from_pylist(list(rows), schema), f"{folder}/{name}.parquet")
     return str(folder)
 
