@@ -9,10 +9,13 @@ order, two sets share an element among the first ``n - ceil(least * n) + 1`` of
 
 1. The order is by hash, but shingles that stand in many prefixes come last (any order is right; this one keeps blocks small).
 2. The prefixes meet in blocks, one for each shingle; blocks of one text are dropped.
-3. In each block the fingerprints' tries are walked against themselves with the Hamming budget (``simhash.Walk``); a pair of nodes whose texts are in one
-   group already is given up.  Pairs left are dropped if their sizes, the places of the shingle or the sets' bit tables (a bit that one set lacks is an
-   element that it lacks) show that they share too little, and the others are compared by their whole sets.  Two rounds before that make few pairs and join large groups, so that the walk finds them in one group: the first
-   compares the middle text of each block (whose fingerprint is nearest to the block's majority) with the others, the second neighbours in the order of fingerprints.
+3. Two rounds make few pairs and join large groups: the first compares the middle text of each block (whose fingerprint is nearest to the block's majority)
+   with the others, the second neighbours in the order of fingerprints.  Pairs are compared by their whole sets.
+4. In each block the fingerprints' tries are walked against themselves with the Hamming budget (``simhash.Walk``).  Pairs are dropped if their sizes, the
+   places of the shingle or the sets' bit tables (a bit that one set lacks is an element that it lacks) show that they share too little.  The others are not
+   listed: they join the groups of their texts to a *family*, of which only a spanning forest leaves the task, and a pair of nodes of one family is given up.
+5. Each family's sets meet once, in tiles of bounded size (two parts of the family by the hash of the text), where all pairs of different groups are compared;
+   a forest of the links leaves the tile.  Similar sets are in one group or in one family, so no link is lost.
 
 The budget is the only step that could lose a link: bits differ with a chance of acos(2 J / (1 + J)) / pi = 0.151 at J = 0.8 (at most 0.19 for
 sets of a few shingles), so that more than 26 of 64 do for fewer than 1 pair in 200,000 at that similarity, and for none above 0.9 in practice.
@@ -29,12 +32,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import blocks, find_words, fresh, gram_hashes, quoted, stage, word_hashes
-from .simhash import BITS, Walk
+from .simhash import BITS, Walk, _Parts
 
 SHINGLE, LEAST = 5, 80
 #: Shingles that come last in the order (a bounded table), and in how many prefixes one must stand.
@@ -48,6 +52,8 @@ CHUNK = 1 << 13
 #: Longs of a set's bit table.
 SKETCH = 16
 _TABLE = [f"b{k}" for k in range(SKETCH)]
+#: Elements of sets in each of the two parts of a family that a tile compares, about.
+TILE = 1 << 18
 #: Pairs that a task puts out at once.
 PAIRS = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -127,27 +133,38 @@ def _set_fingerprint(elements: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(elements)).tobytes(), "big", signed=True)
 
 
+def _by_block(rows: DataFrame) -> DataFrame:
+    """Rows dealt by block and sorted by unsigned fingerprint, whose order is that of the bits."""
+    return rows.repartition("h").sortWithinPartitions("h", F.col("fp").bitwiseXOR(F.lit(-(1 << (BITS - 1)))))
+
+
+def _cuts(h: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
+
+
+def _fit(i: np.ndarray, j: np.ndarray, n: np.ndarray, place: np.ndarray, least: int) -> np.ndarray:
+    """Whether sets that meet at these places of theirs may be similar enough."""
+    ni, nj = n[i], n[j]
+    most = np.minimum(ni - place[i], nj - place[j])  # elements that both can have from the shingle on
+    return (100 * np.minimum(ni, nj) >= least * np.maximum(ni, nj)) & ((100 + least) * most >= least * (ni + nj))
+
+
+def _tables_fit(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) -> np.ndarray:
+    """Whether the bit tables of sets leave them enough common elements."""
+    lack_i, lack_j = (np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64) for a, b in ((i, j), (j, i)))
+    return (100 + least) * np.minimum(n[i] - lack_i, n[j] - lack_j) >= least * (n[i] + n[j])
+
+
 def _candidates(rows: DataFrame, least: int, pairs_of: Callable) -> DataFrame:
-    """``u, v`` from rows ``h, th, n, place, part, fp`` and bit tables (if there): pairs of a block, out of those that ``pairs_of`` makes, that are in different parts and may be similar enough."""
-    names = ["h", "th", "n", "place", "part", "fp", *(c for c in _TABLE if c in rows.columns)]
+    """``u, v`` from rows ``h, th, n, place, part, fp``: pairs of a block, out of those that ``pairs_of`` makes, that are in different parts and may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, th, n, place, part, fp, *table in _each_bucket(batches, len(names)):
-            fp = fp.view(np.uint64)
-            bits = np.stack(table, 1).view(np.uint64) if table else None
-            new = np.concatenate(([True], h[1:] != h[:-1]))
-            cuts = np.append(np.flatnonzero(new), len(h))
+        for h, th, n, place, part, fp in _each_bucket(batches, 6):
             found: list[np.ndarray] = []
             size = 0
-            for i, j in pairs_of(cuts, th, fp, part):
-                ni, nj = n[i], n[j]
-                most = np.minimum(ni - place[i], nj - place[j])  # elements that both can have from the shingle on
-                ok = (part[i] != part[j]) & (100 * np.minimum(ni, nj) >= least * np.maximum(ni, nj)) & ((100 + least) * most >= least * (ni + nj))
+            for i, j in pairs_of(_cuts(h), th, fp.view(np.uint64), part):
+                ok = (part[i] != part[j]) & _fit(i, j, n, place, least)
                 i, j = i[ok], j[ok]
-                if bits is not None and len(i):
-                    lack_i, lack_j = (np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64) for a, b in ((i, j), (j, i)))
-                    ok = (100 + least) * np.minimum(n[i] - lack_i, n[j] - lack_j) >= least * (n[i] + n[j])
-                    i, j = i[ok], j[ok]
                 if len(i):
                     found.append(np.stack((np.minimum(th[i], th[j]), np.maximum(th[i], th[j]))))
                     size += len(i)
@@ -157,9 +174,84 @@ def _candidates(rows: DataFrame, least: int, pairs_of: Callable) -> DataFrame:
             if found:
                 yield _pairs(found)
 
-    # by unsigned fingerprint, whose order is that of the bits
-    dealt = rows.repartition("h").sortWithinPartitions("h", F.col("fp").bitwiseXOR(F.lit(-(1 << (BITS - 1)))))
-    return dealt.select(*names).mapInArrow(run, "u long, v long").distinct()
+    return _by_block(rows).select("h", "th", "n", "place", "part", "fp").mapInArrow(run, "u long, v long").distinct()
+
+
+def _walked(rows: DataFrame, least: int) -> DataFrame:
+    """``u, v`` from rows ``h, th, n, place, part, fp`` and bit tables: parts, joined as the candidates of all blocks join them; a forest for each batch of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, _, n, place, part, fp, *table in _each_bucket(batches, 6 + SKETCH):
+            fp, bits = fp.view(np.uint64), np.stack(table, 1).view(np.uint64)
+            parts, node = np.unique(part, return_inverse=True)
+            families, forest, stale = _Parts(len(parts)), [], 0
+            walk = Walk(fp, BUDGET, _cuts(h), node, CHUNK)
+            for i, j in walk.pairs():
+                ok = (walk.label[i] != walk.label[j]) & _fit(i, j, n, place, least)
+                i, j = i[ok], j[ok]
+                ok = _tables_fit(i, j, n, bits, least)
+                for a, b in zip(node[i[ok]].tolist(), node[j[ok]].tolist(), strict=True):
+                    if families.join(a, b):
+                        forest.append((a, b))
+                        stale += 1
+                if stale > len(h) // 64:
+                    walk.relabel(families.labels()[node])
+                    stale = 0
+            if forest:
+                yield _pairs([np.sort(parts[np.array(forest, np.int64).T], axis=0)])
+
+    return _by_block(rows).select("h", "th", "n", "place", "part", "fp", *_TABLE).mapInArrow(run, "u long, v long").distinct()
+
+
+def _tile_links(th: np.ndarray, part: np.ndarray, side: np.ndarray, fp: np.ndarray, bits: np.ndarray, elements: np.ndarray, off: np.ndarray, least: int, within: bool) -> list[tuple[int, int]]:
+    """Links between texts of different parts (and, if not ``within``, of different sides) of a tile: a spanning forest of the parts."""
+    n = np.diff(off)
+    order = np.lexsort((th, n))
+    th, part, side, fp, bits, n, begin = th[order], part[order], side[order], fp[order], bits[order], n[order], off[:-1][order]
+    ids = np.unique(elements, return_inverse=True)[1]
+    held = np.zeros(len(elements), bool)
+    label = np.unique(part, return_inverse=True)[1]
+    upto = np.searchsorted(n, 100 * n // least, "right")  # larger sets have too many others
+    links = []
+    for i in range(len(th)):
+        j = np.arange(i + 1, upto[i])
+        ok = (label[j] != label[i]) & (np.bitwise_count(fp[j] ^ fp[i]) <= BUDGET)
+        j = j[ok if within else ok & (side[j] != side[i])]
+        j = j[_tables_fit(np.full(len(j), i), j, n, bits, least)]
+        if not len(j):
+            continue
+        mine = ids[begin[i] : begin[i] + n[i]]
+        held[mine] = True
+        for k in range(0, len(j), 256):
+            some = j[k : k + 256]
+            first = np.cumsum(n[some]) - n[some]
+            theirs = ids[np.arange(n[some].sum()) + np.repeat(begin[some] - first, n[some])]
+            both = np.add.reduceat(held[theirs], first, dtype=np.int64)
+            for x in some[(100 + least) * both >= least * (n[some] + n[i])].tolist():
+                if label[x] != label[i]:
+                    links.append((int(th[i]), int(th[x])))
+                    label[label == label[x]] = label[i]
+        held[mine] = False
+    return links
+
+
+def _family_links(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """``u, v``: links between the parts of each family, from rows ``family, part, th, n``."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        columns = {c: tile.column(c).to_numpy() for c in ("th", "part", "side", "fp", *_TABLE)}
+        lists = tile.column("elements").combine_chunks()
+        off = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        bits = np.stack([columns[c] for c in _TABLE], 1).view(np.uint64)
+        within = tile.column("a")[0].as_py() == tile.column("b")[0].as_py()
+        links = _tile_links(columns["th"], columns["part"], columns["side"], columns["fp"].view(np.uint64), bits, lists.flatten().to_numpy(zero_copy_only=False), off, least, within)
+        return pa.table(list(np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1).T), names=["u", "v"])
+
+    sides = members.groupBy("family").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("sides"))
+    dealt = members.join(sides, "family").withColumn("side", F.pmod(F.xxhash64("th"), F.col("sides")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.select("family", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "th", "part")
+    return dealt.join(sets, "th").groupBy("family", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def _middles(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -185,11 +277,6 @@ def _neighbours(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarr
         yield i[near], j[near]
 
 
-def _walked(cuts: np.ndarray, th: np.ndarray, fp: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different parts within the budget, by walking the blocks' tries."""
-    return Walk(fp, BUDGET, cuts, part, CHUNK).pairs()
-
-
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
@@ -202,6 +289,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where((100 + least) * both >= least * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def _parted(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``rows`` with the ``part`` of their text: its group so far, or itself."""
+    if found is None:
+        return rows.withColumn("part", F.col("th"))
+    return rows.join(found.withColumnRenamed("node", "th"), "th", "left").withColumn("part", F.coalesce("component", "th")).drop("component")
+
+
 def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``node, component`` for the texts (by 64-bit hash) that are linked to another."""
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
@@ -226,21 +320,18 @@ def text_groups(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) ->
     met = texts.join(buckets.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
     sets = stage(met.mapInArrow(elements, f"th long, elements array<long>, fp long, {', '.join(f'{c} long' for c in _TABLE)}"), "shingle-sets")
     edges = found = None
-    for pairs_of in (_middles, _neighbours, _walked):
-        keys = sets.select("th", "fp", *(_TABLE if pairs_of is _walked else ()))
-        if found is None:
-            rows = buckets.join(keys.withColumn("part", F.col("th")), "th")
-        else:
-            keys = keys.join(found.withColumnRenamed("node", "th"), "th", "left").withColumn("part", F.coalesce("component", "th")).drop("component")
-            rows = buckets.join(keys, "th")
-        if pairs_of is _walked:
-            # only blocks with several parts are left to walk
-            several = stage(rows.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h"), "blocks-to-walk")
-            rows = rows.join(several, "h", "left_semi")
+    for pairs_of in (_middles, _neighbours):
+        rows = buckets.join(_parted(sets.select("th", "fp"), found), "th")
         new = stage(_confirmed(stage(_candidates(rows, least, pairs_of), "candidates"), sets.select("th", "elements"), least), "near-pairs")
         edges = new if edges is None else edges.unionByName(new)
         found = stage(components(edges), "text-components")
-    return found
+    rows = buckets.join(_parted(sets.select("th", "fp", *_TABLE), found), "th")
+    # only blocks with several parts are left to walk
+    several = stage(rows.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h"), "blocks-to-walk")
+    joined = stage(_walked(rows.join(several, "h", "left_semi"), least), "joined-parts")
+    families = stage(components(joined), "families").select(F.col("node").alias("part"), F.col("component").alias("family"))
+    members = stage(_parted(sets.select("th", F.size("elements").cast("long").alias("n")), found).join(families, "part"), "family-members")
+    return stage(components(edges.unionByName(stage(_family_links(members, sets, least), "family-links"))), "text-components")
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:

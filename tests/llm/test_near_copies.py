@@ -8,6 +8,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 
+from spanweave.llm import jaccard
+
 from .conftest import prose
 
 
@@ -71,3 +73,45 @@ def test_stage_keeps_each_group_without_an_id(spark, tmp_path):
     assert sorted(x["doc_id"] for x in got if x["doc_id"] is not None) == [7, 8]
     kept = [x["text"] for x in got if x["doc_id"] is None]
     assert len(kept) == 4 and all(sum(near(t, k) for k in kept) == 1 for t in (base[0], base[1], base[4], base[5]))
+
+
+def alike() -> list[str]:
+    """Versions of one long text that are just too different from each other, and some that are not."""
+    r = random.Random(14)
+    base = [f"b{k}" for k in range(1000)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in r.sample(range(199), 14):
+            words[5 * at + 2] = f"new{k}_{at}"
+        texts.append(" ".join(words))
+    return texts + [f"{t} and an end" for t in texts[::9]]
+
+
+def test_texts_that_are_only_alike_are_not_listed_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 9_000, raising=False)
+    stage, rows = jaccard.stage, []
+
+    def counted(df, name):
+        out = stage(df, name)
+        if out.columns == ["u", "v"]:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    texts = alike()
+    sets = [shingles(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect())
+    assert got == sorted(g[0] for g in groups_of(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))) and 50 < len(got) <= 60
+    assert rows[-1] < len(texts) and rows[4] < 4 * len(texts), rows  # before: each pair of them
+
+
+def test_tiles_link_the_parts_that_a_family_holds(spark, tmp_path, monkeypatch):
+    """Without the two rounds before, all links come from families."""
+    monkeypatch.setattr(jaccard, "TILE", 2_000)
+    monkeypatch.setattr(jaccard, "_confirmed", lambda pairs, sets, least: pairs.where("false"))
+    texts = near_copies()
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect())
+    assert got == sorted(g[0] for g in groups_of(texts, near))
