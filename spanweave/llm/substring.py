@@ -7,10 +7,12 @@ sequence also starts in a document with a smaller doc_id is removed.
    anchors, and neighbours mostly share one.  Each text gives its anchors; those that stand in two different
    texts are recurring.  Exact copies of a text count as one text here, so a group of copies costs no more than its first member.
 2. Phrases.  Runs of windows with a recurring anchor are cut out of the first document of each text, with their place.
-   Equal phrases are one row with their smallest and largest doc_id: a phrase confirms its windows.
+   Equal phrases are one row with their smallest doc_id: a phrase confirms its windows.
 3. Automata.  Anchors are dealt into shards of bounded size; the phrases of an anchor with more words than a shard are cut into single
-   windows, which are dealt by their own hash.  A shard's confirmed windows (in two documents at least)
-   become one Aho-Corasick automaton over word numbers, and the shard's text is streamed through it to locate every occurrence.
+   windows, which are dealt by their own hash.  A text's stretch that is a phrase of an earlier document is covered from end to end.  The other stretches are the
+   first of their phrase: their windows can only be earlier in other phrases.  A shard's windows that stand in several phrases of different documents
+   become one Aho-Corasick automaton over word numbers, and these stretches are streamed through it to locate every occurrence.
+   Hashes of windows choose the windows, and leave out stretches without one.
    A shard with much text is streamed by several tasks, each with the shard's automaton.
 4. The covered places go back to their documents; exact copies of an earlier document are covered from end to end.
 
@@ -130,7 +132,7 @@ def _compile(windows: dict[tuple[int, ...], list[int]], width: int) -> ahocorasi
     # whole ids as objects: of STORE_INTS values the library gives back the low 32 bits only
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w, (lo, hi) in windows.items():
-        if lo < hi:  # confirmed: in two documents
+        if lo < hi:  # in phrases first met in two documents
             machine.add_word(w, lo)
     if not len(machine):
         return None
@@ -138,45 +140,127 @@ def _compile(windows: dict[tuple[int, ...], list[int]], width: int) -> ahocorasi
     return machine
 
 
+def _window_hashes(phrases: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all windows of an array of phrases, in order: row and hash."""
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo, _, data, off in blocks(phrases):
+        starts, ends, counts = find_words(data, off)
+        h = gram_hashes(word_hashes(data, starts, ends), width)
+        row = np.repeat(np.arange(len(counts)), counts)
+        whole = row[: len(h)] == row[width - 1 :]
+        rows.append(row[: len(h)][whole] + lo)
+        hashes.append(h[whole])
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+class _Shard:
+    """The phrases of a shard, and the automaton of the windows that phrases first met in different documents have in common."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.numbers, self.machine = width, {}, None
+        self.phrases: list[str] = []
+        self.first: dict[str, int] = {}
+        self.hash, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] | None = []
+
+    def add(self, phrases: list[str], lo: np.ndarray, row: np.ndarray, h: np.ndarray) -> None:
+        """Phrases with their first document (those that were cut out of several may be equal), and row and hash of their windows."""
+        self.held.append((len(self.phrases) + row, h))
+        self.phrases += phrases
+        for p, k in zip(phrases, lo.tolist(), strict=True):
+            self.first[p] = min(self.first.get(p, k), k)
+
+    def close(self) -> None:
+        """Makes the automaton when all phrases are there."""
+        if self.held is None:
+            return
+        held, self.held = self.held, None
+        if not held:
+            return
+        row, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        lo = np.array([self.first[p] for p in self.phrases], np.int64)[row]
+        order = np.argsort(h, kind="stable")
+        at = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        least = np.minimum.reduceat(lo[order], at)
+        several = least < np.maximum.reduceat(lo[order], at)
+        self.hash, self.least = h[order][at][several], least[several]
+        known = np.flatnonzero(self._known(h)[1])
+        begin = np.searchsorted(row, row[known])
+        windows: dict[tuple[int, ...], list[int]] = {}
+        here, ids, numbers = -1, (), self.numbers
+        for k, i, low in zip(row[known].tolist(), (known - begin).tolist(), lo[known].tolist(), strict=True):
+            if k != here:
+                here, ids = k, tuple([numbers.setdefault(w, len(numbers) + 1) for w in self.phrases[k].split(" ")])
+            w = ids[i : i + self.width]
+            seen = windows.get(w)
+            if seen is None:
+                windows[w] = [low, low]
+            else:
+                seen[0], seen[1] = min(seen[0], low), max(seen[1], low)
+        self.machine, self.phrases = _compile(windows, self.width), []
+
+    def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash among those chosen, and whether it is there."""
+        if not len(self.hash):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return at, self.hash[at] == h
+
+    def to_stream(self, lo: np.ndarray, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Rows of text with a window whose hash an earlier document has too; ``row`` and ``h`` are those of their windows."""
+        if self.machine is None:
+            return np.zeros(0, np.int64)
+        at, known = self._known(h)
+        row, at = row[known], at[known]
+        return np.unique(row[self.least[at] < lo[row]])
+
+
 def _locate(rows: DataFrame, width: int) -> DataFrame:
-    """Rows ``shard, part, kind, lo, hi, th, place, phrase``, sorted with the phrases of a shard (kind 0) before its text (kind 1).
+    """Rows ``shard, part, kind, lo, th, place, phrase``, sorted with the phrases of a shard (kind 0) before its text (kind 1).
 
-    Memory: one shard's windows and automaton, and a batch of text.
+    Memory: one shard's phrases, windows and automaton, and a batch of text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, numbers, windows, machine, ready = None, {}, {}, None, False
+        here, shard = None, _Shard(width)
         for b in batches:
-            out: list[list[int]] = [[], [], [], []]
-            for shard, part, kind, lo, hi, th, place, phrase in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                if (shard, part) != here:
-                    here, numbers, windows, machine, ready = (shard, part), {}, {}, None, False
-                words = phrase.split(" ")
-                if kind == 0:
-                    ids = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words])
-                    for i in range(len(ids) - width + 1):
-                        w = ids[i : i + width]
-                        seen = windows.get(w)
-                        if seen is None:
-                            windows[w] = [lo, hi]
-                        else:
-                            seen[0], seen[1] = min(seen[0], lo), max(seen[1], hi)
-                    continue
-                if not ready:
-                    machine, windows, ready = _compile(windows, width), {}, True
-                if machine is None:
+            if not b.num_rows:
+                continue
+            out: list[np.ndarray] = []
+            key = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
+            lo, th, place = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3, 6))
+            phrases = b.column(6).to_pylist()
+            row, h = _window_hashes(b.column(6), width)
+            words = np.bincount(row, minlength=b.num_rows) + width - 1
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if (where := tuple(key[s, :2].tolist())) != here:
+                    here, shard = where, _Shard(width)
+                x, y = np.searchsorted(row, (s, e)).tolist()
+                if key[s, 2] == 0:
+                    shard.add(phrases[s:e], lo[s:e], row[x:y] - s, h[x:y])
                     continue
-                runs: list[list[int]] = []  # of covered words; matches come by their last word
-                for end, first in machine.iter(tuple([numbers.get(w, 0) for w in words])):
-                    if first < lo:  # here lo is the document's own id
-                        if runs and end - width < runs[-1][1]:
-                            runs[-1][1] = end + 1
-                        else:
-                            runs.append([end - width + 1, end + 1])
-                for begin, end in runs:
-                    for column, value in zip(out, (lo, th, place + begin, place + end), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "th", "begin", "end"])
+                shard.close()
+                # here lo is the document's own id
+                whole = np.array([shard.first[p] for p in phrases[s:e]], np.int64) < lo[s:e]
+                w = s + np.flatnonzero(whole)
+                out.append(np.stack((lo[w], th[w], place[w], place[w] + words[w])))
+                some = np.zeros(b.num_rows, bool)
+                some[s:e] = ~whole
+                x += np.flatnonzero(some[row[x:y]])
+                numbers, runs = shard.numbers, []
+                for k in shard.to_stream(lo, row[x], h[x]).tolist():
+                    own, runs_of = int(lo[k]), len(runs)  # covered words; matches come by their last word
+                    for end, first in shard.machine.iter(tuple([numbers.get(w, 0) for w in phrases[k].split(" ")])):
+                        if first < own:
+                            if len(runs) > runs_of and end - width < runs[-1][2]:
+                                runs[-1][2] = end + 1
+                            else:
+                                runs.append([k, end - width + 1, end + 1])
+                if runs:
+                    k, begin, end = np.array(runs, np.int64).T
+                    out.append(np.stack((lo[k], th[k], place[k] + begin, place[k] + end)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate([np.zeros((4, 0), np.int64), *out], axis=1)], names=["doc_id", "th", "begin", "end"])
 
     return rows.mapInArrow(run, "doc_id long, th long, begin long, end long")
 
@@ -205,7 +289,7 @@ def covered_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     # one row for each text: its first document
     firsts = keyed.select("doc_id", "text", *_text_key()).join(wanted, ["doc_id", "th", "tl"])
     once = stage(_phrases(firsts, width, gram), "phrases")
-    phrases = once.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("n").alias("n"))
+    phrases = once.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("lo"), F.first("n").alias("n"))
     phrases = stage(phrases, "distinct-phrases")
     total = phrases.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
@@ -215,8 +299,8 @@ def covered_places(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     load = once.select("shard", "n").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("parts"))
     load = stage(load, "shard-loads")
     part = F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int").alias("part")
-    text = once.join(load, "shard").select("shard", part, F.lit(1).alias("kind"), F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), "th", "place", "phrase")
-    made = phrases.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "lo", "hi", F.lit(0).cast("long").alias("th"), F.lit(0).cast("long").alias("place"), "phrase")
+    text = once.join(load, "shard").select("shard", part, F.lit(1).alias("kind"), F.col("doc_id").alias("lo"), "th", "place", "phrase")
+    made = phrases.join(load, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "lo", F.lit(0).cast("long").alias("th"), F.lit(0).cast("long").alias("place"), "phrase")
     rows = made.unionByName(text).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     spans = _locate(rows, width).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     found = wanted.select("doc_id", "th", "tl").join(spans, ["doc_id", "th"]).select("doc_id", "th", "tl", "spans", F.lit(False).alias("whole"))
