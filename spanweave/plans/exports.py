@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.units import us
 from ..operators.islands import with_island
-from ..operators.lookup import asof, band
+from ..operators.lookup import asof
+from ..operators.motion_index import between, running, total
+from ..operators.staging import staged
 from ..sources import carriers
 from ..sources.carriers import ctes, table
 from .editor import _E, _S, clamped
@@ -88,15 +90,18 @@ _CUT = f"""isl_spans AS (SELECT stream_id, any_value(court_id) AS court_id, min(
     SELECT stream_id, f AS first_ts, base, n_frames, CAST(sum(step) OVER (PARTITION BY stream_id ORDER BY f ROWS UNBOUNDED PRECEDING) - step AS BIGINT) AS offset_at FROM len"""
 )
 def export_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans copied without coding: each begins at the last keyframe before it, and where it lands in the output."""
+    """Spans copied without coding: each begins at the last keyframe before it, and where it lands in the output.
+
+    Its frames are counted by lookups in running totals, so that no row is made for each frame of each span.
+    """
     p = with_island(carriers.pulses(spark, sf_dir), ["stream_id"], "ts", us(1.85), tie="event_id")
-    s = p.groupBy("stream_id", "island").agg(F.first("court_id").alias("court_id"), F.min("ts").alias("ts"), F.max("ts").alias("l"))
-    e = carriers.energy(spark, sf_dir).select("court_id", "ts", "e5")
+    s = staged(p.groupBy("stream_id", "island").agg(F.first("court_id").alias("court_id"), F.min("ts").alias("ts"), F.max("ts").alias("l")), "copied-spans")
+    e = carriers.energy(spark, sf_dir).select("court_id", "ts", "e5").where("court_id is not null and ts is not null")
     based = asof(s, e.where("e5 % 8 = 0").select("court_id", "ts"), "court_id", "ts", [], BUCKET, prefix="key_")
-    based = based.select("stream_id", "island", "court_id", F.col("ts").alias("f"), "l", F.coalesce("key_ts", "ts").alias("base"))
-    seen = band(based.select("stream_id", "island", "court_id", "base", "l"), e, "court_id", F.col("base"), F.col("l"), "ts", BUCKET)
-    seen = seen.groupBy("stream_id", "island").agg(F.count(F.lit(1)).alias("n_frames"), F.max("r_ts").alias("last_frame"))
-    out = based.join(seen, ["stream_id", "island"], "left").fillna(0, ["n_frames"])
+    based = based.select("stream_id", "court_id", F.col("ts").alias("f"), "l", F.coalesce("key_ts", "ts").alias("base"))
+    frames = running(e, "court_id", "ts", {"n": F.lit(1)}, BUCKET).withColumn("last", F.col("ts"))
+    seen = between(based, frames, "court_id", "ts", ["stream_id", "f", "l", "base"], {"seen": (F.col("base"), F.col("l"))}, BUCKET)
+    out = seen.withColumn("n_frames", total("seen", "n")).withColumn("last_frame", F.when(F.col("n_frames") > 0, F.col("seen_1.last")))
     step = F.greatest(F.coalesce(F.col("last_frame") - F.col("base"), F.lit(0)), F.least(F.col("l") - F.col("f"), F.lit(us(0.2)))) + FRAME
     w = Window.partitionBy("stream_id").orderBy("f")
     out = out.withColumn("step", step)
