@@ -16,6 +16,8 @@ from .registry import query
 from .segments import _STATS, _sql_islands, court_stats
 
 GAP, LATE = "39960 seconds", "10 minutes"  # 1.85 units
+#: Streams whose signals a task makes and searches.
+STREAMS = 256
 
 
 @query(
@@ -55,14 +57,18 @@ def stream_state_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pcm_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits found in synthetic signals, one for each customer, with hits every 0.8 seconds."""
+    """Hits found in synthetic signals, one for each customer, with hits every 0.8 seconds.
+
+    A stream of a few bytes is seconds of signal, so rows are dealt by their number and not by the size of the table's file.
+    """
     streams = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stream_id"))
+    streams = streams.repartition(-(-streams.count() // STREAMS) or 1)
+    hits = list(np.arange(0.2, 3.8, 0.8))
 
     def detect(frames):
         for f in frames:
             rows = []
             for s in f["stream_id"]:
-                hits = list(np.arange(0.2, 3.8, 0.8))
                 t, h = dsp.pulses(dsp.synthetic(4.0, hits, seed=int(s)))
                 rows += [(s, round(float(a), 3), round(float(b), 6)) for a, b in zip(t, h, strict=True)]
             yield pd.DataFrame(rows, columns=["stream_id", "t", "height"])
